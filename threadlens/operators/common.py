@@ -48,3 +48,16 @@ def label_share_aggs(label: str, labels, prefix: str, null_counts: bool) -> list
         share = F.when(den > 0, hit / den).otherwise(F.lit(0.0))
         out.append(share.alias(f"{prefix}_{short.get(v, v)}_pct"))
     return out
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage for a frame that several later passes read.
+
+    Uses a reliable checkpoint in the folder named by ``spark.checkpoint.dir``
+    (shared storage on a cluster), so a lost executor does not force the whole
+    upstream text pipeline to be recomputed, and multi-pass operators read the
+    materialised rows instead of re-running the regex/tokenising plan per pass.
+    """
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach_scalars, broadcast_if_small
+from .common import attach_scalars, materialize
 
 DELIM = "_"
 
@@ -43,7 +43,7 @@ def count_dictionary(docs: DataFrame, tokens_col: str = "tokens") -> DataFrame:
 def learn_phrases(docs: DataFrame, tokens_col: str = "tokens", min_count: int = 5,
                   threshold: float = 10.0) -> DataFrame:
     """Phrase table (phrase, first, last, count, score) with score > threshold."""
-    vocab = count_dictionary(docs, tokens_col)
+    vocab = materialize(count_dictionary(docs, tokens_col))
     size = vocab.agg(F.count(F.lit(1)).alias("_v"))
     multi = vocab.filter(F.size(F.split("key", DELIM)) >= 2).select(
         F.col("key").alias("phrase"), F.col("count").alias("n_ab"),
@@ -69,7 +69,9 @@ def merge_phrases(docs: DataFrame, phrases: DataFrame, doc_col: str, tokens_col:
     nxt = F.concat(F.slice(t, 2, F.greatest(n - 1, F.lit(0))), F.array(F.lit(None).cast("string")))
     rows = docs.select(doc_col, F.posexplode(F.arrays_zip(t.alias("tok"), nxt.alias("nxt"))).alias("pos", "z")) \
                .select(doc_col, "pos", "z.tok", "z.nxt")
-    ph = broadcast_if_small(phrases.select(F.col("phrase").alias("_key")).distinct())
+    # The phrase table is joined plainly: AQE measures it at runtime and turns the
+    # join into a broadcast when it is small, a shuffle join otherwise.
+    ph = phrases.select(F.col("phrase").alias("_key")).distinct()
     rows = rows.withColumn("_key", F.concat_ws(DELIM, "tok", "nxt"))
     rows = rows.join(ph.withColumn("q", F.lit(True)), "_key", "left") \
                .withColumn("q", F.coalesce("q", F.lit(False)) & F.col("nxt").isNotNull())
@@ -101,9 +103,10 @@ def learn_and_merge(docs: DataFrame, doc_col: str, tokens_col: str = "tokens", m
     ``order='bigram_first'`` applies pass 1, then pass 2.
     Returns (merged docs, pass-1 table, pass-2 table).
     """
-    p1 = learn_phrases(docs, tokens_col, min_count, threshold)
-    m1 = merge_phrases(docs, p1, doc_col, tokens_col, "_m1")
-    p2 = learn_phrases(m1.select(doc_col, F.col("_m1").alias("_t")), "_t", second_min_count, threshold)
+    docs = materialize(docs.select(doc_col, tokens_col))
+    p1 = materialize(learn_phrases(docs, tokens_col, min_count, threshold))
+    m1 = materialize(merge_phrases(docs, p1, doc_col, tokens_col, "_m1"))
+    p2 = materialize(learn_phrases(m1.select(doc_col, F.col("_m1").alias("_t")), "_t", second_min_count, threshold))
     if order == "reference":
         a = merge_phrases(docs, p2, doc_col, tokens_col, "_m2")
         res = merge_phrases(a, p1, doc_col, "_m2", "_m3")

@@ -6,6 +6,7 @@ involved; a lookup table is only broadcast after its size is checked.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,10 +61,19 @@ def clean_fields(df: DataFrame, word_boundary: bool = False) -> DataFrame:
 
 def topic_tokens(df: DataFrame, text_col: str, out: str = "tokens", stopwords=None,
                  min_len: int = 2, max_len: int = 15) -> DataFrame:
-    """C3 + C4 + C5: topic cleaning, tokenising, stopword removal (order and repeats kept)."""
-    stop = topic_stopwords() if stopwords is None else stopwords
-    toks = simple_tokens(topic_clean(text_col), min_len, max_len)
-    return df.withColumn(out, remove_stopwords(toks, stop))
+    """C3 + C4 + C5: topic cleaning, tokenising, stopword removal (order and repeats kept).
+
+    After C3 the text holds only lower-case ASCII letters separated by single
+    spaces, so the alphabetic-run tokeniser reduces to a split on " ". Stopwords
+    go through ``StopWordsRemover`` (a JVM hash-set lookup per token).
+    """
+    stop = topic_stopwords() if stopwords is None else list(stopwords)
+    toks = F.split(topic_clean(text_col), " ")
+    toks = F.filter(toks, lambda t: (F.length(t) >= min_len) & (F.length(t) <= max_len))
+    tmp = f"_{out}_all"
+    staged = df.withColumn(tmp, toks)
+    remover = StopWordsRemover(inputCol=tmp, outputCol=out, stopWords=stop, caseSensitive=True)
+    return remover.transform(staged).drop(tmp)
 
 
 def nonblank_docs(df: DataFrame, text_col: str, tokens_col: str | None = None) -> DataFrame:

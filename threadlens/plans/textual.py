@@ -11,6 +11,7 @@ from ..operators import phrases as PH
 from ..operators import sentiment as SE
 from ..operators import text_ops as TO
 from ..operators import vocab as VO
+from ..operators.common import materialize
 from ..sources.tables import conv_raw, docs
 from .registry import finish, register
 
@@ -53,8 +54,9 @@ def tokens_sql(expr: str) -> str:
 TOKS = f"toks AS (SELECT doc_id, lang, {tokens_sql('text')} AS t FROM documents)"
 
 
-def doc_tokens(spark, sf):
-    return TO.topic_tokens(docs(spark, sf), "text")
+def doc_tokens(spark, sf, materialized: bool = False):
+    t = TO.topic_tokens(docs(spark, sf), "text")
+    return materialize(t.select("doc_id", "lang", "tokens")) if materialized else t
 
 
 # ------------------------------------------------------------------ C1 / C1a-h / C3
@@ -192,7 +194,7 @@ WITH {TOKS}, {_VOCAB}
 SELECT doc_id, term, count(*) AS count FROM (SELECT doc_id, unnest(t) AS term FROM toks)
 WHERE term IN (SELECT term FROM vocab) GROUP BY 1, 2""")
 def q_bag_of_words(spark, sf):
-    t = doc_tokens(spark, sf)
+    t = doc_tokens(spark, sf, materialized=True)
     return VO.bag_of_words(t, VO.vocabulary(t), "doc_id")
 
 
@@ -226,7 +228,7 @@ SELECT d.doc_id, coalesce(m.merged, '') AS tokens FROM documents d LEFT JOIN (
   SELECT doc_id, string_agg(CASE WHEN picked THEN tok || '_' || nxt ELSE tok END, ' ' ORDER BY p) AS merged
   FROM em WHERE NOT prev_picked GROUP BY doc_id) m USING (doc_id)""")
 def q_phrase_merge(spark, sf):
-    t = doc_tokens(spark, sf)
+    t = doc_tokens(spark, sf, materialized=True)
     p1 = PH.learn_phrases(t, "tokens", 5, 10.0)
     m = PH.merge_phrases(t, p1, "doc_id", "tokens", "merged")
     return m.select("doc_id", F.array_join("merged", " ").alias("tokens"))

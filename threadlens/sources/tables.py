@@ -23,6 +23,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition text rows by their key when the scan gives fewer tasks than cores.
+
+    Text jobs spend their time per row (regexes, tokens), so a scan of one
+    large row group would otherwise run in a single task. Large inputs have
+    many splits and skip the shuffle. Hash (not round-robin) partitioning
+    keeps retries deterministic and lets later per-key aggregates reuse the
+    partitioning.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, key)
+    return df
+
+
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comment rows from ``lineitem`` alone (no post attributes, no join).
 
@@ -80,7 +96,7 @@ def posts_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as a text corpus: doc_id, text, lang, source."""
-    return read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
 
 
 def doc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +117,7 @@ def conv_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversation is split by AQE's skew handling instead of landing whole in
     one task).
     """
-    c = read_table(spark, sf_dir, "conversations")
+    c = spread(read_table(spark, sf_dir, "conversations"), "conv_id")
     head = c.filter(F.col("turn") == 0).select(
         F.col("conv_id").alias("post_id"),
         F.col("role").alias("post_title"),
