@@ -2,4 +2,4 @@
 and carries the equivalent DuckDB SQL used as its correctness oracle."""
 
 from .registry import oracle_sql, queries  # noqa: F401
-from . import aggregates, models, textual  # noqa: F401  (registers queries on import)
+from . import aggregates, extras, models, textual  # noqa: F401  (registers queries on import)
