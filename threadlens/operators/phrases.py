@@ -66,7 +66,8 @@ def merge_phrases(docs: DataFrame, phrases: DataFrame, doc_col: str, tokens_col:
     t = F.col(tokens_col)
     n = F.size(t)
     # (pos, token, next token) per position without a window: zip with the shifted array.
-    nxt = F.concat(F.slice(t, 2, F.greatest(n - 1, F.lit(0))), F.array(F.lit(None).cast("string")))
+    nxt = F.when(n > 0, F.concat(F.slice(t, 2, F.greatest(n - 1, F.lit(0))), F.array(F.lit(None).cast("string")))) \
+           .otherwise(F.array().cast("array<string>"))
     rows = docs.select(doc_col, F.posexplode(F.arrays_zip(t.alias("tok"), nxt.alias("nxt"))).alias("pos", "z")) \
                .select(doc_col, "pos", "z.tok", "z.nxt")
     # The phrase table is joined plainly: AQE measures it at runtime and turns the
