@@ -87,6 +87,7 @@ def test_merge_preserves_token_order(spark):
 def test_two_pass_runs(spark):
     docs = [["new", "york", "city", "x"]] * 12 + [["a", "b"]] * 3
     res, p1, p2 = PH.learn_and_merge(_frame(spark, docs), "doc_id", "tokens", 5, 1.0)
-    rows = res.orderBy("doc_id").collect()
+    rows = res.join(_frame(spark, docs), "doc_id").orderBy("doc_id").collect()
     assert len(rows) == len(docs)
     assert all(len(r["phrased"]) <= len(r["tokens"]) for r in rows)
+    assert all(" ".join(r["phrased"]).replace("_", " ") == " ".join(r["tokens"]) for r in rows)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach_scalars, materialize
+from .common import attach_scalars, broadcast_if_small, materialize
 
 DELIM = "_"
 
@@ -42,37 +42,54 @@ def count_dictionary(docs: DataFrame, tokens_col: str = "tokens") -> DataFrame:
 
 def learn_phrases(docs: DataFrame, tokens_col: str = "tokens", min_count: int = 5,
                   threshold: float = 10.0) -> DataFrame:
-    """Phrase table (phrase, first, last, count, score) with score > threshold."""
+    """Phrase table (phrase, first, last, count, score) with score > threshold.
+
+    The count dictionary is materialised once. A key's first/last parts never
+    contain the delimiter, so their counts come from the plain-token part of
+    the dictionary (vocabulary-sized, broadcast after a size check). With a
+    non-negative threshold only keys counted more than ``min_count`` times can
+    score above it, so rarer pairs are dropped before the joins. The result is
+    materialised too: it is small and every merge pass reads it.
+    """
     vocab = materialize(count_dictionary(docs, tokens_col))
     size = vocab.agg(F.count(F.lit(1)).alias("_v"))
-    multi = vocab.filter(F.size(F.split("key", DELIM)) >= 2).select(
-        F.col("key").alias("phrase"), F.col("count").alias("n_ab"),
-        F.element_at(F.split("key", DELIM), 1).alias("first"),
-        F.element_at(F.split("key", DELIM), -1).alias("last"))
-    uni_a = vocab.select(F.col("key").alias("first"), F.col("count").alias("n_a"))
-    uni_b = vocab.select(F.col("key").alias("last"), F.col("count").alias("n_b"))
+    parts = F.split("key", DELIM)
+    multi = vocab.filter(F.size(parts) >= 2)
+    if threshold >= 0:
+        multi = multi.filter(F.col("count") > min_count)
+    multi = multi.select(F.col("key").alias("phrase"), F.col("count").alias("n_ab"),
+                         F.element_at(parts, 1).alias("first"), F.element_at(parts, -1).alias("last"))
+    plain = broadcast_if_small(vocab.filter(~F.col("key").contains(DELIM)))
+    uni_a = plain.select(F.col("key").alias("first"), F.col("count").alias("n_a"))
+    uni_b = plain.select(F.col("key").alias("last"), F.col("count").alias("n_b"))
     j = multi.join(uni_a, "first").join(uni_b, "last")
     j = attach_scalars(j, size)
     score = (F.col("n_ab") - F.lit(min_count)).cast("double") / (F.col("n_a") * F.col("n_b")).cast("double") \
         * F.col("_v")
-    return (j.withColumn("score", score).filter(F.col("score") > threshold)
-            .select("phrase", "first", "last", F.col("n_ab").alias("count"), "score"))
+    return materialize(j.withColumn("score", score).filter(F.col("score") > threshold)
+                       .select("phrase", "first", "last", F.col("n_ab").alias("count"), "score"))
 
 
 def merge_phrases(docs: DataFrame, phrases: DataFrame, doc_col: str, tokens_col: str = "tokens",
                   out: str | None = None) -> DataFrame:
-    """Apply a phrase table greedily left to right; returns ``docs`` with ``out`` tokens."""
+    """Apply a phrase table greedily left to right; returns (``doc_col``, ``out``).
+
+    One shuffle of the token stream by document (for the ordered scan); the
+    regrouping reuses that partitioning. Documents without tokens come back
+    with an empty array.
+    """
     out = out or tokens_col
     t = F.col(tokens_col)
     n = F.size(t)
     # (pos, token, next token) per position without a window: zip with the shifted array.
     nxt = F.when(n > 0, F.concat(F.slice(t, 2, F.greatest(n - 1, F.lit(0))), F.array(F.lit(None).cast("string")))) \
            .otherwise(F.array().cast("array<string>"))
-    rows = docs.select(doc_col, F.posexplode(F.arrays_zip(t.alias("tok"), nxt.alias("nxt"))).alias("pos", "z")) \
+    rows = docs.select(doc_col, F.posexplode_outer(F.arrays_zip(t.alias("tok"), nxt.alias("nxt"))).alias("pos", "z")) \
                .select(doc_col, "pos", "z.tok", "z.nxt")
-    # The phrase table is joined plainly: AQE measures it at runtime and turns the
-    # join into a broadcast when it is small, a shuffle join otherwise.
-    ph = phrases.select(F.col("phrase").alias("_key")).distinct()
+    # Broadcast the phrase keys after a size check so the token stream keeps its
+    # document partitioning (the window and regrouping below then need no
+    # shuffle); above the bound the planner falls back to a shuffle join.
+    ph = broadcast_if_small(phrases.select(F.col("phrase").alias("_key")).distinct())
     rows = rows.withColumn("_key", F.concat_ws(DELIM, "tok", "nxt"))
     rows = rows.join(ph.withColumn("q", F.lit(True)), "_key", "left") \
                .withColumn("q", F.coalesce("q", F.lit(False)) & F.col("nxt").isNotNull())
@@ -83,13 +100,8 @@ def merge_phrases(docs: DataFrame, phrases: DataFrame, doc_col: str, tokens_col:
     rows = rows.withColumn("prev_picked", F.coalesce(F.lag("picked").over(w), F.lit(False)))
     emitted = (rows.filter(~F.col("prev_picked"))
                .select(doc_col, "pos", F.when(F.col("picked"), F.col("_key")).otherwise(F.col("tok")).alias("w")))
-    merged = emitted.groupBy(doc_col).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda s: s["w"]).alias("_merged"))
-    res = docs.join(merged, doc_col, "left").withColumn(
-        "_merged", F.coalesce("_merged", F.array().cast("array<string>")))
-    if out in docs.columns:
-        res = res.drop(out)
-    return res.withColumnRenamed("_merged", out)
+    kept = F.filter(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda s: s["w"].isNotNull())
+    return emitted.groupBy(doc_col).agg(F.transform(kept, lambda s: s["w"]).alias(out))
 
 
 def learn_and_merge(docs: DataFrame, doc_col: str, tokens_col: str = "tokens", min_count: int = 5,
@@ -111,9 +123,8 @@ def learn_and_merge(docs: DataFrame, doc_col: str, tokens_col: str = "tokens", m
     if order == "reference":
         a = merge_phrases(docs, p2, doc_col, tokens_col, "_m2")
         res = merge_phrases(a, p1, doc_col, "_m2", "_m3")
-        res = res.drop("_m2")
     elif order == "bigram_first":
-        res = merge_phrases(m1, p2, doc_col, "_m1", "_m3").drop("_m1")
+        res = merge_phrases(m1, p2, doc_col, "_m1", "_m3")
     else:
         raise ValueError("order must be 'reference' or 'bigram_first'")
     return res.withColumnRenamed("_m3", "phrased"), p1, p2
