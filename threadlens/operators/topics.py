@@ -25,9 +25,12 @@ def prepare_corpus(docs: DataFrame, doc_col: str, tokens_col: str = "tokens", no
     Returns (vectors [doc, tokens, features, doc_len], vocab DataFrame [term_id, term, df], terms list).
     """
     docs = docs.select(doc_col, tokens_col)
-    vocab = vocabulary(docs, tokens_col, no_below, no_above, keep_n)
+    # The vocabulary is bounded by keep_n: materialise it once, broadcast it for
+    # the in-vocabulary length count, and hand its term list to the vectoriser.
+    vocab = materialize(vocabulary(docs, tokens_col, no_below, no_above, keep_n))
     vec, terms = count_vectors(docs, vocab, tokens_col)
-    lens = bag_of_words(docs, vocab, doc_col, tokens_col).groupBy(doc_col).agg(F.sum("count").alias("doc_len"))
+    lens = bag_of_words(docs, F.broadcast(vocab), doc_col, tokens_col).groupBy(doc_col) \
+        .agg(F.sum("count").alias("doc_len"))
     vec = vec.join(lens, doc_col, "left").withColumn("doc_len", F.coalesce("doc_len", F.lit(0)).cast("long"))
     spark = docs.sparkSession
     vocab_df = spark.createDataFrame([(i, t) for i, t in enumerate(terms)], "term_id int, term string")
@@ -158,7 +161,7 @@ def subtopics(df: DataFrame, doc_col: str, topic_col: str, text_col: str, min_do
     from .text_ops import topic_tokens
 
     base = df.select(doc_col, topic_col, text_col)
-    base = base.filter(F.col(topic_col).isNotNull() & (F.col(topic_col) != -1))
+    base = base.filter(F.col(topic_col).isNotNull() & (F.col(topic_col).cast("string") != "-1"))
     base = base.filter(F.trim(F.coalesce(F.col(text_col), F.lit(""))) != "")
     toks = materialize(topic_tokens(base, text_col).select(doc_col, topic_col, "tokens"))
     sizes = toks.groupBy(topic_col).agg(F.count(F.lit(1)).alias("n_all"),
