@@ -254,3 +254,28 @@ def stacked_offsets(shares: DataFrame, key_cols, prefix: str) -> DataFrame:
     long = shares.select(*key_cols, F.explode(parts).alias("p")).select(*key_cols, "p.*")
     w = Window.partitionBy(*key_cols).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     return long.withColumn("base", F.coalesce(F.sum("share").over(w), F.lit(0.0))).drop("rank")
+
+
+# ---------------------------------------------------------------- O1 / O2 / O3 (stated, optional)
+
+def engagement_by_post(df: DataFrame, order_cols, post_col: str = "post_id", label: str = "bert_label",
+                       score_col: str = "comment_score", topic_col: str = "topic_id") -> DataFrame:
+    """O1: comments and summed comment score per post, with the post's topic and first-row polarity."""
+    from ..functions.labels import polarity
+    order = F.struct(*[F.col(c) for c in order_cols])
+    return df.groupBy(post_col).agg(
+        F.count(F.lit(1)).alias("n_comments"), F.sum(score_col).alias("score_sum"),
+        F.min_by(F.col(topic_col), order).alias("topic"),
+        F.min_by(polarity(label), order).alias("post_polarity"))
+
+
+def engagement_correlation(per_post: DataFrame) -> DataFrame:
+    """O1: per topic, Pearson r of comment volume with the post's polarity."""
+    return per_post.groupBy("topic").agg(
+        F.count(F.lit(1)).alias("n_posts"), F.avg("n_comments").alias("mean_comments"),
+        F.corr("n_comments", "post_polarity").alias("r_volume_polarity"))
+
+
+def min_length(df: DataFrame, text_col: str, n: int) -> DataFrame:
+    """O3: keep texts of at least ``n`` characters."""
+    return df.filter(F.length(F.coalesce(F.col(text_col), F.lit(""))) >= n)

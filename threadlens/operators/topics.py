@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .coherence import coherence_cv
-from .common import attach_scalars, materialize
+from .common import attach_scalars, broadcast_if_small, materialize
 from .vocab import bag_of_words, count_vectors, vocabulary
 
 
@@ -29,7 +29,7 @@ def prepare_corpus(docs: DataFrame, doc_col: str, tokens_col: str = "tokens", no
     # the in-vocabulary length count, and hand its term list to the vectoriser.
     vocab = materialize(vocabulary(docs, tokens_col, no_below, no_above, keep_n))
     vec, terms = count_vectors(docs, vocab, tokens_col)
-    lens = bag_of_words(docs, F.broadcast(vocab), doc_col, tokens_col).groupBy(doc_col) \
+    lens = bag_of_words(docs, broadcast_if_small(vocab), doc_col, tokens_col).groupBy(doc_col) \
         .agg(F.sum("count").alias("doc_len"))
     vec = vec.join(lens, doc_col, "left").withColumn("doc_len", F.coalesce("doc_len", F.lit(0)).cast("long"))
     spark = docs.sparkSession

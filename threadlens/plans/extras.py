@@ -279,3 +279,35 @@ def q_stream_first_seen(spark, sf):
     """M2: first sighting of every (user, event type) in the stream."""
     res = LV.stream_first_seen(spark, f"{sf.rstrip('/')}/events.parquet", EVENT_SCHEMA, "ts", ["user_id", "event_type"])
     return res.select("user_id", "event_type")
+
+
+# ------------------------------------------------------------------ O1 / O2 / O3 (optional rows)
+
+@register("engagement_by_topic", with_pc(f"""
+SELECT topic, count(*) AS n_posts, round(avg(n_comments), 6) AS mean_comments,
+       round(corr(n_comments, post_polarity), 6) AS r_volume_polarity FROM (
+  SELECT post_id, count(*) AS n_comments, first(topic_id ORDER BY {SQL_ORDER}) AS topic,
+         first(CASE WHEN bert_label = 'positive' THEN 1 WHEN bert_label = 'negative' THEN -1 ELSE 0 END
+               ORDER BY {SQL_ORDER}) AS post_polarity
+  FROM pc GROUP BY post_id) GROUP BY topic"""))
+def q_engagement_by_topic(spark, sf):
+    """O1: comment volume per post and its correlation with post polarity, by topic."""
+    pc = posts_comments(spark, sf).withColumn("comment_score", F.col("l_quantity"))
+    return finish(D.engagement_correlation(D.engagement_by_post(pc, ROW_ORDER)))
+
+
+@register("sentiment_by_community", with_pc(f"""
+SELECT coalesce(CAST(subreddit AS VARCHAR), 'None') AS topic, count(*) AS n_rows,
+       {", ".join(f"round(CASE WHEN count({c}) > 0 THEN 1.0 * sum(CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END) / count({c}) ELSE 0.0 END, 6) AS {p}_{s}_pct"
+                  for p, c in (("vader", "vader_label"), ("bert", "bert_label")) for v, s in (("positive", "pos"), ("neutral", "neu"), ("negative", "neg")))}
+FROM pc GROUP BY 1"""))
+def q_sentiment_by_community(spark, sf):
+    """O2: the F4 distribution keyed by source community."""
+    return finish(D.topic_label_distribution(posts_comments(spark, sf), topic_col="subreddit",
+                                             lexicon_label="vader_label", model_label="bert_label"))
+
+
+@register("short_text_filter", "SELECT lang, count(*) AS n_docs FROM documents WHERE length(coalesce(text, '')) >= 200 GROUP BY 1")
+def q_short_text_filter(spark, sf):
+    """O3: documents of at least 200 characters, per language."""
+    return D.min_length(docs(spark, sf), "text", 200).groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"))
