@@ -251,7 +251,7 @@ def q_model_confusion_share(spark, sf):
 
 
 @register("model_confusion_counts", with_comments(f"""
-SELECT g.label_a, g.row_order, {", ".join(f"coalesce(c.n_{v}, 0) AS n_{v}" for v in LABELS)}
+SELECT g.label_a, g.row_order, {", ".join(f"CAST(coalesce(c.n_{v}, 0) AS BIGINT) AS n_{v}" for v in LABELS)}
 FROM (VALUES ('negative', 0), ('neutral', 1), ('positive', 2)) g(label_a, row_order)
 LEFT JOIN (SELECT vader_label AS label_a, {", ".join(f"sum(CASE WHEN bert_label = '{v}' THEN 1 ELSE 0 END) AS n_{v}" for v in LABELS)}
            FROM comments WHERE vader_label IN ('negative', 'neutral', 'positive')

@@ -29,7 +29,7 @@ def q_user_counts(spark, sf):
 
 
 @register("user_histogram", with_pc("""
-SELECT g.bin, round(b.lo + g.bin * b.w, 6) AS bin_start, round(b.lo + (g.bin + 1) * b.w, 6) AS bin_end,
+SELECT CAST(g.bin AS INTEGER) AS bin, round(b.lo + g.bin * b.w, 6) AS bin_start, round(b.lo + (g.bin + 1) * b.w, 6) AS bin_end,
        coalesce(c.n, 0) AS n
 FROM range(50) g(bin)
 CROSS JOIN (SELECT lo, (hi - lo) / 50 AS w FROM (
@@ -130,7 +130,7 @@ def _selected(spark, sf):
     return CO.assemble(_candidates(spark, sf), "post_id", "subreddit", N_PER_SOURCE, measures())
 
 
-@register("collect_top_per_source", with_pc("SELECT post_id, subreddit, method, rank, dup_count FROM sel", _SEL_SQL))
+@register("collect_top_per_source", with_pc("SELECT post_id, subreddit, method, CAST(rank AS INTEGER) AS rank, dup_count FROM sel", _SEL_SQL))
 def q_collect_top_per_source(spark, sf):
     return _selected(spark, sf)
 
@@ -148,8 +148,10 @@ def q_collect_flatten(spark, sf):
 
 
 @register("collect_counters", with_pc("""
-SELECT subreddit, method, count(*) AS posts_kept, sum(CASE WHEN nc > 0 THEN 1 ELSE 0 END) AS posts_with_comments,
-       coalesce(sum(nc), 0) AS comments_kept, sum(dup_count) AS duplicates_later, count(*) = 0 AS empty_source
+SELECT subreddit, method, count(*) AS posts_kept,
+       CAST(sum(CASE WHEN nc > 0 THEN 1 ELSE 0 END) AS BIGINT) AS posts_with_comments,
+       CAST(coalesce(sum(nc), 0) AS BIGINT) AS comments_kept, CAST(sum(dup_count) AS BIGINT) AS duplicates_later,
+       count(*) = 0 AS empty_source
 FROM sel LEFT JOIN (SELECT post_id, count(*) AS nc FROM comments WHERE bert_label IS NOT NULL GROUP BY 1) USING (post_id)
 GROUP BY 1, 2""", _SEL_SQL))
 def q_collect_counters(spark, sf):

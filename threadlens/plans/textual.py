@@ -129,7 +129,7 @@ def q_raw_text_fields(spark, sf):
 # ------------------------------------------------------------------ C2 / C4 / C5 / C10 / F41
 
 @register("tokens_stopworded", f"""
-WITH {TOKS} SELECT doc_id, len(t) AS n_tokens, array_to_string(t, ' ') AS tokens FROM toks""")
+WITH {TOKS} SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, array_to_string(t, ' ') AS tokens FROM toks""")
 def q_tokens_stopworded(spark, sf):
     t = doc_tokens(spark, sf)
     return t.select("doc_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
@@ -169,7 +169,7 @@ def q_word_counts_top(spark, sf):
 
 @register("term_freq_by_topic", f"""
 WITH {TOKS}
-SELECT lang, term, n, rank FROM (
+SELECT lang, term, n, CAST(rank AS INTEGER) AS rank FROM (
   SELECT lang, term, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS rank FROM (
     SELECT lang, term, count(*) AS n FROM (SELECT lang, unnest(t) AS term FROM toks) GROUP BY 1, 2))
 WHERE rank <= 100""")
