@@ -15,9 +15,10 @@ from ..functions.stopwords import NLTK_ENGLISH, topic_stopwords
 from ..functions.text import clean_text, count_words, remove_stopwords, simple_tokens, topic_clean
 from .common import attach_scalars
 
-# A lemma table up to this size is turned into one broadcast map and applied
-# with ``transform`` (no token shuffle); bigger tables go through a join.
-LEMMA_MAP_MAX_ROWS = 200_000
+# A lemma table up to this size is turned into one map literal per row and
+# applied with ``transform`` (no token shuffle; map lookups scan keys, so only
+# small tables); bigger tables go through a broadcast/shuffle join.
+LEMMA_MAP_MAX_ROWS = 256
 
 
 def raw_text_fields(df: DataFrame) -> DataFrame:
@@ -98,25 +99,30 @@ def lemma_text(df: DataFrame, text_col: str, doc_col: str, out: str = "text_lem"
     lower-cased form. The tagger-based lemmatiser of the reference is not
     available on Spark, so the dictionary is pluggable.
     """
-    stop = NLTK_ENGLISH if stopwords is None else stopwords
-    toks = F.transform(alpha_tokens(text_col), lambda t: F.lower(t))
-    toks = remove_stopwords(toks, stop)
+    stop = list(NLTK_ENGLISH if stopwords is None else stopwords)
+    # On C1-cleaned (ASCII) text, lower-casing the text first gives the same
+    # tokens as lower-casing each token; stopwords go through a hash set.
+    src = F.col(text_col) if isinstance(text_col, str) else text_col
+    df = df.withColumn("_alpha", alpha_tokens(F.lower(src)))
+    df = StopWordsRemover(inputCol="_alpha", outputCol="_toks", stopWords=stop, caseSensitive=True) \
+        .transform(df).drop("_alpha")
+    toks = F.col("_toks")
     if lemmas is None:
-        return df.withColumn(out, F.array_join(toks, " "))
+        return df.withColumn(out, F.array_join(toks, " ")).drop("_toks")
     n = lemmas.limit(LEMMA_MAP_MAX_ROWS + 1).count()
     if n <= LEMMA_MAP_MAX_ROWS:
         m = lemmas.agg(F.map_from_entries(F.collect_list(F.struct(
             F.lower("term"), F.lower("lemma")))).alias("_lemma_map"))
-        with_map = attach_scalars(df.withColumn("_toks", toks), m)
+        with_map = attach_scalars(df, m)
         mapped = F.transform("_toks", lambda t: F.coalesce(F.element_at(F.col("_lemma_map"), t), t))
         return with_map.withColumn(out, F.array_join(mapped, " ")).drop("_toks", "_lemma_map")
     # Large dictionary: explode tokens with positions, shuffle-join, rebuild in order.
-    ex = df.select(doc_col, F.posexplode(toks).alias("_p", "_t"))
+    ex = df.select(doc_col, F.posexplode("_toks").alias("_p", "_t"))
     lt = lemmas.select(F.lower("term").alias("_t"), F.lower("lemma").alias("_l")).dropDuplicates(["_t"])
     j = ex.join(lt, "_t", "left").select(doc_col, "_p", F.coalesce("_l", "_t").alias("_w"))
     rebuilt = j.groupBy(doc_col).agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("_p", "_w"))), lambda s: s["_w"]), " ").alias(out))
-    return df.join(rebuilt, doc_col, "left").withColumn(out, F.coalesce(out, F.lit("")))
+    return df.drop("_toks").join(rebuilt, doc_col, "left").withColumn(out, F.coalesce(out, F.lit("")))
 
 
 def top_words(df: DataFrame, text_col: str, n: int = 15, stopwords=()) -> DataFrame:
