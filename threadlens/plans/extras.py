@@ -262,7 +262,7 @@ def q_csv_roundtrip(spark, sf):
 
 # ------------------------------------------------------------------ M1 / M2
 
-EVENT_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 @register("stream_share_by_window", """

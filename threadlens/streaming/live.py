@@ -14,17 +14,37 @@ from pyspark.sql import functions as F
 from ..sources.io import scratch_path
 
 
+def utc_instant(col: str) -> F.Column:
+    """Event time for watermarks: a wall-clock (NTZ) value read as UTC, independent
+    of the session time zone; zoned timestamps pass through."""
+    c = F.col(col)
+    return F.make_timestamp(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c),
+                            F.date_part(F.lit("SECOND"), c), F.lit("UTC"))
+
+
+def utc_wall_clock(instant: F.Column) -> F.Column:
+    """Inverse of :func:`utc_instant`: the UTC wall clock of an instant, as timestamp_ntz."""
+    return F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + \
+        F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.unix_micros(instant) / F.lit(1_000_000))
+
+
 def window_shares(stream: DataFrame, time_col: str, label_col: str, window: str = "1 day",
                   watermark: str = "2 days") -> DataFrame:
     """M1 (streaming plan): count per (tumbling window, label)."""
-    return (stream.withWatermark(time_col, watermark)
-            .groupBy(F.window(time_col, window).alias("w"), F.col(label_col).alias("label"))
+    t = stream.schema[time_col].dataType.typeName()
+    s = stream.withColumn("_et", utc_instant(time_col)) if t == "timestamp_ntz" else \
+        stream.withColumn("_et", F.col(time_col))
+    return (s.withWatermark("_et", watermark)
+            .groupBy(F.window("_et", window).alias("w"), F.col(label_col).alias("label"))
             .agg(F.count(F.lit(1)).alias("n")))
 
 
 def first_seen(stream: DataFrame, time_col: str, keys, watermark: str = "365 days") -> DataFrame:
     """M2 (streaming plan): drop repeats of ``keys`` within the watermark delay."""
-    return stream.withWatermark(time_col, watermark).dropDuplicatesWithinWatermark(list(keys))
+    t = stream.schema[time_col].dataType.typeName()
+    s = stream.withColumn("_et", utc_instant(time_col)) if t == "timestamp_ntz" else \
+        stream.withColumn("_et", F.col(time_col))
+    return s.withWatermark("_et", watermark).dropDuplicatesWithinWatermark(list(keys)).drop("_et")
 
 
 def _run_to_table(spark: SparkSession, agg: DataFrame, mode: str, name: str) -> DataFrame:
@@ -60,7 +80,7 @@ def stream_window_shares(spark: SparkSession, source_dir: str, schema, time_col:
     """M1 end to end: counts and within-window shares per (window, label)."""
     s = read_stream(spark, source_dir, schema)
     res = _run_to_table(spark, window_shares(s, time_col, label_col, window), "complete", "m1")
-    res = res.select(F.col("w.start").alias("window_start"), "label", "n")
+    res = res.select(utc_wall_clock(F.col("w.start")).alias("window_start"), "label", "n")
     from pyspark.sql import Window
     return res.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("window_start")))
 
