@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..columns import COMMENT_TEXT_CANDIDATES, POST_TEXT_CANDIDATES, first_existing
 from ..functions.stopwords import NLTK_ENGLISH, topic_stopwords
-from ..functions.text import clean_text, count_words, remove_stopwords, simple_tokens, topic_clean
+from ..functions.text import clean_text, count_words, topic_clean
 from .common import attach_scalars
 
 # A lemma table up to this size is turned into one map literal per row and

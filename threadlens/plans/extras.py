@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.labels import null_bucket
 from ..operators import contagion as CT
 from ..operators import distributions as D
 from ..operators import findings as FD
@@ -13,7 +12,7 @@ from ..operators import trends as TR
 from ..operators import users as US
 from ..sources import collect as CO
 from ..sources import io as IO
-from ..sources.tables import ROW_ORDER, comments, conv_raw, doc_labels, docs, posts, posts_comments, read_table
+from ..sources.tables import ROW_ORDER, comments, conv_raw, docs, posts, posts_comments, read_table
 from ..streaming import live as LV
 from .aggregates import topic_dist
 from .registry import finish, register
