@@ -22,16 +22,6 @@ def top_users(df: DataFrame, user_col: str, n: int = 20) -> DataFrame:
     return user_counts(df, user_col).orderBy(F.desc("n_posts"), F.asc("user")).limit(n)
 
 
-def _share_map(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """L1: per user, {key value -> share of the user's rows with a non-null key}."""
-    cnt = rows.filter(F.col(key).isNotNull()).groupBy("user", key).agg(F.count(F.lit(1)).alias("n"))
-    tot = cnt.groupBy("user").agg(F.sum("n").alias("_t"))
-    return (cnt.join(tot, "user")
-            .groupBy("user")
-            .agg(F.map_from_entries(F.array_sort(F.collect_list(
-                F.struct(F.col(key).cast("string"), F.col("n") / F.col("_t"))))).alias(name)))
-
-
 def top_words_per_user(rows: DataFrame, text_col: str, n: int = 20, stopwords=()) -> DataFrame:
     """H6 + C10 + C11: per user, the ``n`` most frequent words (``[a-z']+``,
     length >= 3, not a stopword) formatted ``w:c;w:c`` (ties -> word order)."""
@@ -50,18 +40,55 @@ def top_words_per_user(rows: DataFrame, text_col: str, n: int = 20, stopwords=()
 def top_users_profile(df: DataFrame, user_col: str, topic_col: str | None, subtopic_col: str | None,
                       text_col: str | None, n: int = 20, n_words: int = 20) -> DataFrame:
     """L2 + G7: profile of the top-``n`` users: n_posts, topic and subtopic share
-    maps, top words. NULL users are bucketed as "UNKNOWN" on both sides."""
+    maps, top words. NULL users are bucketed as "UNKNOWN" on both sides.
+
+    Plan: the top list is a bounded ``limit(n)`` (broadcast for the semi-join and
+    the final join); the users' topic keys, subtopic keys and words become one
+    long (user, kind, key) table counted by a single aggregate; one window pass
+    over (user, kind) gives shares and word ranks (the rank filter becomes a
+    partial window-group limit); one per-user collect builds the bounded maps
+    and word list.
+    """
     top = top_users(df, user_col, n)
     rows = df.withColumn("user", null_bucket(user_col, "UNKNOWN")).join(
         F.broadcast(top.select("user")), "user", "left_semi")
-    out = top
+    parts = []
     if topic_col:
-        out = out.join(_share_map(rows, topic_col, "topic_dist"), "user", "left")
+        parts.append(rows.select("user", F.lit("topic").alias("kind"), F.col(topic_col).cast("string").alias("key")))
     if subtopic_col:
-        out = out.join(_share_map(rows, subtopic_col, "subtopic_dist"), "user", "left")
+        parts.append(rows.select("user", F.lit("subtopic").alias("kind"),
+                                 F.col(subtopic_col).cast("string").alias("key")))
     if text_col:
-        out = out.join(top_words_per_user(rows, text_col, n_words), "user", "left")
-        out = out.withColumn("top_words", F.coalesce("top_words", F.lit("")))
+        parts.append(rows.select("user", F.lit("word").alias("kind"), F.explode(count_words(text_col)).alias("key"))
+                     .filter(F.length("key") >= 3))
+    out = top
+    if parts:
+        long = parts[0]
+        for p in parts[1:]:
+            long = long.unionByName(p)
+        cnt = long.filter(F.col("key").isNotNull()).groupBy("user", "kind", "key").agg(F.count(F.lit(1)).alias("c"))
+        per = Window.partitionBy("user", "kind")
+        cnt = (cnt.withColumn("share", F.col("c") / F.sum("c").over(per))
+               .withColumn("rk", F.row_number().over(per.orderBy(F.desc("c"), F.asc("key"))))
+               .filter((F.col("kind") != "word") | (F.col("rk") <= n_words)))
+
+        def entries(kind):
+            return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("key", "share"))))
+
+        words = F.array_sort(F.collect_list(F.when(F.col("kind") == "word", F.struct("rk", "key", "c"))))
+        aggs = []
+        if topic_col:
+            aggs.append(F.map_from_entries(entries("topic")).alias("topic_dist"))
+        if subtopic_col:
+            aggs.append(F.map_from_entries(entries("subtopic")).alias("subtopic_dist"))
+        if text_col:
+            aggs.append(format_word_counts(F.transform(words, lambda w: F.struct(
+                w["key"].alias("word"), w["c"].alias("count")))).alias("top_words"))
+        prof = cnt.groupBy("user").agg(*aggs)
+        # both sides hold at most n rows
+        out = top.join(prof, "user", "left")
+        if text_col:
+            out = out.withColumn("top_words", F.coalesce("top_words", F.lit("")))
     return out
 
 

@@ -75,8 +75,9 @@ def q_top_users_profile(spark, sf):
     prof = US.top_users_profile(_profile_input(spark, sf), "author", "topic_id", "subtopic", "text", 20, 20)
 
     def render(m):
-        return F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(
-            e["key"], F.lit(":"), F.format_string("%.6f", e["value"]))), ";")
+        # an empty share map (no non-null keys) renders as NULL, like an empty string_agg
+        return F.when(F.size(m) > 0, F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(
+            e["key"], F.lit(":"), F.format_string("%.6f", e["value"]))), ";"))
     return prof.select("user", "n_posts", render("topic_dist").alias("topic_dist"),
                        render("subtopic_dist").alias("subtopic_dist"), "top_words")
 
