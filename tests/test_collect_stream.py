@@ -29,7 +29,7 @@ def test_assemble_first_seen_and_counters(spark):
     comments = spark.createDataFrame([("p1", "x"), ("p1", None), ("p4", "y")], "post_id string, body string")
     flat = CO.flatten(sel, comments, "post_id", "body")
     assert sorted(r["post_id"] for r in flat.collect()) == ["p1", "p4"]
-    c = {(r["src"], r["method"]): r for r in CO.counters(sel, flat, "post_id", "src").collect()}
+    c = {(r["src"], r["method"]): r for r in CO.counters(sel, comments, "post_id", "src", "body").collect()}
     assert c[("A", "relevance")]["comments_kept"] == 1 and c[("A", "top")]["posts_with_comments"] == 0
     seen = spark.createDataFrame([("p1",)], "post_id string")
     assert sorted(r[0] for r in CO.skip_seen(sel.select("post_id"), seen, "post_id").collect()) == ["p2", "p3", "p4"]

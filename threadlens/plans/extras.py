@@ -155,9 +155,7 @@ SELECT subreddit, method, count(*) AS posts_kept,
 FROM sel LEFT JOIN (SELECT post_id, count(*) AS nc FROM comments WHERE bert_label IS NOT NULL GROUP BY 1) USING (post_id)
 GROUP BY 1, 2""", _SEL_SQL))
 def q_collect_counters(spark, sf):
-    sel = _selected(spark, sf)
-    flat = CO.flatten(sel, _comment_rows(spark, sf), "post_id", "comment_body")
-    out = CO.counters(sel, flat, "post_id", "subreddit")
+    out = CO.counters(_selected(spark, sf), _comment_rows(spark, sf), "post_id", "subreddit", "comment_body")
     return out.select("subreddit", "method", F.col("posts_kept").cast("long"), F.col("posts_with_comments").cast("long"),
                       F.col("comments_kept").cast("long"), F.col("duplicates_later").cast("long"), "empty_source")
 

@@ -73,10 +73,16 @@ def flatten(selected: DataFrame, comments: DataFrame, post_col: str, body_col: s
     return selected.join(comments.filter(F.col(body_col).isNotNull()), post_col, "inner")
 
 
-def counters(selected: DataFrame, flat: DataFrame, post_col: str, source_col: str) -> DataFrame:
+def counters(selected: DataFrame, comments: DataFrame, post_col: str, source_col: str,
+             body_col: str) -> DataFrame:
     """A10: per (source, method) posts kept, posts that yielded comments, comment rows,
-    duplicates skipped later, and an empty-source flag."""
-    per_post = flat.groupBy(post_col).agg(F.count(F.lit(1)).alias("_nc"))
+    duplicates skipped later, and an empty-source flag.
+
+    Comments are counted per post first (partial aggregate), so the selection
+    is read once and joined to one row per post.
+    """
+    per_post = (comments.filter(F.col(body_col).isNotNull()).groupBy(post_col)
+                .agg(F.count(F.lit(1)).alias("_nc")))
     s = selected.join(per_post, post_col, "left")
     return s.groupBy(source_col, "method").agg(
         F.count(F.lit(1)).alias("posts_kept"),
