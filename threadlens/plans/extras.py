@@ -95,8 +95,9 @@ N_PER_SOURCE = 1000
 
 
 def _candidates(spark, sf):
+    """Posts matching the keyword query (B5), with their hit counts for relevance order."""
     p = posts(spark, sf)
-    return p.withColumn("hits", CO.keyword_hits("topic_name", KEYWORDS))
+    return p.withColumn("hits", CO.keyword_hits("topic_name", KEYWORDS)).filter(F.col("hits") > 0)
 
 
 def measures():
@@ -111,7 +112,9 @@ _SEL_SQL = f"""cand AS (
   SELECT post_id, subreddit, post_score, post_created_utc,
          (CASE WHEN regexp_matches(topic_name, '(?i)\\burgent\\b') THEN 1 ELSE 0 END +
           CASE WHEN regexp_matches(topic_name, '(?i)\\bhigh\\b') THEN 1 ELSE 0 END +
-          CASE WHEN regexp_matches(topic_name, '(?i)\\bnot\\ specified\\b') THEN 1 ELSE 0 END) AS hits FROM posts),
+          CASE WHEN regexp_matches(topic_name, '(?i)\\bnot\\ specified\\b') THEN 1 ELSE 0 END) AS hits FROM posts
+  WHERE regexp_matches(topic_name, '(?i)\\burgent\\b') OR regexp_matches(topic_name, '(?i)\\bhigh\\b')
+     OR regexp_matches(topic_name, '(?i)\\bnot\\ specified\\b')),
 ranked AS (
   SELECT post_id, subreddit, 'relevance' AS method, 0 AS method_order,
          row_number() OVER (PARTITION BY subreddit ORDER BY hits DESC, post_score DESC, post_id) AS rank FROM cand
