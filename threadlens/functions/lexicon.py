@@ -48,6 +48,14 @@ NEGATIONS = [
     "without", "wont", "wouldnt", "won't", "wouldn't", "rarely", "seldom", "despite",
 ]
 
+# Idioms of the published model (phrase -> valence), checked around
+# a lexicon word together with its third-predecessor rule.
+IDIOMS = [
+    ("the shit", 3.0), ("the bomb", 3.0), ("bad ass", 1.5), ("badass", 1.5), ("bus stop", 0.0),
+    ("yeah right", -2.0), ("kiss of death", -1.5), ("to die for", 3.0), ("beating heart", 3.1),
+    ("broken heart", -2.9),
+]
+
 # A small hand-authored default lexicon (term, valence on -4..4).
 DEFAULT_LEXICON = [
     ("good", 1.9), ("great", 3.1), ("excellent", 2.7), ("happy", 2.7), ("love", 3.2),
