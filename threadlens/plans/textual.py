@@ -300,3 +300,74 @@ def q_lexicon_sentiment(spark, sf):
     """D1 with every rule (level 2); checked against a brute-force scorer in tests."""
     d = docs(spark, sf).select("doc_id", "text")
     return SE.lexicon_scores(d, "text", _lexicon(spark), "doc_id", level=2)
+
+
+def _l1_sql():
+    from ..functions import lexicon as LX
+    lex_values = ", ".join(f"('{t}', {v})" for t, v in QUERY_LEXICON)
+    up = sql_list(LX.BOOSTERS_UP)[1:-1]
+    down = sql_list(LX.BOOSTERS_DOWN)[1:-1]
+    negs = sql_list(LX.NEGATIONS)[1:-1]
+    words = (f"list_transform(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> ''), "
+             f"lambda w: CASE WHEN length(regexp_replace(w, '{_EDGE}', '', 'g')) <= 2 THEN w "
+             f"ELSE regexp_replace(w, '{_EDGE}', '', 'g') END)")
+
+    def neg(c):
+        return f"coalesce({c} IN ({negs}) OR contains({c}, 'n''t'), false)"
+
+    def sc(k, c):
+        f = {0: "1.0", 1: "0.95", 2: "0.9"}[k]
+        return (f"(CASE WHEN v < 0 THEN -1 ELSE 1 END) * (CASE WHEN {c} IN ({up}) THEN {LX.BOOST_INCR} "
+                f"WHEN {c} IN ({down}) THEN {LX.BOOST_DECR} ELSE 0.0 END) * {f}")
+
+    mult = {
+        0: f"CASE WHEN {neg('lp1')} THEN {LX.NEGATION_SCALAR} ELSE 1.0 END",
+        1: (f"CASE WHEN coalesce(lp2 = 'never' AND lp1 IN ('so', 'this'), false) THEN 1.25 "
+            f"WHEN coalesce(lp2 = 'without' AND lp1 = 'doubt', false) THEN 1.0 "
+            f"WHEN {neg('lp2')} THEN {LX.NEGATION_SCALAR} ELSE 1.0 END"),
+        2: (f"CASE WHEN coalesce((lp3 = 'never' AND lp2 IN ('so', 'this')) OR lp1 IN ('so', 'this'), false) THEN 1.25 "
+            f"WHEN coalesce(lp3 = 'without' AND (lp2 = 'doubt' OR lp1 = 'doubt'), false) THEN 1.0 "
+            f"WHEN {neg('lp3')} THEN {LX.NEGATION_SCALAR} ELSE 1.0 END"),
+    }
+    steps = []
+    prev = "b"
+    for k in range(3):
+        cur = f"k{k}"
+        steps.append(f"""{cur} AS (SELECT * REPLACE (CASE WHEN i > {k} AND NOT in_lp{k + 1}
+            THEN (v + {sc(k, f'lp{k + 1}')}) * ({mult[k]}) ELSE v END AS v) FROM {prev})""")
+        prev = cur
+    return f"""
+WITH lex(term, valence) AS (VALUES {lex_values}),
+d AS (SELECT doc_id, text, trim(coalesce(text, '')) = '' AS blank, {words} AS w FROM documents),
+p AS (SELECT doc_id, blank, i, lower(w[i + 1]) AS lw,
+             CASE WHEN i >= 1 THEN lower(w[i]) END AS lp1, CASE WHEN i >= 2 THEN lower(w[i - 1]) END AS lp2,
+             CASE WHEN i >= 3 THEN lower(w[i - 2]) END AS lp3, lower(w[i + 2]) AS ln1
+      FROM (SELECT doc_id, blank, w, unnest(range(len(w))) AS i FROM d)),
+b AS (SELECT p.*, l0.valence IS NOT NULL AS inw, coalesce(l0.valence, 0.0) AS v,
+             l1.term IS NOT NULL AS in_lp1, l2.term IS NOT NULL AS in_lp2, l3.term IS NOT NULL AS in_lp3
+      FROM p LEFT JOIN lex l0 ON l0.term = p.lw LEFT JOIN lex l1 ON l1.term = p.lp1
+             LEFT JOIN lex l2 ON l2.term = p.lp2 LEFT JOIN lex l3 ON l3.term = p.lp3),
+{", ".join(steps)},
+f AS (SELECT doc_id, blank, CASE WHEN lw IN ({up}, {down}) OR coalesce(lw = 'kind' AND ln1 = 'of', false) THEN 0.0
+                                 WHEN inw THEN v ELSE 0.0 END AS v FROM {prev}),
+g AS (SELECT d.doc_id, d.blank, coalesce(sum(f.v), 0.0) AS s,
+             coalesce(sum(CASE WHEN f.v > 0 THEN f.v + 1 ELSE 0 END), 0.0) AS pos,
+             coalesce(sum(CASE WHEN f.v < 0 THEN f.v - 1 ELSE 0 END), 0.0) AS neg,
+             count(*) FILTER (WHERE f.v = 0) AS neu
+      FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id, d.blank),
+r AS (SELECT *, pos + abs(neg) + neu AS tot, greatest(least(s / sqrt(s * s + 15), 1.0), -1.0) AS c FROM g)
+SELECT doc_id,
+       CASE WHEN blank THEN 0.0 ELSE round(c, 4) END AS vader_compound,
+       CASE WHEN tot > 0 AND NOT blank THEN round(abs(pos / tot), 3) ELSE 0.0 END AS vader_pos,
+       CASE WHEN tot > 0 AND NOT blank THEN round(abs(neu / tot), 3) WHEN blank THEN 1.0 ELSE 0.0 END AS vader_neu,
+       CASE WHEN tot > 0 AND NOT blank THEN round(abs(neg / tot), 3) ELSE 0.0 END AS vader_neg,
+       CASE WHEN (CASE WHEN blank THEN 0.0 ELSE round(c, 4) END) >= 0.05 THEN 'positive'
+            WHEN (CASE WHEN blank THEN 0.0 ELSE round(c, 4) END) <= -0.05 THEN 'negative' ELSE 'neutral' END AS vader_label
+FROM r"""
+
+
+@register("lexicon_sentiment_l1", _l1_sql())
+def q_lexicon_sentiment_l1(spark, sf):
+    """D1 level 1: lexicon + boosters/dampeners and negation over three predecessors."""
+    d = docs(spark, sf).select("doc_id", "text")
+    return SE.lexicon_scores(d, "text", _lexicon(spark), "doc_id", level=1)
