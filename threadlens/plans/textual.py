@@ -234,9 +234,46 @@ def q_phrase_merge(spark, sf):
     return m.select("doc_id", F.array_join("merged", " ").alias("tokens"))
 
 
-@register("phrase_merge_two_pass")
+def _phrases_sql(name: str, src: str, min_count: int = 5, threshold: float = 10.0) -> str:
+    """CTEs learning phrase table ``name`` (column phrase) from token table ``src`` (doc_id, t)."""
+    return f"""{name}_keys AS (
+  SELECT unnest(t) AS key FROM {src}
+  UNION ALL
+  SELECT unnest(list_transform(range(1, len(t)), lambda i: t[i] || '_' || t[i + 1])) AS key FROM {src} WHERE len(t) >= 2),
+{name}_vocab AS (SELECT key, count(*) AS cnt FROM {name}_keys GROUP BY key),
+{name}_multi AS (SELECT key AS phrase, cnt AS n_ab, string_split(key, '_')[1] AS first,
+                        string_split(key, '_')[-1] AS last FROM {name}_vocab WHERE len(string_split(key, '_')) >= 2),
+{name} AS (SELECT phrase FROM {name}_multi JOIN {name}_vocab a ON a.key = first JOIN {name}_vocab b ON b.key = last,
+                (SELECT count(*) AS v FROM {name}_vocab)
+           WHERE (n_ab - {min_count}) * 1.0 / (a.cnt * b.cnt) * v > {threshold})"""
+
+
+def _merge_sql(name: str, src: str, ph: str) -> str:
+    """CTEs merging token table ``src`` (doc_id, t) with phrase table ``ph`` into ``name`` (doc_id, t)."""
+    return f"""{name}_pos AS (SELECT doc_id, p, t[p + 1] AS tok, t[p + 2] AS nxt
+                   FROM (SELECT doc_id, t, unnest(range(len(t))) AS p FROM {src})),
+{name}_q AS (SELECT *, coalesce(nxt IS NOT NULL AND (tok || '_' || nxt) IN (SELECT phrase FROM {ph}), false) AS q
+             FROM {name}_pos),
+{name}_pk AS (SELECT *, q AND (p - coalesce(max(CASE WHEN NOT q THEN p END) OVER (PARTITION BY doc_id ORDER BY p
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) - 1) % 2 = 0 AS picked FROM {name}_q),
+{name}_em AS (SELECT *, coalesce(lag(picked) OVER (PARTITION BY doc_id ORDER BY p), false) AS prev_picked
+              FROM {name}_pk),
+{name} AS (SELECT s.doc_id, coalesce(m.t, []::VARCHAR[]) AS t FROM {src} s LEFT JOIN (
+             SELECT doc_id, list(CASE WHEN picked THEN tok || '_' || nxt ELSE tok END ORDER BY p) AS t
+             FROM {name}_em WHERE NOT prev_picked GROUP BY doc_id) m USING (doc_id))"""
+
+
+@register("phrase_merge_two_pass", f"""
+WITH {TOKS},
+{_phrases_sql("p1", "toks")},
+{_merge_sql("m1", "toks", "p1")},
+{_phrases_sql("p2", "m1")},
+{_merge_sql("m2", "toks", "p2")},
+{_merge_sql("m3", "m2", "p1")}
+SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, array_to_string(t, ' ') AS tokens FROM m3""")
 def q_phrase_merge_two_pass(spark, sf):
-    """C6 + C7 in the reference order (second model applied first); rows-only."""
+    """C6 + C7 in the reference order: the second model (learned on pass-1 output)
+    is applied to the raw tokens first, then the first model."""
     res, _, _ = PH.learn_and_merge(doc_tokens(spark, sf), "doc_id", "tokens", 5, 10.0)
     return res.select("doc_id", F.size("phrased").alias("n_tokens"), F.array_join("phrased", " ").alias("tokens"))
 
