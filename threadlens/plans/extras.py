@@ -226,9 +226,53 @@ def q_prefix_scan(spark, sf):
 
 # ------------------------------------------------------------------ L3 / L4 / C12
 
-@register("findings_rows")
+def _findings_sql():
+    from .aggregates import _PAIRS, _TD_RAW, _TOPIC_CHANGE, _TOPIC_YEAR
+    shares = ", ".join(f"1.0 * sum(CASE WHEN bert_label = '{v}' THEN 1 ELSE 0 END) / count(*) AS {v}"
+                       for v in ("negative", "neutral", "positive"))
+    ys = f"""ys AS (SELECT CAST(year(comment_created_utc) AS INTEGER) AS year, {shares}
+  FROM comments WHERE comment_created_utc IS NOT NULL AND bert_label IS NOT NULL GROUP BY 1)"""
+    tr = """tr AS (
+  SELECT label, regr_slope(share, x) AS slope,
+         CASE WHEN var_samp(share) = 0 THEN 0.0 ELSE corr(x, share) * corr(x, share) END AS r2,
+         CASE WHEN regr_slope(share, x) > 0 THEN 'increasing' ELSE 'decreasing' END AS direction,
+         arg_min(share, x) AS st, arg_max(share, x) AS en
+  FROM (SELECT CAST(year AS DOUBLE) AS x, 'positive' AS label, positive AS share FROM ys
+        UNION ALL SELECT CAST(year AS DOUBLE), 'negative', negative FROM ys
+        UNION ALL SELECT CAST(year AS DOUBLE), 'neutral', neutral FROM ys)
+  GROUP BY label HAVING count(*) > 1)"""
+    gl = """gl AS (
+  SELECT * FROM (SELECT 'gaining' AS side, topic, last_share - first_share AS change FROM tc
+                 ORDER BY last_share - first_share DESC, topic ASC LIMIT 3)
+  UNION ALL
+  SELECT * FROM (SELECT 'losing' AS side, topic, last_share - first_share AS change FROM tc
+                 ORDER BY last_share - first_share ASC, topic DESC LIMIT 3))"""
+    cr = """cr AS (SELECT CASE WHEN count(*) > 10 THEN corr(post_score, avg_comment_score) END AS r,
+                  regr_slope(avg_comment_score, post_score) AS slope FROM pp)"""
+    body = """
+SELECT 'topic_prevalence' AS question, side AS metric, 'topic ' || topic AS subject, round(change, 6) AS value,
+       'Topic ' || topic || ': ' || printf('%+.1f%%', round(change * 100, 1)) AS text FROM gl
+UNION ALL
+SELECT 'post_comment', 'pearson_r',
+       CASE WHEN abs(r) > 0.5 THEN 'strong' WHEN abs(r) > 0.3 THEN 'moderate' ELSE 'weak' END, round(r, 6),
+       'r = ' || printf('%.3f', round(r, 3)) || ', slope = ' || printf('%.4f', round(slope, 4)) || ' (' ||
+       CASE WHEN abs(r) > 0.5 THEN 'strong' WHEN abs(r) > 0.3 THEN 'moderate' ELSE 'weak' END || ' ' ||
+       CASE WHEN r > 0 THEN 'positive' WHEN r < 0 THEN 'negative' ELSE 'none' END || ')' FROM cr
+UNION ALL
+SELECT * FROM (SELECT 'high_risk', 'top_negative_bert', 'topic ' || topic, round(bert_neg_pct, 6),
+       'Topic ' || topic || ': ' || printf('%.1f%%', round(bert_neg_pct * 100, 1)) || ' of ' || format('{:,}', n_rows)
+       FROM td ORDER BY bert_neg_pct DESC, topic LIMIT 5)
+UNION ALL
+SELECT 'sentiment_trend', 'bert_' || label, direction, round(slope, 6),
+       printf('%.1f%%', round(st * 100, 1)) || ' to ' || printf('%.1f%%', round(en * 100, 1)) || ', slope ' ||
+       printf('%.4f', round(slope, 4)) || '/yr, R2 ' || printf('%.3f', round(r2, 3)) FROM tr"""
+    from .sqlbind import with_pc
+    return with_pc(body, _TOPIC_YEAR, _TOPIC_CHANGE, gl, _PAIRS, cr, _TD_RAW, ys, tr)
+
+
+@register("findings_rows", _findings_sql())
 def q_findings_rows(spark, sf):
-    """L3 + L4: the three research questions and trend findings as report rows."""
+    """L3 + L4 + C12: the three research questions and trend findings as report rows."""
     pc = posts_comments(spark, sf)
     ty = D.topic_share_by_period(pc, "year", "comment_created_utc", "topic_id")
     gl = TR.gain_loss_top(TR.topic_change(ty))
