@@ -118,17 +118,22 @@ def term_relevance(model, vocab_df: DataFrame, bow: DataFrame, lam: float = 0.6,
 
 
 def k_search(vectors: DataFrame, texts: DataFrame, vocab_df: DataFrame, ks, passes: int = 8,
-             seed: int = 42, tokens_col: str = "tokens", topn: int = 20) -> DataFrame:
+             seed: int = 42, tokens_col: str = "tokens", topn: int = 20, parallel: int = 4) -> DataFrame:
     """Fit one model per k and score it by c_v coherence; (k, coherence, best).
 
-    The loop over k runs on the driver (a handful of fits) over the same
-    checkpointed vectors; ties go to the smallest k.
+    The fits are independent seeded jobs over the same checkpointed vectors;
+    a small driver thread pool submits them concurrently so their
+    per-iteration scheduling gaps overlap. Ties go to the smallest k.
     """
-    rows = []
-    for k in ks:
+    from concurrent.futures import ThreadPoolExecutor
+
+    def score(k):
         m = fit_lda(vectors, k, passes, seed)
         c = coherence_cv(texts, topic_top_words(m, vocab_df, topn), tokens_col).first()["coherence"]
-        rows.append((int(k), float(c) if c is not None else None))
+        return int(k), (float(c) if c is not None else None)
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        rows = list(pool.map(score, list(ks)))
     if not rows:
         raise ValueError("k search needs a non-empty k range (corpus too small)")
     best = max(rows, key=lambda r: (r[1] if r[1] is not None else float("-inf"), -r[0]))[0]
