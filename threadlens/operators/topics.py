@@ -22,19 +22,17 @@ def prepare_corpus(docs: DataFrame, doc_col: str, tokens_col: str = "tokens", no
                    no_above: float = 0.5, keep_n: int | None = 100_000):
     """Vocabulary (C8) + count vectors + in-vocabulary document length.
 
-    Returns (vectors [doc, tokens, features, doc_len], vocab DataFrame [term_id, term, df], terms list).
+    Returns (vectors [doc, tokens, features, doc_len], vocab DataFrame [term_id, term], number of terms).
     """
     docs = docs.select(doc_col, tokens_col)
     # The vocabulary is bounded by keep_n: materialise it once, broadcast it for
     # the in-vocabulary length count, and hand its term list to the vectoriser.
     vocab = materialize(vocabulary(docs, tokens_col, no_below, no_above, keep_n))
-    vec, terms = count_vectors(docs, vocab, tokens_col)
+    vec, vocab_df, n_terms = count_vectors(docs, vocab, tokens_col)
     lens = bag_of_words(docs, broadcast_if_small(vocab), doc_col, tokens_col).groupBy(doc_col) \
         .agg(F.sum("count").alias("doc_len"))
     vec = vec.join(lens, doc_col, "left").withColumn("doc_len", F.coalesce("doc_len", F.lit(0)).cast("long"))
-    spark = docs.sparkSession
-    vocab_df = spark.createDataFrame([(i, t) for i, t in enumerate(terms)], "term_id int, term string")
-    return materialize(vec), vocab_df, terms
+    return materialize(vec), materialize(vocab_df.select("term_id", "term")), n_terms
 
 
 def fit_lda(vectors: DataFrame, k: int, passes: int = 12, seed: int = 42, features: str = "features"):

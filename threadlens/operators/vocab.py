@@ -46,13 +46,27 @@ def bag_of_words(docs: DataFrame, vocab: DataFrame, doc_col: str, tokens_col: st
 
 
 def count_vectors(docs: DataFrame, vocab: DataFrame, tokens_col: str = "tokens",
-                  out: str = "features") -> tuple[DataFrame, list]:
+                  out: str = "features") -> tuple[DataFrame, DataFrame, int]:
     """Sparse count vectors (VectorUDT) for pyspark.ml, indexed by ``term_id``.
 
-    The term list is bounded by ``keep_n``; it is what a fitted
-    ``CountVectorizer`` holds on the driver and broadcasts anyway.
+    Returns (vectors, vocab_df [term_id, term, df], number of terms). The term
+    list (bounded by ``keep_n``) is what a fitted ``CountVectorizer`` holds on
+    the driver and broadcasts anyway; it is collected as a JVM string array
+    and handed to the model there, without a per-term trip through Python.
     """
-    terms = [r["term"] for r in vocab.orderBy(F.desc("df"), F.asc("term")).select("term").collect()]
-    require_vocabulary(terms)
-    cv = CountVectorizerModel.from_vocabulary(terms, inputCol=tokens_col, outputCol=out)
-    return cv.transform(docs), terms
+    from pyspark.sql import Window
+
+    ordered = vocab.orderBy(F.desc("df"), F.asc("term"))
+    jvm = docs.sparkSession.sparkContext._jvm
+    jterms = getattr(ordered.select("term")._jdf, "as")(jvm.org.apache.spark.sql.Encoders.STRING()).collect()
+    n = len(jterms)
+    if n == 0:
+        require_vocabulary([])
+    jmodel = jvm.org.apache.spark.ml.feature.CountVectorizerModel(
+        f"CountVectorizerModel_{abs(hash(out)) % 10**12:012d}", jterms)
+    cv = CountVectorizerModel(jmodel)
+    cv._transfer_params_from_java()
+    cv.setInputCol(tokens_col).setOutputCol(out)
+    w = Window.orderBy(F.desc("df"), F.asc("term"))  # over the bounded vocabulary only
+    vocab_df = ordered.select((F.row_number().over(w) - 1).cast("int").alias("term_id"), "term", "df")
+    return cv.transform(docs), vocab_df, n
