@@ -174,3 +174,13 @@ def test_histogram_bins_closed_last(spark):
     same = spark.createDataFrame([(5,), (5,)], "x int")
     hs = D.histogram(same, "x", 2).orderBy("bin").collect()
     assert [r["n"] for r in hs] == [0, 2] and hs[0]["bin_start"] == 4.5
+
+
+def test_post_text_mode(spark):
+    rows = [("p1", 1, 1, "negative", "positive"), ("p1", 2, 2, "negative", "positive"), ("p2", 1, 3, "positive", None)]
+    df = spark.createDataFrame(rows, "post_id string, ord int, comment_id int, bert_label string, post_lab string")
+    got = {r["post_id"]: (r["post_score"], r["avg_comment_score"]) for r in
+           CT.post_comment_pairs(df, "bert_label", ["ord"], mode="post_text", post_label_col="post_lab").collect()}
+    assert got == {"p1": (1, -1.0), "p2": (0, 1.0)}
+    with pytest.raises(ValueError):
+        CT.post_comment_pairs(df, "bert_label", ["ord"], mode="post_text")

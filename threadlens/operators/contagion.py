@@ -20,13 +20,28 @@ ALIGN_BINS = [(-2.0, -0.5, "Negative"), (-0.5, 0.5, "Neutral"), (0.5, 2.0, "Posi
 
 
 def post_comment_pairs(df: DataFrame, label: str, order_cols, post_col: str = "post_id",
-                       comment_col: str = "comment_id") -> DataFrame:
-    """F21 + F22 + G1: per post, ``post_score`` = polarity of its first row's label,
+                       comment_col: str = "comment_id", mode: str = "first_row",
+                       post_label_col: str | None = None) -> DataFrame:
+    """F21 + F22 + G1: per post, ``post_score`` = polarity of the post's label,
     ``avg_comment_score`` = share positive - share negative over its rows (NULL label
-    counts as 0), plus the comment count and the first row's label (G2)."""
+    counts as 0), plus the comment count and the post's label (G2).
+
+    ``mode='first_row'`` (reference behaviour): the post's label is the label of
+    its first row, i.e. its first comment, which is also inside the average.
+    ``mode='post_text'``: the post's label is ``post_label_col`` (a label scored
+    on the post's own text, constant per post) and the average covers comments only.
+    """
     order = F.struct(*[F.col(c) for c in order_cols])
+    if mode == "first_row":
+        post_label = F.min_by(F.col(label), order)
+    elif mode == "post_text":
+        if not post_label_col:
+            raise ValueError("mode='post_text' needs post_label_col")
+        post_label = F.min_by(F.col(post_label_col), order)
+    else:
+        raise ValueError("mode must be 'first_row' or 'post_text'")
     return df.groupBy(post_col).agg(
-        F.min_by(F.col(label), order).alias("post_label"),
+        post_label.alias("post_label"),
         F.avg(polarity(label).cast("double")).alias("avg_comment_score"),
         F.count(comment_col).alias("n_comments"),
     ).withColumn("post_score", polarity("post_label"))
