@@ -47,20 +47,34 @@ def first_seen(stream: DataFrame, time_col: str, keys, watermark: str = "365 day
     return s.withWatermark("_et", watermark).dropDuplicatesWithinWatermark(list(keys)).drop("_et")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def _run_to_table(spark: SparkSession, agg: DataFrame, mode: str, name: str) -> DataFrame:
     """Drive a streaming plan over everything available and return the written rows."""
     out = scratch_path(spark, f"{name}-out")
     ckpt = scratch_path(spark, f"{name}-ckpt")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        # complete mode: every batch carries the full result -> overwrite;
-        # append mode: only new rows -> append.
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        # Idempotent under batch retries: complete mode carries the full result,
+        # so each batch overwrites the folder; append mode writes each batch to
+        # its own folder, which a retried batch simply overwrites.
+        if mode == "complete":
+            batch.write.mode("overwrite").parquet(out)
+        else:
+            batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     q = (agg.writeStream.outputMode(mode).foreachBatch(sink)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema(agg.schema).parquet(out)
+    if not _exists(spark, out):  # no input arrived: no batch wrote anything
+        return spark.createDataFrame([], agg.schema)
+    if mode == "complete":
+        return spark.read.schema(agg.schema).parquet(out)
+    return spark.read.parquet(out).drop("batch")
 
 
 def read_stream(spark: SparkSession, path: str, schema) -> DataFrame:
