@@ -85,8 +85,8 @@ def top_users_profile(df: DataFrame, user_col: str, topic_col: str | None, subto
             aggs.append(format_word_counts(F.transform(words, lambda w: F.struct(
                 w["key"].alias("word"), w["c"].alias("count")))).alias("top_words"))
         prof = cnt.groupBy("user").agg(*aggs)
-        # both sides hold at most n rows
-        out = top.join(prof, "user", "left")
+        # both sides hold at most n rows (prof is keyed by users of the top list)
+        out = top.join(F.broadcast(prof), "user", "left")
         if text_col:
             out = out.withColumn("top_words", F.coalesce("top_words", F.lit("")))
     return out
