@@ -79,7 +79,7 @@ class Encoder:
                 at = [0, *[m.start() for m in _CUT(t)], len(t)]
                 parts.append([t[a:b] for a, b in zip(at, at[1:])])
         cache = self.cache
-        new = list(set().union(*parts) - cache.keys())
+        new = [c for c in set().union(*parts) if c not in cache]
         cache.update(zip(new, self.whole(new)))
         get = cache.__getitem__
         out = [b"".join(map(get, p)) for p in parts]

@@ -179,8 +179,9 @@ class Bpe:
             has = self.split_added is not None and any(a in t for a in self.added)
             parts.append([struct.pack("<I", self.added[p]) if p in self.added else self.chunks(p)
                           for p in (self.split_added(t) if has else [t])])
-        cache, known = self.cache, self.cache.keys()
-        new = set().union(*[p for ps in parts for p in ps if not isinstance(p, bytes)]) - known
+        cache = self.cache
+        seen = set().union(*[p for ps in parts for p in ps if not isinstance(p, bytes)])
+        new = {c for c in seen if c not in cache}
         self.learn(new)
         get = cache.__getitem__
         out = [b"".join([p if isinstance(p, bytes) else b"".join(map(get, p)) for p in ps]) for ps in parts]

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,8 +33,8 @@ from .common import pick, slices_by_bytes, stored, written
 TRAIN_ROWS = 20_000
 LEXICON_SIZE = 5_000
 # A learned entry: toxic documents it must be in (count and share), and its least log odds.
-MIN_DOCS, MIN_SHARE, MIN_ODDS = 8, 0.004, 3.0
-STEM_CHARS = (4, 5, 6)
+MIN_DOCS, MIN_SHARE, MIN_ODDS = 4, 0.005, 3.0
+STEM_CHARS = (4, 5, 6, 7)
 MAX_EDITS = 1
 FUZZY_CHARS = 5
 WINDOW = 5
@@ -144,7 +145,7 @@ def features(text: str | None, trie: Trie, common: frozenset, cache: dict) -> tu
     low = (text or "").lower()
     found = WORD.findall(low)
     own = set(found)
-    for w in own - cache.keys():
+    for w in [w for w in own if w not in cache]:
         got = trie.match(w)
         cache[w] = None if got is None or (got[1] and w in common) else got
     hits = {w: cache[w] for w in own if cache[w] is not None}
@@ -190,6 +191,18 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     return written(src.join(F.broadcast(chosen), "k").select("k", "text", "y"), "tox-train")
 
 
+def group_mark(text: str | None) -> int:
+    """Smallest hash of a text's five-word runs: near copies mostly have the same."""
+    w = WORD.findall((text or "").lower())
+    return min(zlib.crc32(" ".join(w[i:i + 5]).encode()) for i in range(max(1, len(w) - 4)))
+
+
+def one_a_group(train: DataFrame) -> DataFrame:
+    """One sample row for each mark and label, so that copies don't vouch for a term's spread."""
+    marked = train.withColumn("g", F.udf(group_mark, "long")("text"))
+    return written(marked.groupBy("g", "y").agg(F.min_by("text", "k").alias("text")), "tox-groups")
+
+
 def _counts(rows: DataFrame, keep) -> dict[str, int]:
     """Documents that hold each entry ``keep(set of words)`` names; summed by Spark."""
     def work(batches: Iterator) -> Iterator:
@@ -232,6 +245,9 @@ def learn_lexicon(train: DataFrame, n_toxic: int, n_clean: int) -> dict[str, tup
         whole = max((cand[w] for w in terms if w.startswith(s)), default=0)
         if cand[s + "*"] >= 1.5 * whole and not s.startswith(tuple(stems)):
             stems.append(s)
+    # The longest beginning that nearly all of a stem's documents share is the safer one.
+    stems = [max((w[:-1] for w in good if w.endswith("*") and w.startswith(s) and cand[w] >= 0.95 * cand[s + "*"]),
+                 key=lambda w: (len(w), w)) for s in stems]
     learned = {w: (o, False) for w, o in terms.items() if not w.startswith(tuple(stems))}
     learned |= {s: (good[s + "*"], True) for s in stems}
     top = sorted(learned.items(), key=lambda e: (-e[1][0], e[0]))[:LEXICON_SIZE]
@@ -249,16 +265,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = {r.y: r.n for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return Model({w: (SEED_WEIGHT, False) for w in SEEDS}, weights=(2.0, 0.5, 0.3, 1.0, 0.3), bias=-3.0)
-    model = Model(learn_lexicon(train, n[1], n[0]))
+    single = one_a_group(train)
+    n = {r.y: r.n for r in single.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    model = Model(learn_lexicon(single, n[1], n[0]))
     trie = Trie(model.entries)
 
-    def spelled(words: set[str]) -> set[str]:
-        return {w for w in words if (got := trie.match(w)) is not None and got[1]}
+    def spelled(words: set[str], cache: dict = {}) -> set[str]:  # noqa: B006 - lives as long as the task
+        for w in [w for w in words if w not in cache]:
+            got = trie.match(w)
+            cache[w] = got is not None and got[1] > 0
+        own = {w for w in words if cache[w]}
+        if len(cache) > CACHE_WORDS:
+            cache.clear()
+        return own
 
-    near = _counts(train.where("y = 0"), spelled).where(F.col("n") >= 2).collect()
+    near = _counts(single.where("y = 0"), spelled).where(F.col("n") >= 2).collect()
     model.common = frozenset(r.w for r in near)
     spark = docs.sparkSession
-    x = F.udf(lambda t: list(features(t, trie, model.common, {})), "array<double>")
+    x = F.udf(lambda t, cache={}: list(features(t, trie, model.common, cache)), "array<double>")  # noqa: B006
     rows_x = stored(train.select(array_to_vector(x("text")).alias("features"), F.col("y").cast("double").alias("label")))
     got = LogisticRegression(regParam=0.001, maxIter=50).fit(rows_x)
     model.weights, model.bias = tuple(got.coefficients.toArray().tolist()), float(got.intercept)
