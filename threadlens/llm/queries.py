@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, bpe, decontam, maxscore, simhash, toxicity
+from . import bitplane, bpe, decontam, maxscore, simhash, toxicity, warc
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               "score", "predicted")
 
 
+def op4_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_digests(table(spark, sf_dir, "pages"))
+
+
 def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL: dict[str, str] = {}
 
+SQL["op4_warc_transactions"] = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages
+), f AS (
+  SELECT digest, min(page_id) AS first_page FROM p WHERE n >= 100 GROUP BY digest
+)
+SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN p.page_id <> f.first_page THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN p.page_id <> f.first_page THEN f.first_page END AS refers_to
+FROM p LEFT JOIN f USING (digest)
+"""
+
 SQL["op9_maxscore_topk"] = """
 WITH e AS (
   SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
