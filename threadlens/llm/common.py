@@ -38,6 +38,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Ask the driver's JVM to collect garbage, upon which Spark deletes the shuffle files of
+    finished steps; the same as ``spark.cleaner.periodicGC.interval`` does, but in time."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def pick(df: DataFrame, **roles: str) -> DataFrame:
     """Select columns by role (``role=column``); columns of other names, also ones
     that clash with an operator's own names, stay outside."""
