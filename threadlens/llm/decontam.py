@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, slices_by_bytes, stored
+from .common import pick, slices_by_bytes, stored, written
 
 WINDOW = 10
 # Words of benchmark windows that are sent to the tasks in one block (about 20 MB).
@@ -148,48 +148,45 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     repeated rows and null ids; an empty table on either side gives no hits. Other
     columns are ignored.
     """
-    out = "doc_id long, row long, n_words long, spans array<struct<start:int,end:int>>, items array<long>"
-    src = pick(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as long) doc_id", "text")
+    state = "doc_id long, text string, n_words long, spans array<struct<start:int,end:int>>, items array<long>"
+    src = pick(docs, doc_id=id_col, text=text_col).selectExpr(
+        "cast(doc_id as long) doc_id", "text", "0L n_words", "cast(array() as array<struct<start:int,end:int>>) spans",
+        "cast(array() as array<long>) items")
     wins = stored(windows_of(items, item_id_col, item_text_col, size))
-    sc, frames = docs.sparkSession.sparkContext, []
+    sc = docs.sparkSession.sparkContext
 
-    def scan(sent):
+    def scan(sent, last: bool):
         def work(batches: Iterator) -> Iterator:
             import pyarrow as pa
-            from pyspark import TaskContext
 
-            index, row = sent.value, TaskContext.get().partitionId() << 33
+            types = [pa.int64(), pa.string(), pa.int64(),
+                     pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.int64())]
+            index = sent.value
             for batch in batches:
                 for part in slices_by_bytes(batch, 1):
                     rows = []
-                    for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    for k, t, _, spans, own in zip(*(part.column(i).to_pylist() for i in range(5))):
                         w = words(t)
                         found = hits(w, index)
-                        rows.append((k, row, len(w), [{"start": a, "end": b} for a, b in merged(
-                            [(s, s + m) for s, m, _ in found])],
-                            sorted({x for *_, own in found for x in own if x is not None})))
-                        row += 1
-                    types = [pa.int64(), pa.int64(), pa.int64(),
-                             pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.int64())]
-                    names = ["doc_id", "row", "n_words", "spans", "items"]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                        runs = merged([(x["start"], x["end"]) for x in spans] + [(s, s + m) for s, m, _ in found])
+                        own = {*own, *(x for *_, more in found for x in more if x is not None)}
+                        rows.append((k, None if last else t, len(w), [{"start": a, "end": b} for a, b in runs],
+                                     sorted(own)))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)],
+                                                     names=["doc_id", "text", "n_words", "spans", "items"])
         return work
 
-    for block in blocks_of(wins, block_words, size):
-        counts = rarity(src, {w for _, win in block for w in win})
-        frames.append(src.mapInArrow(scan(sc.broadcast(index_of(block, counts))), out))
-    if not frames:
-        frames = [src.mapInArrow(scan(sc.broadcast({})), out)]
-    if len(frames) == 1:
-        all_rows = frames[0]
-    else:
-        # A row has the same number in every block's scan of the same splits.
-        all_rows = frames[0]
-        for f in frames[1:]:
-            all_rows = all_rows.unionByName(f)
-        all_rows = _merge_blocks(all_rows)
+    # Each block adds to what the blocks before it found; between blocks the rows are stored.
+    blocks = blocks_of(wins, block_words, size)
+    block, rows = next(blocks, []), src
+    while block is not None:
+        after = next(blocks, None)
+        counts = rarity(src, {w for _, win in block for w in win}) if block else {}
+        rows = rows.mapInArrow(scan(sc.broadcast(index_of(block, counts)), after is None), state)
+        rows = rows if after is None else written(rows, "decontam")
+        block = after
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    return all_rows.select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", "items")
+    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", "items")
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -200,21 +197,3 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                         item_id_col, item_text_col, size).where("n_hit > 0")
     bad = stored(hit.select(F.col("doc_id").alias("__h")).distinct())
     return docs.join(bad, F.xxhash64(F.col(f"`{text_col}`")) == bad["__h"], "left_anti")
-
-
-def _merge_blocks(rows: DataFrame) -> DataFrame:
-    """Union of a row's spans and items over the blocks: only rows with hits are gathered."""
-    def union(spans):
-        done = F.aggregate(
-            F.array_sort(spans), F.expr("cast(array() as array<struct<start:int,end:int>>)"),
-            lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(
-                F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(
-                    F.element_at(acc, -1)["start"].alias("start"),
-                    F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(
-                        F.concat(acc, F.array(x))))
-        return done
-
-    return (rows.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
-                                    F.flatten(F.collect_list("spans")).alias("spans"),
-                                    F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-                .select("doc_id", "row", "n_words", union(F.col("spans")).alias("spans"), "items"))
