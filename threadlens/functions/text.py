@@ -20,19 +20,27 @@ URL_PATTERN = r"(?U)http\S+|www\.\S+"
 WHITELIST_PATTERN = r"(?U)[^A-Za-z0-9\s.,!?']"
 SPACE_RUN_PATTERN = r"(?U)\s+"
 
-# Code-point ranges treated as emoji (pictographs, dingbats,
-# symbols, regional indicators, skin tones, joiners, variation selectors,
-# keycap and tag characters).
-EMOJI_RANGES = [
-    ("1F000", "1FAFF"), ("2600", "27BF"), ("2300", "23FF"), ("2B00", "2BFF"),
-    ("2190", "21FF"), ("25A0", "25FF"), ("2900", "297F"), ("3030", "3030"),
-    ("303D", "303D"), ("3297", "3297"), ("3299", "3299"), ("00A9", "00A9"),
-    ("00AE", "00AE"), ("203C", "203C"), ("2049", "2049"), ("2122", "2122"),
-    ("2139", "2139"), ("24C2", "24C2"), ("200D", "200D"), ("20E3", "20E3"),
-    ("FE00", "FE0F"), ("E0020", "E007F"),
-]
-EMOJI_PATTERN = "[" + "".join(
-    f"\\x{{{a}}}" if a == b else f"\\x{{{a}}}-\\x{{{b}}}" for a, b in EMOJI_RANGES) + "]"
+# Code points with the Emoji property of the Unicode data (digits, # and *
+# left out: they are emoji only in keycap sequences).
+EMOJI_RANGES = (
+    "00A9 00AE 203C 2049 2122 2139 2194-2199 21A9-21AA 231A-231B 2328 23CF 23E9-23F3 23F8-23FA 24C2 "
+    "25AA-25AB 25B6 25C0 25FB-25FE 2600-2604 260E 2611 2614-2615 2618 261D 2620 2622-2623 2626 262A "
+    "262E-262F 2638-263A 2640 2642 2648-2653 265F-2660 2663 2665-2666 2668 267B 267E-267F 2692-2697 2699 "
+    "269B-269C 26A0-26A1 26A7 26AA-26AB 26B0-26B1 26BD-26BE 26C4-26C5 26C8 26CE-26CF 26D1 26D3-26D4 "
+    "26E9-26EA 26F0-26F5 26F7-26FA 26FD 2702 2705 2708-270D 270F 2712 2714 2716 271D 2721 2728 2733-2734 "
+    "2744 2747 274C 274E 2753-2755 2757 2763-2764 2795-2797 27A1 27B0 27BF 2934-2935 2B05-2B07 2B1B-2B1C "
+    "2B50 2B55 3030 303D 3297 3299 1F004 1F0CF 1F170-1F171 1F17E-1F17F 1F18E 1F191-1F19A 1F1E6-1F1FF "
+    "1F201-1F202 1F21A 1F22F 1F232-1F23A 1F250-1F251 1F300-1F321 1F324-1F393 1F396-1F397 1F399-1F39B "
+    "1F39E-1F3F0 1F3F3-1F3F5 1F3F7-1F4FD 1F4FF-1F53D 1F549-1F54E 1F550-1F567 1F56F-1F570 1F573-1F57A "
+    "1F587 1F58A-1F58D 1F590 1F595-1F596 1F5A4-1F5A5 1F5A8 1F5B1-1F5B2 1F5BC 1F5C2-1F5C4 1F5D1-1F5D3 "
+    "1F5DC-1F5DE 1F5E1 1F5E3 1F5E8 1F5EF 1F5F3 1F5FA-1F64F 1F680-1F6C5 1F6CB-1F6D2 1F6D5-1F6D7 "
+    "1F6DC-1F6E5 1F6E9 1F6EB-1F6EC 1F6F0 1F6F3-1F6FC 1F7E0-1F7EB 1F7F0 1F90C-1F93A 1F93C-1F945 "
+    "1F947-1F9FF 1FA70-1FA7C 1FA80-1FA89 1FA8F-1FAC6 1FACE-1FADC 1FADF-1FAE9 1FAF0-1FAF8 "
+).split()
+_EMOJI = "[" + "".join("-".join(f"\\x{{{c}}}" for c in r.split("-")) for r in EMOJI_RANGES) + "]"
+# One emoji with its variation selector, skin tone or tags, and what joiners tie to it.
+_EMOJI_UNIT = _EMOJI + r"[\x{FE0F}\x{1F3FB}-\x{1F3FF}\x{E0020}-\x{E007F}]*\x{20E3}?"
+EMOJI_PATTERN = rf"[0-9#*]\x{{FE0F}}?\x{{20E3}}|{_EMOJI_UNIT}(?:\x{{200D}}{_EMOJI_UNIT})*"
 
 
 def _c(x) -> Column:
@@ -73,7 +81,7 @@ def remove_urls(c) -> Column:
 
 
 def remove_emoji(c) -> Column:
-    """C1f: drop emoji code points (replaced by nothing)."""
+    """C1f: drop emoji, whole sequences at once. Symbols that are no emoji stay for the whitelist."""
     return _rx(_c(c), EMOJI_PATTERN)
 
 
@@ -88,6 +96,11 @@ def collapse_spaces(c) -> Column:
     return F.trim(_rx(_c(c), SPACE_RUN_PATTERN, " "))
 
 
+def is_blank(c) -> Column:
+    """NULL, empty, or white space only (Unicode white space)."""
+    return F.coalesce(_c(c).cast("string"), F.lit("")).rlike(r"(?U)^\s*$")
+
+
 def clean_text(c, word_boundary: bool = False) -> Column:
     """The full cleaning chain; NULL -> ""."""
     s = F.coalesce(_c(c).cast("string"), F.lit(""))
@@ -134,16 +147,6 @@ def format_word_counts(pairs) -> Column:
     return F.array_join(F.transform(_c(pairs), lambda p: F.concat_ws(":", p["word"], p["count"].cast("string"))), ";")
 
 
-def pct1(x) -> Column:
-    """``{:.1%}``."""
-    return F.format_string("%.1f%%", _c(x) * 100)
-
-
-def signed_pct1(x) -> Column:
-    """``{:+.1%}``."""
-    return F.format_string("%+.1f%%", _c(x) * 100)
-
-
 def fixed(x, digits: int) -> Column:
     """``{:.Nf}``."""
     return F.format_string(f"%.{digits}f", _c(x))

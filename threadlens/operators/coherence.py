@@ -111,17 +111,18 @@ def coherence_cv_per_topic(texts: DataFrame, top_words: DataFrame, tokens_col: s
     g = g.join(c1.select(F.col("term").alias("b"), F.col("c").alias("c_b")), "b", "left")
     g = attach_scalars(g, n_windows)
     c_ab = F.when(F.col("a") == F.col("b"), F.coalesce("c_a", F.lit(0))).otherwise(F.coalesce("c_ab", F.lit(0)))
-    p_ab = c_ab / F.col("_N")
-    p_a = F.coalesce("c_a", F.lit(0)) / F.col("_N")
-    p_b = F.coalesce("c_b", F.lit(0)) / F.col("_N")
-    lr = F.log((p_ab + EPSILON) / (p_a * p_b))
-    g = g.withColumn("nlr", lr / (-F.log(p_ab + EPSILON)))
+    p_ab = F.coalesce(F.try_divide(c_ab, F.col("_N")), F.lit(0.0))
+    p_a = F.coalesce(F.try_divide(F.col("c_a"), F.col("_N")), F.lit(0.0))
+    p_b = F.coalesce(F.try_divide(F.col("c_b"), F.col("_N")), F.lit(0.0))
+    # A word that stands in no window has no ratio; it counts 0, like a zero vector below.
+    lr = F.log(F.try_divide(p_ab + EPSILON, p_a * p_b))
+    g = g.withColumn("nlr", F.coalesce(F.try_divide(lr, -F.log(p_ab + EPSILON)), F.lit(0.0)))
     # Context vectors: v(a)[b] = nlr(a, b); v(W)[b] = sum_a nlr(a, b).
     vw = g.groupBy("topic", "b").agg(F.sum("nlr").alias("vw"))
     j = g.join(vw, ["topic", "b"])
-    cos = j.groupBy("topic", "a").agg(
-        (F.sum(F.col("nlr") * F.col("vw")) /
-         (F.sqrt(F.sum(F.col("nlr") * F.col("nlr"))) * F.sqrt(F.sum(F.col("vw") * F.col("vw"))))).alias("cos"))
+    cos = j.groupBy("topic", "a").agg(F.coalesce(F.try_divide(
+        F.sum(F.col("nlr") * F.col("vw")),
+        F.sqrt(F.sum(F.col("nlr") * F.col("nlr"))) * F.sqrt(F.sum(F.col("vw") * F.col("vw")))), F.lit(0.0)).alias("cos"))
     return cos.groupBy("topic").agg(F.avg("cos").alias("coherence"))
 
 

@@ -26,14 +26,14 @@ def post_comment_pairs(df: DataFrame, label: str, order_cols, post_col: str = "p
     ``avg_comment_score`` = share positive - share negative over its rows (NULL label
     counts as 0), plus the comment count and the post's label (G2).
 
-    ``mode='first_row'`` (reference behaviour): the post's label is the label of
-    its first row, i.e. its first comment, which is also inside the average.
+    ``mode='first_row'`` (reference behaviour): the post's label is the first label
+    that is not NULL (H2) in row order, which is also inside the average.
     ``mode='post_text'``: the post's label is ``post_label_col`` (a label scored
     on the post's own text, constant per post) and the average covers comments only.
     """
     order = F.struct(*[F.col(c) for c in order_cols])
     if mode == "first_row":
-        post_label = F.min_by(F.col(label), order)
+        post_label = F.min_by(F.col(label), F.when(F.col(label).isNotNull(), order))
     elif mode == "post_text":
         if not post_label_col:
             raise ValueError("mode='post_text' needs post_label_col")
@@ -86,14 +86,14 @@ def alignment_matrix(pairs: DataFrame) -> DataFrame:
 def post_label_maps(df: DataFrame, label: str, order_cols, post_col: str = "post_id",
                     comment_col: str = "comment_id") -> DataFrame:
     """F23 + H2: per post, the label -> count map of its rows (NULL labels left
-    out), its comment count and the first row's label.
+    out), its comment count and the first label that is not NULL.
 
     Counts per (post, label) are reduced first, so the map for one post is
     built from at most one entry per label value.
     """
     order = F.struct(*[F.col(c) for c in order_cols])
     per = df.groupBy(post_col).agg(F.count(comment_col).alias("n_comments"),
-                                   F.min_by(F.col(label), order).alias("post_label"))
+                                   F.min_by(F.col(label), F.when(F.col(label).isNotNull(), order)).alias("post_label"))
     cnt = (df.filter(F.col(label).isNotNull()).groupBy(post_col, label)
            .agg(F.count(F.lit(1)).alias("n"))
            .groupBy(post_col)

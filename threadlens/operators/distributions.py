@@ -170,14 +170,6 @@ def topic_share_by_period(df: DataFrame, period: str = "month", time_col: str |
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(period)))
 
 
-def wide_by(long: DataFrame, key: str, pivot_col: str, value: str, values) -> DataFrame:
-    """Pivot a long share table with an explicit value list (no extra distinct job); missing -> 0."""
-    return (long.groupBy(key).pivot(pivot_col, list(values)).agg(F.first(value))
-            .na.fill(0.0))
-
-
-# ---------------------------------------------------------------- F19 / F20
-
 def monthly_volume_negative(df: DataFrame, label: str, time_col: str | None = None) -> DataFrame:
     """per month, volume = non-null labels, neg_share = share of 'negative'
     over all rows of the month (a NULL label counts in the denominator)."""

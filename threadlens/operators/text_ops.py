@@ -1,7 +1,7 @@
-"""Text-field operators.
+"""Text-field operators.
 
-Everything is a native expression per row except where a lookup table is
-involved; a lookup table is only broadcast after its size is checked.
+Everything is a native expression per row but the lemma lookup, which is one
+join; the planner decides from measured sizes whether to broadcast the table.
 """
 
 from __future__ import annotations
@@ -12,13 +12,8 @@ from pyspark.sql import functions as F
 
 from ..columns import COMMENT_TEXT_CANDIDATES, POST_TEXT_CANDIDATES, first_existing
 from ..functions.stopwords import NLTK_ENGLISH, topic_stopwords
-from ..functions.text import clean_text, count_words, topic_clean
-from .common import attach_scalars
-
-# A lemma table up to this size is turned into one map literal per row and
-# applied with ``transform`` (no token shuffle; map lookups scan keys, so only
-# small tables); bigger tables go through a broadcast/shuffle join.
-LEMMA_MAP_MAX_ROWS = 256
+from ..functions.text import count_words, is_blank, topic_clean
+from .common import materialize
 
 
 def raw_text_fields(df: DataFrame) -> DataFrame:
@@ -38,8 +33,7 @@ def raw_text_fields(df: DataFrame) -> DataFrame:
         post = F.lit("")
     comment = F.coalesce("comment_body", F.lit("")) if "comment_body" in cols else F.lit("")
     out = df.withColumn("post_text_raw", post).withColumn("comment_text_raw", comment)
-    blank = F.trim(F.regexp_replace("comment_text_raw", r"(?U)\s", " ")) == ""
-    return out.withColumn("text_raw", F.when(blank, F.col("post_text_raw")).otherwise(F.col("comment_text_raw")))
+    return out.withColumn("text_raw", F.when(is_blank("comment_text_raw"), F.col("post_text_raw")).otherwise(F.col("comment_text_raw")))
 
 
 def sentiment_text(df: DataFrame) -> DataFrame:
@@ -48,16 +42,7 @@ def sentiment_text(df: DataFrame) -> DataFrame:
     p = first_existing(df, POST_TEXT_CANDIDATES)
     ctext = F.coalesce(F.col(c).cast("string"), F.lit("")) if c else F.lit("")
     ptext = F.coalesce(F.col(p).cast("string"), F.lit("")) if p else F.lit("")
-    return df.withColumn("sentiment_text", F.when(F.trim(ctext) == "", ptext).otherwise(ctext))
-
-
-def clean_fields(df: DataFrame, word_boundary: bool = False) -> DataFrame:
-    """C1 over the three raw fields (post/comment/unified)."""
-    for src, dst in (("post_text_raw", "post_text_clean"), ("comment_text_raw", "comment_text_clean"),
-                     ("text_raw", "text_clean")):
-        if src in df.columns:
-            df = df.withColumn(dst, clean_text(src, word_boundary))
-    return df
+    return df.withColumn("sentiment_text", F.when(is_blank(ctext), ptext).otherwise(ctext))
 
 
 def topic_tokens(df: DataFrame, text_col: str, out: str = "tokens", stopwords=None,
@@ -77,26 +62,18 @@ def topic_tokens(df: DataFrame, text_col: str, out: str = "tokens", stopwords=No
     return remover.transform(staged).drop(tmp)
 
 
-def nonblank_docs(df: DataFrame, text_col: str, tokens_col: str | None = None) -> DataFrame:
-    """Drop blank texts, and (after tokenising) documents without tokens."""
-    out = df.filter(F.trim(F.coalesce(F.col(text_col), F.lit(""))) != "")
-    if tokens_col:
-        out = out.filter(F.size(tokens_col) > 0)
-    return out
-
-
 def alpha_tokens(text) -> F.Column:
     """Alphabetic runs of a cleaned text (the tokens the lemma step keeps)."""
     c = F.col(text) if isinstance(text, str) else text
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("[A-Za-z]+"), 0)
 
 
-def lemma_text(df: DataFrame, text_col: str, doc_col: str, out: str = "text_lem",
+def lemma_text(df: DataFrame, text_col: str, out: str = "text_lem",
                stopwords=None, lemmas: DataFrame | None = None) -> DataFrame:
     """Alphabetic tokens that are not stopwords, lemma (lower-cased), joined by " ".
 
     ``lemmas`` is a (term, lemma) table; terms missing from it keep their
-    lower-cased form. The tagger-based lemmatiser of the reference is not
+    lower-cased form, a term that stands there twice gets its smallest lemma. The tagger-based lemmatiser of the reference is not
     available on Spark, so the dictionary is pluggable.
     """
     stop = list(NLTK_ENGLISH if stopwords is None else stopwords)
@@ -109,20 +86,16 @@ def lemma_text(df: DataFrame, text_col: str, doc_col: str, out: str = "text_lem"
     toks = F.col("_toks")
     if lemmas is None:
         return df.withColumn(out, F.array_join(toks, " ")).drop("_toks")
-    n = lemmas.limit(LEMMA_MAP_MAX_ROWS + 1).count()
-    if n <= LEMMA_MAP_MAX_ROWS:
-        m = lemmas.agg(F.map_from_entries(F.collect_list(F.struct(
-            F.lower("term"), F.lower("lemma")))).alias("_lemma_map"))
-        with_map = attach_scalars(df, m)
-        mapped = F.transform("_toks", lambda t: F.coalesce(F.element_at(F.col("_lemma_map"), t), t))
-        return with_map.withColumn(out, F.array_join(mapped, " ")).drop("_toks", "_lemma_map")
-    # Large dictionary: explode tokens with positions, shuffle-join, rebuild in order.
-    ex = df.select(doc_col, F.posexplode("_toks").alias("_p", "_t"))
-    lt = lemmas.select(F.lower("term").alias("_t"), F.lower("lemma").alias("_l")).dropDuplicates(["_t"])
-    j = ex.join(lt, "_t", "left").select(doc_col, "_p", F.coalesce("_l", "_t").alias("_w"))
-    rebuilt = j.groupBy(doc_col).agg(F.array_join(F.transform(
+    # One path at every size: a row per token, one join, tokens put back in order by a row
+    # number of their own (document keys may repeat or be NULL).
+    kept = materialize(df.withColumn("_rid", F.monotonically_increasing_id()))
+    ex = kept.select("_rid", F.posexplode("_toks").alias("_p", "_t"))
+    lt = lemmas.groupBy(F.lower("term").alias("_t")).agg(F.min(F.lower("lemma")).alias("_l"))
+    j = ex.join(lt, "_t", "left").select("_rid", "_p", F.coalesce("_l", "_t").alias("_w"))
+    rebuilt = j.groupBy("_rid").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("_p", "_w"))), lambda s: s["_w"]), " ").alias(out))
-    return df.drop("_toks").join(rebuilt, doc_col, "left").withColumn(out, F.coalesce(out, F.lit("")))
+    return (kept.drop("_toks").join(rebuilt, "_rid", "left").withColumn(out, F.coalesce(out, F.lit("")))
+                .drop("_rid"))
 
 
 def top_words(df: DataFrame, text_col: str, n: int = 15, stopwords=()) -> DataFrame:

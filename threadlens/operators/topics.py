@@ -1,8 +1,8 @@
 """Topic modelling (E1, E2, E4-E8) on pyspark.ml.
 
-The corpus is vectorised once against the bounded vocabulary (C8) and
-checkpointed, so the k search and the final fit reread the same rows. Model
-state (k x V topic-term weights) is bounded by the vocabulary cap; document
+The corpus is vectorised once against the vocabulary (C8) and checkpointed,
+so the k search and the final fit reread the same rows. Model state (k x V
+topic-term weights) follows the vocabulary's df bounds; document
 mixtures stay distributed and are only ever aggregated.
 """
 
@@ -13,20 +13,20 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import is_blank
 from .coherence import coherence_cv
 from .common import attach_scalars, broadcast_if_small, materialize
 from .vocab import bag_of_words, count_vectors, vocabulary
 
 
 def prepare_corpus(docs: DataFrame, doc_col: str, tokens_col: str = "tokens", no_below: int = 5,
-                   no_above: float = 0.5, keep_n: int | None = 100_000):
+                   no_above: float = 0.5, keep_n: int | None = None):
     """Vocabulary (C8) + count vectors + in-vocabulary document length.
 
     Returns (vectors [doc, tokens, features, doc_len], vocab DataFrame [term_id, term], number of terms).
     """
     docs = docs.select(doc_col, tokens_col)
-    # The vocabulary is bounded by keep_n: materialise it once, broadcast it for
-    # the in-vocabulary length count, and hand its term list to the vectoriser.
+    # Materialised once: the length count and the vectoriser read it.
     vocab = materialize(vocabulary(docs, tokens_col, no_below, no_above, keep_n))
     vec, vocab_df, n_terms = count_vectors(docs, vocab, tokens_col)
     lens = bag_of_words(docs, broadcast_if_small(vocab), doc_col, tokens_col).groupBy(doc_col) \
@@ -154,7 +154,7 @@ def subtopics(df: DataFrame, doc_col: str, topic_col: str, text_col: str, min_do
     tokens, documents left with no token dropped, at least ``min_docs``
     documents before and after tokenising, phrases (C6/C7), vocabulary, k
     search over k_min..k_max by c_v, dominant subtopic per document. Results
-    are unioned and left-joined back by ``doc_col``; rows without a subtopic
+    are unioned and left-joined back row by row; rows without a subtopic
     get -1. The per-topic fits are independent Spark jobs submitted
     concurrently from a small driver thread pool (main topics are few).
     """
@@ -163,9 +163,12 @@ def subtopics(df: DataFrame, doc_col: str, topic_col: str, text_col: str, min_do
     from .phrases import learn_and_merge
     from .text_ops import topic_tokens
 
+    # Rows are told apart by a number of their own: keys may repeat or be NULL.
+    df = materialize(df.withColumn("_rid", F.monotonically_increasing_id()))
+    doc_col = "_rid"
     base = df.select(doc_col, topic_col, text_col)
     base = base.filter(F.col(topic_col).isNotNull() & (F.col(topic_col).cast("string") != "-1"))
-    base = base.filter(F.trim(F.coalesce(F.col(text_col), F.lit(""))) != "")
+    base = base.filter(~is_blank(text_col))
     toks = materialize(topic_tokens(base, text_col).select(doc_col, topic_col, "tokens"))
     sizes = toks.groupBy(topic_col).agg(F.count(F.lit(1)).alias("n_all"),
                                         F.sum(F.when(F.size("tokens") > 0, 1).otherwise(0)).alias("n_tok"))
@@ -197,7 +200,6 @@ def subtopics(df: DataFrame, doc_col: str, topic_col: str, text_col: str, min_do
         for p in parts[1:]:
             res = res.unionByName(p)
     else:
-        res = spark.createDataFrame([], f"{doc_col} {dict(df.dtypes)[doc_col]}, _main string, "
-                                        "comment_subtopic int, n_subtopics int")
-    out = df.join(res.drop("_main"), doc_col, "left")
+        res = spark.createDataFrame([], f"{doc_col} long, _main string, comment_subtopic int, n_subtopics int")
+    out = df.join(res.drop("_main"), doc_col, "left").drop("_rid")
     return out.withColumn("comment_subtopic", F.coalesce("comment_subtopic", F.lit(-1)))

@@ -6,7 +6,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_scalars
+from .common import attach_scalars, number_rows
 
 
 def document_frequencies(docs: DataFrame, tokens_col: str = "tokens") -> DataFrame:
@@ -16,9 +16,9 @@ def document_frequencies(docs: DataFrame, tokens_col: str = "tokens") -> DataFra
 
 
 def vocabulary(docs: DataFrame, tokens_col: str = "tokens", no_below: int = 5,
-               no_above: float = 0.5, keep_n: int | None = 100_000) -> DataFrame:
-    """Terms with no_below <= df <= floor(no_above * N_docs), then the keep_n
-    most frequent (df desc, term asc). ``term_id`` numbers the result in that order.
+               no_above: float = 0.5, keep_n: int | None = None) -> DataFrame:
+    """Terms with no_below <= df <= floor(no_above * N_docs); with ``keep_n`` only that
+    many of the most frequent (df desc, term asc). By default no term is dropped.
     """
     n_docs = docs.agg(F.count(F.lit(1)).alias("_n"))
     dfreq = attach_scalars(document_frequencies(docs, tokens_col), n_docs)
@@ -32,7 +32,7 @@ def vocabulary(docs: DataFrame, tokens_col: str = "tokens", no_below: int = 5,
 def require_vocabulary(vocab_terms: list) -> None:
     """Empty corpus / vocabulary guard."""
     if not vocab_terms:
-        raise ValueError("Empty corpus or dictionary. Check your input texts and preprocessing.")
+        raise ValueError("no term is left in the vocabulary: the corpus is empty or the bounds exclude every term")
 
 
 def bag_of_words(docs: DataFrame, vocab: DataFrame, doc_col: str, tokens_col: str = "tokens") -> DataFrame:
@@ -50,12 +50,10 @@ def count_vectors(docs: DataFrame, vocab: DataFrame, tokens_col: str = "tokens",
     """Sparse count vectors (VectorUDT) for pyspark.ml, indexed by ``term_id``.
 
     Returns (vectors, vocab_df [term_id, term, df], number of terms). The term
-    list (bounded by ``keep_n``) is what a fitted ``CountVectorizer`` holds on
-    the driver and broadcasts anyway; it is collected as a JVM string array
-    and handed to the model there, without a per-term trip through Python.
+    list is the model's state: a fitted ``CountVectorizer`` and the topic weights of
+    Spark's LDA (k rows of that width) are driver objects by design. It goes to
+    the model as a JVM string array; the numbering is made by ranges, in parallel.
     """
-    from pyspark.sql import Window
-
     ordered = vocab.orderBy(F.desc("df"), F.asc("term"))
     jvm = docs.sparkSession.sparkContext._jvm
     jterms = getattr(ordered.select("term")._jdf, "as")(jvm.org.apache.spark.sql.Encoders.STRING()).collect()
@@ -67,6 +65,6 @@ def count_vectors(docs: DataFrame, vocab: DataFrame, tokens_col: str = "tokens",
     cv = CountVectorizerModel(jmodel)
     cv._transfer_params_from_java()
     cv.setInputCol(tokens_col).setOutputCol(out)
-    w = Window.orderBy(F.desc("df"), F.asc("term"))  # over the bounded vocabulary only
-    vocab_df = ordered.select((F.row_number().over(w) - 1).cast("int").alias("term_id"), "term", "df")
+    vocab_df = number_rows(vocab.select("term", "df"), F.desc("df"), F.asc("term"), name="term_id").select(
+        F.col("term_id").cast("int").alias("term_id"), "term", "df")
     return cv.transform(docs), vocab_df, n

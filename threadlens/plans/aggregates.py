@@ -361,7 +361,7 @@ _PAIRS = f"""pp AS (
          CASE WHEN post_label = 'positive' THEN 1 WHEN post_label = 'negative' THEN -1 ELSE 0 END AS post_score
   FROM (
     SELECT post_id,
-           first(bert_label ORDER BY {SQL_ORDER}) AS post_label,
+           first(bert_label ORDER BY {SQL_ORDER}) FILTER (WHERE bert_label IS NOT NULL) AS post_label,
            avg(CASE WHEN bert_label = 'positive' THEN 1.0 WHEN bert_label = 'negative' THEN -1.0 ELSE 0.0 END) AS avg_comment_score,
            count(comment_id) AS n_comments
     FROM comments GROUP BY post_id))"""
@@ -407,7 +407,7 @@ def q_post_comment_alignment(spark, sf):
 
 @register("post_label_maps", with_comments(f"""
 SELECT p.post_id, p.n_comments, p.post_label, m.label_counts FROM (
-  SELECT post_id, count(comment_id) AS n_comments, first(vader_label ORDER BY {SQL_ORDER}) AS post_label
+  SELECT post_id, count(comment_id) AS n_comments, first(vader_label ORDER BY {SQL_ORDER}) FILTER (WHERE vader_label IS NOT NULL) AS post_label
   FROM comments GROUP BY post_id) p
 LEFT JOIN (SELECT post_id, string_agg(vader_label || ':' || n, ';' ORDER BY vader_label) AS label_counts
            FROM (SELECT post_id, vader_label, count(*) AS n FROM comments WHERE vader_label IS NOT NULL GROUP BY 1, 2)
@@ -472,7 +472,7 @@ def q_subtopic_spread_max(spark, sf):
 
 def _topic_names(spark, sf):
     names = posts(spark, sf).select("topic_id", F.col("topic_name").alias("topic_label")).distinct()
-    return broadcast_if_small(names, 10_000)
+    return broadcast_if_small(names)
 
 
 @register("label_pct_by_topic_name", with_pc(f"""

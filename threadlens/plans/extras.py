@@ -174,7 +174,7 @@ def q_keyword_filter(spark, sf):
 
 @register("distinct_sources", "SELECT DISTINCT lower(source) AS source FROM documents")
 def q_distinct_sources(spark, sf):
-    return CO.distinct_sources(docs(spark, sf), "source")
+    return CO.distinct_sources(read_table(spark, sf, "documents"), "source")
 
 
 @register("skip_seen_posts", """

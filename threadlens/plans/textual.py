@@ -113,7 +113,7 @@ def q_topic_text_clean(spark, sf):
 @register("raw_text_fields", """
 SELECT post_id, comment_id, post_text_raw, comment_text_raw,
        CASE WHEN trim(regexp_replace(comment_text_raw, '\\s', ' ', 'g')) = '' THEN post_text_raw ELSE comment_text_raw END AS text_raw,
-       CASE WHEN trim(comment_text_raw) = '' THEN post_text_raw ELSE comment_text_raw END AS sentiment_text
+       CASE WHEN regexp_full_match(comment_text_raw, '\\s*') THEN post_text_raw ELSE comment_text_raw END AS sentiment_text
 FROM (
   SELECT r.conv_id AS post_id, r.turn AS comment_id,
          regexp_replace(coalesce(h.role, '') || ' ' || coalesce(h.text, ''), '^\\s+|\\s+$', '', 'g') AS post_text_raw,
@@ -157,7 +157,7 @@ def _lemma_sql():
 def q_lemma_text(spark, sf):
     d = docs(spark, sf).withColumn("text_clean", TX.clean_text("text"))
     lem = spark.createDataFrame(LEMMA_PAIRS, "term string, lemma string")
-    return TO.lemma_text(d, "text_clean", "doc_id", lemmas=lem).select("doc_id", "text_lem")
+    return TO.lemma_text(d, "text_clean", lemmas=lem).select("doc_id", "text_lem")
 
 
 @register("word_counts_top", """

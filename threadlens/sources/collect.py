@@ -74,7 +74,7 @@ def flatten(selected: DataFrame, comments: DataFrame, post_col: str, body_col: s
 
 
 def counters(selected: DataFrame, comments: DataFrame, post_col: str, source_col: str,
-             body_col: str) -> DataFrame:
+             body_col: str, sources: DataFrame | None = None) -> DataFrame:
     """A10: per (source, method) posts kept, posts that yielded comments, comment rows,
     duplicates skipped later, and an empty-source flag.
 
@@ -84,12 +84,19 @@ def counters(selected: DataFrame, comments: DataFrame, post_col: str, source_col
     per_post = (comments.filter(F.col(body_col).isNotNull()).groupBy(post_col)
                 .agg(F.count(F.lit(1)).alias("_nc")))
     s = selected.join(per_post, post_col, "left")
-    return s.groupBy(source_col, "method").agg(
+    got = s.groupBy(source_col, "method").agg(
         F.count(F.lit(1)).alias("posts_kept"),
         F.sum(F.when(F.col("_nc") > 0, 1).otherwise(0)).alias("posts_with_comments"),
         F.coalesce(F.sum("_nc"), F.lit(0)).alias("comments_kept"),
         F.sum("dup_count").alias("duplicates_later"),
-    ).withColumn("empty_source", F.col("posts_kept") == 0)
+    )
+    if sources is not None:
+        # Every asked (source, method) gets a row, also one that kept no post.
+        asked = sources.select(F.col(source_col), "method").distinct()
+        zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("posts_kept", "posts_with_comments", "comments_kept",
+                                                            "duplicates_later")]
+        got = asked.join(got, [source_col, "method"], "left").select(source_col, "method", *zero)
+    return got.withColumn("empty_source", F.col("posts_kept") == 0)
 
 
 def skip_seen(new: DataFrame, seen: DataFrame, post_col: str) -> DataFrame:

@@ -31,15 +31,13 @@ RAW_SCHEMA = T.StructType([
     T.StructField("comment_created_utc", T.DoubleType()),
 ])
 
-# Older post-only schema.
-RAW_POSTS_SCHEMA = T.StructType([
-    T.StructField("id", T.StringType()), T.StructField("subreddit", T.StringType()),
-    T.StructField("title", T.StringType()), T.StructField("body", T.StringType()),
-    T.StructField("score", T.LongType()), T.StructField("num_comments", T.LongType()),
-    T.StructField("created_utc", T.DoubleType()), T.StructField("url", T.StringType()),
-])
-
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+# NULL is written as \N and an empty text as "", so both come back as they were; edge
+# blanks stay. A text that is itself \N is the one value CSV can't carry.
+CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "mode": "PERMISSIVE",
+               "nullValue": "\\N", "emptyValue": "", "ignoreLeadingWhiteSpace": "false",
+               "ignoreTrailingWhiteSpace": "false"}
+# A multi-line file is read by one task, so a written file holds this many rows at most.
+CSV_FILE_ROWS = 500_000
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -48,25 +46,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/threadlens-{name}-{uuid.uuid4().hex}"
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A1: header row, quoted multi-line fields, doubled-quote escapes; explicit schema
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A1: header row, quoted multi-line fields, doubled-quote escapes; the schema is given
     (no inference pass over the data)."""
-    r = spark.read.options(**CSV_OPTIONS)
-    r = r.schema(schema) if schema is not None else r.option("inferSchema", "true")
-    return r.csv(path)
+    return spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A3: CSV with header, same quoting rules as :func:`read_csv`."""
-    df.write.mode(mode).options(**{k: v for k, v in CSV_OPTIONS.items() if k != "mode"}).csv(path)
+def malformed_rows(spark: SparkSession, path: str, schema: T.StructType) -> int:
+    """How many rows of a CSV source don't fit ``schema`` (they read as NULLs)."""
+    bad = "_malformed"
+    wide = T.StructType([*schema.fields, T.StructField(bad, T.StringType())])
+    # Without pruning every column is parsed, whichever are asked for.
+    rows = (spark.read.options(**CSV_OPTIONS).option("columnNameOfCorruptRecord", bad)
+            .option("columnPruning", "false").schema(wide).csv(path))
+    return rows.agg(F.count(bad), F.count(schema.names[0])).first()[0]
 
 
-def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by=None) -> None:
-    """A3 (inter-stage form)."""
-    w = df.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A3: CSV with header, same quoting rules as :func:`read_csv`."""
+    opts = {k: v for k, v in CSV_OPTIONS.items() if k != "mode"}
+    df.write.mode(mode).options(**opts | {"emptyValue": '""'}).option("maxRecordsPerFile", CSV_FILE_ROWS).csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -23,20 +23,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition text rows by their key when the scan gives fewer tasks than cores.
-
-    Text jobs spend their time per row (regexes, tokens), so a scan of one
-    large row group would otherwise run in a single task. Large inputs have
-    many splits and skip the shuffle. Hash (not round-robin) partitioning
-    keeps retries deterministic and lets later per-key aggregates reuse the
-    partitioning.
+def spread(df: DataFrame) -> DataFrame:
+    """Deal text rows round-robin when a scan gives fewer tasks than there are cores.
+
+    Text jobs spend their time per row, and a table of one row group is one task
+    however small the splits are. Plans differ by it, results don't; tables of
+    many splits are read as they are, and no key can gather rows in one task.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
-    return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +91,7 @@ def posts_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as a text corpus: doc_id, text, lang, source."""
-    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def doc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +112,7 @@ def conv_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversation is split by AQE's skew handling instead of landing whole in
     one task).
     """
-    c = spread(read_table(spark, sf_dir, "conversations"), "conv_id")
+    c = spread(read_table(spark, sf_dir, "conversations"))
     head = c.filter(F.col("turn") == 0).select(
         F.col("conv_id").alias("post_id"),
         F.col("role").alias("post_title"),
