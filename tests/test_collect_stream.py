@@ -47,3 +47,21 @@ def test_streams_match_batch(spark, tmp_path):
                    ("2024-01-02 00:00:00", "view"): (1, 0.5)}
     first = LV.stream_first_seen(spark, src, df.schema, "ts", ["user_id", "event_type"])
     assert sorted((r["user_id"], r["event_type"]) for r in first.collect()) == [(7, "view"), (8, "click")]
+
+
+def test_stream_state_is_dropped_behind_the_watermark(spark, tmp_path):
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string"
+    src = str(tmp_path / "ev")
+    for i, day in enumerate((1, 2, 25, 28)):
+        spark.createDataFrame([(i, dt.datetime(2024, 1, day, 1), 7, "view")], schema).coalesce(1) \
+             .write.mode("append").parquet(src)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    rows = []
+    q = (LV.window_shares(s, "ts", "event_type", "1 day", "2 days").writeStream.outputMode("update")
+         .foreachBatch(lambda b, i: rows.extend((i, r.n) for r in b.collect()))
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    state = [p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators]
+    assert sum(n for _, n in rows) == 4 and max(state) >= 2 and state[-1] < 4
+    shares = LV.stream_window_shares(spark, src, spark.read.parquet(src).schema, "ts", "event_type")
+    assert shares.count() == 4

@@ -5,16 +5,22 @@ import random
 
 import pytest
 
-from threadlens.functions.stats import betainc_reg, pearson_p
+from threadlens.functions.stats import pearson_p_col
 from threadlens.operators.coherence import EPSILON, coherence_cv_per_topic
 
 
-def test_pearson_p_known_values():
-    assert abs(pearson_p(0.5, 10) - 0.14111328) < 1e-6
-    assert abs(pearson_p(-0.3, 30) - 0.10718) < 1e-4
-    assert pearson_p(1.0, 5) == 0.0
-    assert math.isnan(pearson_p(0.2, 2))
-    assert abs(betainc_reg(2.0, 3.0, 0.4) - 0.5248) < 1e-4
+def test_pearson_p_known_values(spark):
+    def p(r, n):
+        return spark.createDataFrame([(r, n)], "r double, n long").select(pearson_p_col("r", "n")).first()[0]
+
+    assert abs(p(0.5, 10) - 0.14111328) < 1e-6
+    assert abs(p(-0.3, 30) - 0.10718) < 1e-4
+    assert p(1.0, 5) < 1e-12 and abs(p(0.0, 7) - 1.0) < 1e-12
+    assert p(0.2, 2) is None and p(None, 9) is None
+    # n = 3: the angle itself is uniform; n = 4: r itself is.
+    assert abs(p(0.5, 3) - 2 / 3) < 1e-9 and abs(p(0.25, 4) - 0.75) < 1e-9
+    # Large n: the normal tail.
+    assert abs(p(0.00196, 1_000_002) - math.erfc(1.96 / math.sqrt(2))) < 1e-5
 
 
 def brute_cv(texts, topics, window=110):

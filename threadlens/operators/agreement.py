@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import pearson_p_col
+
 from ..functions.labels import LABELS
 from .common import attach_scalars
 
@@ -94,12 +96,13 @@ def cohen_kappa(df: DataFrame, label_a: str, label_b: str) -> DataFrame:
 
 
 def topic_model_correlation(topic_dist: DataFrame, a: str = "bert_neg_pct",
-                            b: str = "vader_neg_pct") -> DataFrame:
+                            b: str = "vader_neg_pct", with_p: bool = False) -> DataFrame:
     """F32: Pearson r of the two models' negative shares over topics + strength label
-    (|r| > 0.7 strong, > 0.4 moderate, else weak)."""
+    (|r| > 0.7 strong, > 0.4 moderate, else weak); on request its two-sided p."""
     r = F.corr(a, b)
-    return topic_dist.agg(r.alias("r"), F.count(F.lit(1)).alias("n_topics")).withColumn(
+    out = topic_dist.agg(r.alias("r"), F.count(F.lit(1)).alias("n_topics")).withColumn(
         "strength", F.when(F.abs("r") > 0.7, "strong").when(F.abs("r") > 0.4, "moderate").otherwise("weak"))
+    return out.withColumn("p_value", pearson_p_col("r", "n_topics")) if with_p else out
 
 
 def max_disagreement(dist: DataFrame, key_cols, a: str = "bert_neg_pct", b: str = "vader_neg_pct") -> DataFrame:

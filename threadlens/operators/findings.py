@@ -63,6 +63,13 @@ def trend_findings(trends: DataFrame, model: str) -> DataFrame:
                  _fix(F.col("slope"), 4), F.lit("/yr, R2 "), _fix(F.col("r_squared"), 3)).alias("text"))
 
 
+def number_rows(df: DataFrame, question: str, model: str, subject, values: dict[str, str]) -> list[DataFrame]:
+    """L3 in long form: for each (metric -> column) a frame ``question, model, metric, subject, value``."""
+    return [df.select(F.lit(question).alias("question"), F.lit(model).alias("model"), F.lit(metric).alias("metric"),
+                      subject.alias("subject"), F.col(f"`{column}`").cast("double").alias("value"))
+            for metric, column in values.items()]
+
+
 def findings_table(*parts: DataFrame) -> DataFrame:
     out = None
     for p in parts:

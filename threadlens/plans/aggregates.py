@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.labels import LABELS, normalize_model_label, polarity
+from ..functions.stats import pearson_p_sql
 from ..operators import agreement as AG
 from ..operators import contagion as CT
 from ..operators import distributions as D
@@ -137,9 +138,23 @@ def q_label_trend_a(spark, sf):
     return finish(_trend(spark, sf, "vader_label").drop("p_value"))
 
 
-@register("label_trend_significance")
+def _trend_p_sql(label):
+    shares = ", ".join(f"1.0 * sum(CASE WHEN {label} = '{v}' THEN 1 ELSE 0 END) / count(*) AS {v}" for v in LABELS)
+    unions = " UNION ALL ".join(f"SELECT CAST(year AS DOUBLE) AS x, '{v}' AS label, {v} AS share FROM ys" for v in LABELS)
+    return with_comments(f"""
+SELECT label, round(slope, 6) AS slope, round(r * r, 6) AS r_squared, round({pearson_p_sql("r", "n_years")}, 6) AS p_value,
+       CASE WHEN slope > 0 THEN 'increasing' ELSE 'decreasing' END AS direction,
+       round(st, 6) AS start, round(en, 6) AS "end", round(en - st, 6) AS change, n_years
+FROM (SELECT label, regr_slope(share, x) AS slope, CASE WHEN var_samp(share) = 0 THEN 0.0 ELSE corr(x, share) END AS r,
+             arg_min(share, x) AS st, arg_max(share, x) AS en, count(*) AS n_years
+      FROM ({unions}) GROUP BY label HAVING count(*) > 1)""", f"""ys AS (
+  SELECT CAST(year(comment_created_utc) AS INTEGER) AS year, {shares}
+  FROM comments WHERE comment_created_utc IS NOT NULL AND {label} IS NOT NULL GROUP BY 1)""")
+
+
+@register("label_trend_significance", _trend_p_sql("bert_label"))
 def q_label_trend_significance(spark, sf):
-    """F29 with its p-value (Student-t tail is not SQL-expressible -> rows-only check)."""
+    """F29 with its p-value."""
     return finish(_trend(spark, sf, "bert_label"))
 
 
@@ -317,6 +332,15 @@ def q_topic_model_correlation(spark, sf):
     return finish(AG.topic_model_correlation(topic_dist(spark, sf)))
 
 
+@register("topic_model_significance", with_pc(f"""
+SELECT round(r, 6) AS r, n_topics, CASE WHEN abs(r) > 0.7 THEN 'strong' WHEN abs(r) > 0.4 THEN 'moderate'
+       ELSE 'weak' END AS strength, round({pearson_p_sql("r", "n_topics")}, 6) AS p_value
+FROM (SELECT corr(bert_neg_pct, vader_neg_pct) AS r, count(*) AS n_topics FROM td)""", _TD_RAW))
+def q_topic_model_significance(spark, sf):
+    """F32 + F25: cross-model r over topics with its p."""
+    return finish(AG.topic_model_correlation(topic_dist(spark, sf), with_p=True))
+
+
 @register("topic_max_disagreement", with_pc("""
 SELECT topic, round(bert_neg_pct, 6) AS bert_neg_pct, round(vader_neg_pct, 6) AS vader_neg_pct,
        round(abs(bert_neg_pct - vader_neg_pct), 6) AS difference
@@ -386,9 +410,19 @@ def q_post_comment_corr(spark, sf):
                   .drop("p_value"))
 
 
-@register("post_comment_significance")
+_STRENGTH = ("CASE WHEN abs(r) > 0.5 THEN 'strong' WHEN abs(r) > 0.3 THEN 'moderate' ELSE 'weak' END AS strength, "
+             "CASE WHEN r > 0 THEN 'positive' WHEN r < 0 THEN 'negative' ELSE 'none' END AS direction")
+
+
+@register("post_comment_significance", with_comments(f"""
+SELECT n_posts, round(r, 6) AS r, round({pearson_p_sql("r", "n_posts")}, 6) AS p_value, round(slope, 6) AS slope,
+       round(intercept, 6) AS intercept, {_STRENGTH}
+FROM (SELECT count(*) AS n_posts, CASE WHEN count(*) > 10 THEN corr(post_score, avg_comment_score) END AS r,
+             regr_slope(avg_comment_score, post_score) AS slope,
+             regr_intercept(avg_comment_score, post_score) AS intercept FROM pp)""",
+                                                        _PAIRS.replace("bert_label", "vader_label")))
 def q_post_comment_significance(spark, sf):
-    """F24 + F25: r with its two-sided p (t tail not SQL-expressible -> rows-only)."""
+    """F24 + F25: r with its two-sided p (model A)."""
     return finish(CT.post_comment_correlation(CT.post_comment_pairs(comments(spark, sf), "vader_label", ROW_ORDER)))
 
 

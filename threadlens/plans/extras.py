@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import agreement as AG
 from ..operators import contagion as CT
 from ..operators import distributions as D
 from ..operators import findings as FD
 from ..operators import risk as RK
 from ..operators import trends as TR
 from ..operators import users as US
+from ..operators.common import materialize
 from ..sources import collect as CO
 from ..sources import io as IO
 from ..sources.tables import ROW_ORDER, comments, conv_raw, docs, posts, posts_comments, read_table
 from ..streaming import live as LV
-from .aggregates import topic_dist
+from .aggregates import sub_dist, topic_dist
 from .registry import finish, register
 from .sqlbind import ROW_ORDER as SQL_ORDER
 from .sqlbind import with_comments, with_pc
@@ -204,12 +206,39 @@ def q_table_profile(spark, sf):
                   F.count("author").alias("nonnull_author"))
 
 
+_PROFILE_COLS = [("post_id", "bigint", "BIGINT"), ("comment_id", "bigint", "BIGINT"), ("bert_label", "string", "VARCHAR"),
+                 ("vader_label", "string", "VARCHAR")]
+
+
+@register("column_profile", with_comments(" UNION ALL ".join(
+    f"SELECT {i} AS place, '{c}' AS \"column\", '{t}' AS type, count(*) AS n_rows, count({c}) AS n_nonnull FROM comments"
+    for i, (c, t, _) in enumerate(_PROFILE_COLS))))
+def q_column_profile(spark, sf):
+    """Every column's type and non-null count."""
+    return IO.profile(comments(spark, sf).select(*[c for c, _, _ in _PROFILE_COLS]))
+
+
 @register("random_row")
 def q_random_row(spark, sf):
     """One row chosen at random (seeded)."""
     return posts_comments(spark, sf).orderBy(F.rand(42)).limit(1)
 
 
+@register("random_row_is_member", "SELECT CAST(1 AS BIGINT) AS n_rows, CAST(1 AS BIGINT) AS n_found")
+def q_random_row_is_member(spark, sf):
+    """The row drawn is one row, and one of the table's."""
+    pc = comments(spark, sf)
+    row = pc.orderBy(F.rand(42)).limit(1)
+    same = [pc[c].eqNullSafe(F.col(f"_{c}")) for c in pc.columns]
+    drawn = row.select(*[F.col(c).alias(f"_{c}") for c in pc.columns])
+    cond = same[0]
+    for s in same[1:]:
+        cond = cond & s
+    there = drawn.join(pc, cond, "left_semi").select(F.lit(0).alias("a"), F.lit(1).alias("b"))
+    both = drawn.select(F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(there)
+    return both.agg(F.sum("a").alias("n_rows"), F.sum("b").alias("n_found"))
+
+
 PREFIX_ROWS = 50_000
 
 
@@ -220,7 +249,7 @@ def q_prefix_scan(spark, sf):
     """A2: the reference's bounded read (first 50 000 rows in file order, here an
     explicit total order), then label counts over that prefix."""
     c = comments(spark, sf)
-    pre = c.orderBy("post_id", *ROW_ORDER).limit(PREFIX_ROWS)
+    pre = IO.prefix(c, PREFIX_ROWS, "post_id", *ROW_ORDER)
     return pre.groupBy(F.col("bert_label").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -283,6 +312,123 @@ def q_findings_rows(spark, sf):
                                     FD.risk_findings(risk), FD.trend_findings(tr, "bert")))
 
 
+def _full_findings_sql():
+    """The nine questions' numbers as rows (question, model, metric, subject, value)."""
+    from ..functions.stats import pearson_p_sql
+    from .aggregates import _MONTHLY, _PAIRS, _SD_RAW, _TD_RAW, _TOPIC_CHANGE, _TOPIC_YEAR
+    labels, models = ("negative", "neutral", "positive"), (("bert", "bert_label"), ("vader", "vader_label"))
+    parts, ctes = [], [_TOPIC_YEAR, _TOPIC_CHANGE, _TD_RAW, _SD_RAW, _MONTHLY]
+    row = lambda q, m, metric, subject, value, rest: (
+        f"SELECT '{q}' AS question, '{m}' AS model, {metric} AS metric, {subject} AS subject, "
+        f"round(CAST({value} AS DOUBLE), 6) AS value FROM {rest}")
+    for m, c in models:
+        shares = ", ".join(f"1.0 * sum(CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END) / count(*) AS {v}" for v in labels)
+        ctes.append(f"ys_{m} AS (SELECT CAST(year(comment_created_utc) AS INTEGER) AS year, {shares} FROM comments "
+                    f"WHERE comment_created_utc IS NOT NULL AND {c} IS NOT NULL GROUP BY 1)")
+        ctes.append(f"tr_{m} AS (SELECT label, regr_slope(share, x) AS slope, arg_min(share, x) AS st, "
+                    f"arg_max(share, x) AS en, CASE WHEN var_samp(share) = 0 THEN 0.0 ELSE corr(x, share) END AS r, "
+                    "count(*) AS n FROM (" + " UNION ALL ".join(
+                        f"SELECT CAST(year AS DOUBLE) AS x, '{v}' AS label, {v} AS share FROM ys_{m}" for v in labels)
+                    + ") GROUP BY label HAVING count(*) > 1)")
+        q = "trend"
+        for metric, value in (("slope", "slope"), ("start", "st"), ("end", "en"), ("r_squared", "r * r"),
+                              ("p_value", pearson_p_sql("r", "n"))):
+            parts.append(row(q, m, f"'{metric}'", "label", value, f"tr_{m}"))
+        for kind, k in (("most_negative", "neg"), ("most_positive", "pos")):
+            parts.append("SELECT * FROM (" + row("topics", m, f"'{kind}'", "'topic ' || topic", f"{m}_{k}_pct",
+                                                 f"td ORDER BY {m}_{k}_pct DESC, topic LIMIT 1") + ")")
+        parts.append(row("topics", m, "'neg_mean'", "'all topics'", f"avg({m}_neg_pct)", "td"))
+        parts.append(row("topics", m, "'neg_sd'", "'all topics'", f"stddev_samp({m}_neg_pct)", "td"))
+        parts.append("SELECT * FROM (" + row("subtopics", m, "'top_negative'", "printf('T%d-S%d', topic, subtopic)",
+                                             f"{m}_neg_pct", f"sd ORDER BY {m}_neg_pct DESC, topic, subtopic LIMIT 5") + ")")
+        parts.append("SELECT * FROM (" + row("subtopics", m, "'widest_spread'", "'topic ' || topic", "s",
+                     f"(SELECT topic, stddev_samp({m}_neg_pct) AS s FROM sd GROUP BY topic) "
+                     "WHERE s IS NOT NULL AND NOT isnan(s) ORDER BY s DESC, topic LIMIT 1") + ")")
+        for v in labels:
+            parts.append(row("models", m, "'overall_share'", f"'{v}'",
+                             f"avg(CASE WHEN {c} = '{v}' THEN 1.0 ELSE 0.0 END)", "comments"))
+        ctes.append(_PAIRS.replace("pp AS", f"pp_{m} AS", 1).replace("bert_label", c))
+        ctes.append(f"cr_{m} AS (SELECT CASE WHEN count(*) > 10 THEN corr(post_score, avg_comment_score) END AS r, "
+                    f"count(*) AS n FROM pp_{m})")
+        parts.append(row("post_comment", m, "'r'", "'all posts'", "r", f"cr_{m}"))
+        parts.append(row("post_comment", m, "'p_value'", "'all posts'", pearson_p_sql("r", "n"), f"cr_{m}"))
+    for side, order in (("gaining", "DESC, topic ASC"), ("losing", "ASC, topic DESC")):
+        parts.append("SELECT * FROM (" + row("prevalence", "all", f"'{side}'", "'topic ' || topic", "last_share - first_share",
+                                             f"tc ORDER BY last_share - first_share {order} LIMIT 3") + ")")
+    ctes.append("mc AS (SELECT corr(bert_neg_pct, vader_neg_pct) AS r, count(*) AS n FROM td)")
+    parts.append(row("models", "both", "'topic_r'", "'all topics'", "r", "mc"))
+    parts.append(row("models", "both", "'topic_p_value'", "'all topics'", pearson_p_sql("r", "n"), "mc"))
+    for name, t, key in (("topic", "td", "'topic ' || topic"), ("subtopic", "sd", "printf('T%d-S%d', topic, subtopic)")):
+        order = "topic" if name == "topic" else "topic, subtopic"
+        parts.append("SELECT * FROM (" + row("models", "both", f"'{name}_disagreement'", key, "abs(bert_neg_pct - vader_neg_pct)",
+                                             f"{t} ORDER BY abs(bert_neg_pct - vader_neg_pct) DESC, {order} LIMIT 1") + ")")
+    same = ("(SELECT topic FROM td ORDER BY bert_neg_pct DESC, topic LIMIT 1) b JOIN "
+            "(SELECT topic FROM td ORDER BY vader_neg_pct DESC, topic LIMIT 1) v ON b.topic = v.topic")
+    parts.append(row("models", "both", "'same_top_topic'", "'most negative'", "count(*)", same))
+    for metric, value in (("slope", "regr_slope(neg_share, volume)"), ("r2", "regr_r2(neg_share, volume)"),
+                          ("r", "corr(volume, neg_share)")):
+        parts.append(row("volume", "bert", f"'{metric}'", "'monthly volume'", value, "mv"))
+    return with_pc(" UNION ALL ".join(parts), *ctes)
+
+
+@register("findings_all", _full_findings_sql())
+def q_findings_all(spark, sf):
+    """L3 + L4: the numbers behind all nine questions, both models, with p-values, as rows.
+    The two large aggregates (topics and subtopics) are made once and read many times."""
+    c = comments(spark, sf)
+    td, sd = materialize(topic_dist(spark, sf)), materialize(sub_dist(spark, sf))
+    ty = materialize(D.topic_share_by_period(posts_comments(spark, sf), "year", "comment_created_utc", "topic_id"))
+    mv = D.monthly_volume_negative(c, "bert_label")
+    topic = F.concat(F.lit("topic "), F.col("topic").cast("string"))
+    cell = F.format_string("T%d-S%d", "topic", "subtopic")
+    parts = []
+
+    def add(df, question, model, subject, **values):
+        parts.extend(FD.number_rows(df, question, model, subject, values))
+
+    for m, label in (("bert", "bert_label"), ("vader", "vader_label")):
+        tr = materialize(TR.label_trends(D.label_share_by_period(c, label, "year")))
+        add(tr, "trend", m, F.col("label"), slope="slope", start="start", end="end", r_squared="r_squared", p_value="p_value")
+        for kind, k in (("most_negative", "neg"), ("most_positive", "pos")):
+            add(td.orderBy(F.desc(f"{m}_{k}_pct"), "topic").limit(1), "topics", m, topic, **{kind: f"{m}_{k}_pct"})
+        add(RK.topic_neg_mean_sd(td), "topics", m, F.lit("all topics"), neg_mean=f"{m}_mean", neg_sd=f"{m}_sd")
+        add(RK.top_negative_subtopics(sd, m, 5), "subtopics", m, F.col("label"), top_negative="neg_pct")
+        add(RK.subtopic_spread_max(sd, m), "subtopics", m, topic, widest_spread="sd")
+        shares = D.overall_label_shares(c)
+        for v in ("negative", "neutral", "positive"):
+            add(shares, "models", m, F.lit(v), overall_share=f"{m}_{v}_pct")
+        corr = CT.post_comment_correlation(CT.post_comment_pairs(c, label, ROW_ORDER))
+        add(corr, "post_comment", m, F.lit("all posts"), r="r", p_value="p_value")
+    gl = materialize(TR.gain_loss_top(TR.topic_change(ty)))
+    for side in ("gaining", "losing"):
+        add(gl.where(F.col("side") == side), "prevalence", "all", topic, **{side: "change"})
+    add(AG.topic_model_correlation(td, with_p=True), "models", "both", F.lit("all topics"), topic_r="r", topic_p_value="p_value")
+    add(AG.max_disagreement(td, ["topic"]), "models", "both", topic, topic_disagreement="difference")
+    add(AG.max_disagreement(sd, ["topic", "subtopic"]), "models", "both", cell, subtopic_disagreement="difference")
+    top = [td.orderBy(F.desc(f"{m}_neg_pct"), "topic").limit(1).select("topic") for m in ("bert", "vader")]
+    add(top[0].join(top[1], "topic").agg(F.count(F.lit(1)).alias("n")), "models", "both", F.lit("most negative"),
+        same_top_topic="n")
+    add(D.volume_regression(mv), "volume", "bert", F.lit("monthly volume"), slope="slope", r2="r2", r="r")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return finish(out)
+
+
+@register("findings_json", with_comments("""
+SELECT '{"label":"' || label || '","n":' || n || '}' AS json FROM (
+  SELECT bert_label AS label, count(*) AS n FROM comments WHERE bert_label IS NOT NULL GROUP BY 1)"""))
+def q_findings_json(spark, sf):
+    """A4: a result written as JSON records and read back as lines."""
+    n = comments(spark, sf).where("bert_label is not null").groupBy(F.col("bert_label").alias("label")).agg(
+        F.count(F.lit(1)).alias("n"))
+    path = IO.scratch_path(spark, "json")
+    IO.write_json(n, path)
+    out = materialize(spark.read.text(path).select(F.col("value").alias("json")))
+    IO.drop_path(spark, path)
+    return out
+
+
 # ------------------------------------------------------------------ A1 / A3 / A4
 
 @register("csv_roundtrip", """
@@ -301,8 +447,9 @@ def q_csv_roundtrip(spark, sf):
     path = IO.scratch_path(spark, "csv")
     IO.write_csv(raw, path)
     back = IO.read_csv(spark, path, IO.RAW_SCHEMA)
-    return back.select("post_id", "comment_id", "post_title", "post_body",
-                       F.coalesce("comment_body", F.lit("")).alias("comment_body"))
+    out = materialize(back.select("post_id", "comment_id", "post_title", "post_body", "comment_body"))
+    IO.drop_path(spark, path)
+    return out
 
 
 # ------------------------------------------------------------------ M1 / M2

@@ -68,6 +68,28 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).options(**opts | {"emptyValue": '""'}).option("maxRecordsPerFile", CSV_FILE_ROWS).csv(path)
 
 
+def profile(df: DataFrame) -> DataFrame:
+    """One row per column: ``place, column, type, n_rows, n_nonnull``. One pass over the data,
+    whatever the number of columns."""
+    counts = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(F.col(f"`{c}`")).alias(f"_c{i}")
+                                                     for i, c in enumerate(df.columns)])
+    rows = [F.struct(F.lit(i).alias("place"), F.lit(c).alias("column"), F.lit(t).alias("type"),
+                     F.col("_n").alias("n_rows"), F.col(f"_c{i}").alias("n_nonnull"))
+            for i, (c, t) in enumerate(df.dtypes)]
+    return counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def prefix(df: DataFrame, n: int, *order) -> DataFrame:
+    """A2: the first ``n`` rows in a stated total order (a file's own order is none on a cluster)."""
+    return df.orderBy(*order).limit(n)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder of this session once its rows have been read."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A4: one JSON record per row (findings, summaries)."""
     df.write.mode(mode).json(path)

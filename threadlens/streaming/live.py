@@ -1,9 +1,11 @@
 """Streaming label/topic shares and first-seen dedupe (M1, M2).
 
-Both read a file source with an explicit schema, keep state bounded by a
-watermark, and write through ``foreachBatch`` into a folder under the shared
+Both read a file source with an explicit schema, drop state behind a watermark
+(M1 in update mode: a batch gives the windows it changed, closed windows leave
+the state), and write through ``foreachBatch`` into a folder under the shared
 checkpoint directory (the query checkpoint lives there too), so a restarted
-driver or a lost executor resumes from the last committed batch.
+driver or a lost executor resumes from the last committed batch. Scratch is
+deleted when the result has been read.
 """
 
 from __future__ import annotations
@@ -11,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.io import scratch_path
+from ..operators.common import materialize
+from ..sources.io import drop_path, scratch_path
 
 
 def utc_instant(col: str) -> F.Column:
@@ -59,22 +62,24 @@ def _run_to_table(spark: SparkSession, agg: DataFrame, mode: str, name: str) ->
     ckpt = scratch_path(spark, f"{name}-ckpt")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        # Idempotent under batch retries: complete mode carries the full result,
-        # so each batch overwrites the folder; append mode writes each batch to
-        # its own folder, which a retried batch simply overwrites.
-        if mode == "complete":
-            batch.write.mode("overwrite").parquet(out)
-        else:
-            batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        # Idempotent under batch retries: each batch has a folder of its own, which a
+        # retried batch overwrites.
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     q = (agg.writeStream.outputMode(mode).foreachBatch(sink)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
     if not _exists(spark, out):  # no input arrived: no batch wrote anything
         return spark.createDataFrame([], agg.schema)
-    if mode == "complete":
-        return spark.read.schema(agg.schema).parquet(out)
-    return spark.read.parquet(out).drop("batch")
+    rows = spark.read.option("mergeSchema", "false").parquet(out)
+    if mode == "update":
+        # A window's last batch holds its final count.
+        keys = [c for c in agg.columns if c != "n"]
+        rows = rows.groupBy(*keys).agg(F.max_by("n", "batch").alias("n"))
+    kept = materialize(rows.select(*agg.columns))
+    drop_path(spark, out)
+    drop_path(spark, ckpt)
+    return kept
 
 
 def read_stream(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -93,7 +98,7 @@ def stream_window_shares(spark: SparkSession, source_dir: str, schema, time_col:
                          window: str = "1 day") -> DataFrame:
     """M1 end to end: counts and within-window shares per (window, label)."""
     s = read_stream(spark, source_dir, schema)
-    res = _run_to_table(spark, window_shares(s, time_col, label_col, window), "complete", "m1")
+    res = _run_to_table(spark, window_shares(s, time_col, label_col, window), "update", "m1")
     res = res.select(utc_wall_clock(F.col("w.start")).alias("window_start"), "label", "n")
     from pyspark.sql import Window
     return res.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("window_start")))
