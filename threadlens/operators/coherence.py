@@ -16,7 +16,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_scalars
+from .common import materialize
 
 EPSILON = 1e-12
 
@@ -29,77 +29,77 @@ def coherence_cv(texts: DataFrame, top_words: DataFrame, tokens_col: str = "toke
                          F.map_from_entries(F.collect_list(F.struct("topic", "coherence"))).alias("per_topic"))
 
 
-def _window_counts_fn(topic_words: dict, window: int, tokens_col: str):
-    """Per-document window occurrence counts (numpy inside the task).
+# Windows of a document that are counted at a time: bounds memory for very long documents.
+WINDOW_SLICE = 4_096
 
-    For each document: presence of each top word in each window from prefix
-    sums of its occurrences; single counts and same-topic pair counts are the
-    column sums and Gram matrices of that boolean window x word matrix.
+
+def _window_counts_fn(topic_words: dict, window: int, tokens_col: str, group_of):
+    """Window occurrence counts (numpy inside the task), combined per batch.
+
+    A document's windows are rows of a boolean matrix over the top words it holds, made
+    from prefix sums of their places; its Gram matrix has the single and the pair
+    counts of all models at once. Only pairs of one topic's words are given out.
+    Windows themselves are counted per group (model), over documents with one of
+    the group's words.
     """
     import numpy as np
     import pandas as pd
 
     vocab = sorted({w for ws in topic_words.values() for w in ws})
     index = {w: i for i, w in enumerate(vocab)}
-    topic_idx = {t: sorted(index[w] for w in ws) for t, ws in topic_words.items()}
+    wanted = np.eye(len(vocab), dtype=bool)
+    groups: dict = {}
+    for t, ws in topic_words.items():
+        own = [index[w] for w in ws]
+        wanted[np.ix_(own, own)] = True
+        groups.setdefault(group_of(t), set()).update(own)
+    masks = {g: np.isin(np.arange(len(vocab)), sorted(own)) for g, own in groups.items()}
 
     def run(batches):
         for pdf in batches:
-            out_a, out_b, out_c = [], [], []
-            n_windows = 0
+            total = np.zeros((len(vocab), len(vocab)), dtype=np.int64)
+            n_windows = dict.fromkeys(groups, 0)
             for toks in pdf[tokens_col]:
-                if toks is None:
-                    continue
-                toks = list(toks)
-                ids = [index.get(t, -1) for t in toks]
-                present_ids = sorted({i for i in ids if i >= 0})
-                if not present_ids:
+                ids = np.array([index.get(t, -1) for t in (toks if toks is not None else ())], dtype=np.int64)
+                place = np.flatnonzero(ids >= 0)
+                if not len(place):
                     continue
-                n = len(toks)
+                present, col = np.unique(ids[place], return_inverse=True)
+                n = len(ids)
                 nw = max(n - window + 1, 1)
-                n_windows += nw
-                col = {w: j for j, w in enumerate(present_ids)}
-                occ = np.zeros((n, len(present_ids)), dtype=np.int32)
-                for pos, i in enumerate(ids):
-                    if i >= 0:
-                        occ[pos, col[i]] = 1
-                c = np.vstack([np.zeros((1, len(present_ids)), dtype=np.int32), np.cumsum(occ, axis=0)])
-                starts = np.arange(nw)
-                ends = np.minimum(starts + window, n)
-                pres = (c[ends] - c[starts]) > 0
-                singles = pres.sum(axis=0)
-                for w, j in col.items():
-                    out_a.append(vocab[w]); out_b.append(vocab[w]); out_c.append(int(singles[j]))
-                done = set()
-                for t, widx in topic_idx.items():
-                    cols = [col[w] for w in widx if w in col]
-                    if len(cols) < 2:
-                        continue
-                    sub = pres[:, cols].astype(np.int32)
-                    gram = sub.T @ sub
-                    for x in range(len(cols)):
-                        for y in range(x + 1, len(cols)):
-                            a, b = present_ids[cols[x]], present_ids[cols[y]]
-                            if (a, b) in done or gram[x, y] == 0:
-                                continue
-                            done.add((a, b))
-                            out_a.append(vocab[a]); out_b.append(vocab[b]); out_c.append(int(gram[x, y]))
-            out_a.append(None); out_b.append(None); out_c.append(n_windows)
-            yield pd.DataFrame({"a": out_a, "b": out_b, "c": pd.Series(out_c, dtype="int64")})
+                for g, mask in masks.items():
+                    n_windows[g] += nw * bool(mask[present].any())
+                for lo in range(0, nw, WINDOW_SLICE):
+                    hi = min(nw, lo + WINDOW_SLICE)
+                    end = min(hi - 1 + window, n)
+                    own = (place >= lo) & (place < end)
+                    c = np.zeros((end - lo + 1, len(present)), dtype=np.int32)
+                    c[place[own] - lo + 1, col[own]] = 1
+                    c = np.cumsum(c, axis=0, dtype=np.int32)
+                    starts = np.arange(hi - lo)
+                    pres = ((c[np.minimum(starts + window, end - lo)] - c[starts]) > 0).astype(np.float32)
+                    total[np.ix_(present, present)] += np.rint(pres.T @ pres).astype(np.int64)
+            x, y = np.nonzero(np.triu(wanted) & (total > 0))
+            names = np.array(vocab, dtype=object)
+            yield pd.DataFrame({"a": [*names[x], *[None] * len(groups)], "b": [*names[y], *map(str, groups)],
+                                "c": pd.Series([*total[x, y].tolist(), *n_windows.values()], dtype="int64")})
     return run
 
 
 def coherence_cv_per_topic(texts: DataFrame, top_words: DataFrame, tokens_col: str = "tokens",
-                           window: int = 110) -> DataFrame:
+                           window: int = 110, stride: int = 1 << 30) -> DataFrame:
+    """(topic, coherence). Topics of several models may be scored in one pass: a topic's model
+    is its number divided by ``stride``, and each model has its own count of windows."""
     tw = top_words.select("topic", "term").distinct()
     # k * topn (topic, term) rows: bounded by the model size, safe to ship to tasks.
     topic_words: dict = {}
     for r in tw.collect():
         topic_words.setdefault(int(r["topic"]), []).append(r["term"])
-    counts = texts.select(tokens_col).mapInPandas(_window_counts_fn(topic_words, window, tokens_col),
-                                                  "a string, b string, c long")
-    agg = counts.groupBy("a", "b").agg(F.sum("c").alias("c"))
-    n_windows = agg.filter(F.col("a").isNull()).select(F.col("c").cast("double").alias("_N"))
+    counts = texts.select(tokens_col).mapInPandas(
+        _window_counts_fn(topic_words, window, tokens_col, lambda t: t // stride), "a string, b string, c long")
+    # Kept once: at most topics x words^2 rows, which the joins below read several times.
+    agg = materialize(counts.groupBy("a", "b").agg(F.sum("c").alias("c")))
+    n_windows = agg.filter(F.col("a").isNull()).select(F.col("b").cast("int").alias("_g"), F.col("c").cast("double").alias("_N"))
     c1 = agg.filter(F.col("a").isNotNull() & (F.col("a") == F.col("b"))).select(F.col("a").alias("term"), "c")
     c2 = agg.filter(F.col("a").isNotNull() & (F.col("a") < F.col("b")))
     # All ordered pairs of each topic's words (incl. self pairs): k * topn^2 rows.
@@ -109,7 +109,9 @@ def coherence_cv_per_topic(texts: DataFrame, top_words: DataFrame, tokens_col: s
                ["_lo", "_hi"], "left")
     g = g.join(c1.select(F.col("term").alias("a"), F.col("c").alias("c_a")), "a", "left")
     g = g.join(c1.select(F.col("term").alias("b"), F.col("c").alias("c_b")), "b", "left")
-    g = attach_scalars(g, n_windows)
+    # One row per model; its topics carry its number.
+    g = g.withColumn("_g", F.floor(F.col("topic") / F.lit(stride)).cast("int")).join(n_windows, "_g", "left")
+    g = g.withColumn("_N", F.coalesce("_N", F.lit(0.0)))
     c_ab = F.when(F.col("a") == F.col("b"), F.coalesce("c_a", F.lit(0))).otherwise(F.coalesce("c_ab", F.lit(0)))
     p_ab = F.coalesce(F.try_divide(c_ab, F.col("_N")), F.lit(0.0))
     p_a = F.coalesce(F.try_divide(F.col("c_a"), F.col("_N")), F.lit(0.0))

@@ -85,9 +85,9 @@ def merge_phrases(docs: DataFrame, phrases: DataFrame, doc_col: str, tokens_col:
     nxt = F.when(n > 0, F.concat(F.slice(t, 2, F.greatest(n - 1, F.lit(0))), F.array(F.lit(None).cast("string")))) \
            .otherwise(F.array().cast("array<string>"))
     # Documents are told apart by a row number of their own: keys may repeat or be NULL.
-    rid = docs.withColumn("_rid", F.monotonically_increasing_id())
-    rows = rid.select("_rid", doc_col, F.posexplode_outer(F.arrays_zip(t.alias("tok"), nxt.alias("nxt"))).alias("pos", "z")) \
-               .select("_rid", doc_col, "pos", "z.tok", "z.nxt")
+    rid = docs.withColumn("_prow", F.monotonically_increasing_id())
+    rows = rid.select("_prow", doc_col, F.posexplode_outer(F.arrays_zip(t.alias("tok"), nxt.alias("nxt"))).alias("pos", "z")) \
+               .select("_prow", doc_col, "pos", "z.tok", "z.nxt")
     # Broadcast the phrase keys after a size check so the token stream keeps its
     # document partitioning (the window and regrouping below then need no
     # shuffle); above the bound the planner falls back to a shuffle join.
@@ -95,15 +95,15 @@ def merge_phrases(docs: DataFrame, phrases: DataFrame, doc_col: str, tokens_col:
     rows = rows.withColumn("_key", F.concat_ws(DELIM, "tok", "nxt"))
     rows = rows.join(ph.withColumn("q", F.lit(True)), "_key", "left") \
                .withColumn("q", F.coalesce("q", F.lit(False)) & F.col("nxt").isNotNull())
-    w = Window.partitionBy("_rid", doc_col).orderBy("pos")
+    w = Window.partitionBy("_prow", doc_col).orderBy("pos")
     start = F.max(F.when(~F.col("q"), F.col("pos"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
     picked = F.col("q") & (((F.col("pos") - F.coalesce(start, F.lit(-1)) - 1) % 2) == 0)
     rows = rows.withColumn("picked", picked)
     rows = rows.withColumn("prev_picked", F.coalesce(F.lag("picked").over(w), F.lit(False)))
     emitted = (rows.filter(~F.col("prev_picked"))
-               .select("_rid", doc_col, "pos", F.when(F.col("picked"), F.col("_key")).otherwise(F.col("tok")).alias("w")))
+               .select("_prow", doc_col, "pos", F.when(F.col("picked"), F.col("_key")).otherwise(F.col("tok")).alias("w")))
     kept = F.filter(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda s: s["w"].isNotNull())
-    return emitted.groupBy("_rid", doc_col).agg(F.transform(kept, lambda s: s["w"]).alias(out)).drop("_rid")
+    return emitted.groupBy("_prow", doc_col).agg(F.transform(kept, lambda s: s["w"]).alias(out)).drop("_prow")
 
 
 def learn_and_merge(docs: DataFrame, doc_col: str, tokens_col: str = "tokens", min_count: int = 5,

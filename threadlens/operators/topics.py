@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
-from .coherence import coherence_cv
+from .coherence import coherence_cv_per_topic
 from .common import attach_scalars, broadcast_if_small, materialize
 from .vocab import bag_of_words, count_vectors, vocabulary
 
@@ -115,28 +115,63 @@ def term_relevance(model, vocab_df: DataFrame, bow: DataFrame, lam: float = 0.6,
             .select("topic", "rank", "term", "phi", "p_w", "relevance")
 
 
-def k_search(vectors: DataFrame, texts: DataFrame, vocab_df: DataFrame, ks, passes: int = 8,
-             seed: int = 42, tokens_col: str = "tokens", topn: int = 20, parallel: int = 4) -> DataFrame:
-    """Fit one model per k and score it by c_v coherence; (k, coherence, best).
+# Topic numbers of several models in one coherence pass: model number times this, plus topic.
+TOPIC_STRIDE = 10_000
+
 
-    The fits are independent seeded jobs over the same checkpointed vectors;
-    a small driver thread pool submits them concurrently so their
-    per-iteration scheduling gaps overlap. Ties go to the smallest k.
+def fit_all(vectors: DataFrame, texts: DataFrame, vocab_df: DataFrame, ks, passes: int = 8, seed: int = 42,
+            tokens_col: str = "tokens", topn: int = 20, parallel: int = 4) -> tuple[list[tuple], dict]:
+    """One model per k and its c_v: ``([(k, coherence)], {k: model})``.
+
+    The fits are independent seeded jobs over the same checkpointed vectors; a small
+    driver thread pool submits them concurrently so their per-iteration scheduling
+    gaps overlap. All models' top words are counted in one pass over the texts.
     """
     from concurrent.futures import ThreadPoolExecutor
 
-    def score(k):
-        m = fit_lda(vectors, k, passes, seed)
-        c = coherence_cv(texts, topic_top_words(m, vocab_df, topn), tokens_col).first()["coherence"]
-        return int(k), (float(c) if c is not None else None)
-
-    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-        rows = list(pool.map(score, list(ks)))
-    if not rows:
+    ks = list(ks)
+    if not ks:
         raise ValueError("k search needs a non-empty k range (corpus too small)")
-    best = max(rows, key=lambda r: (r[1] if r[1] is not None else float("-inf"), -r[0]))[0]
-    spark = vectors.sparkSession
-    return spark.createDataFrame([(k, c, k == best) for k, c in rows], "k int, coherence double, best boolean")
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        models = dict(zip(ks, pool.map(lambda k: fit_lda(vectors, k, passes, seed), ks)))
+    words = None
+    for k, m in models.items():
+        w = topic_top_words(m, vocab_df, topn).select((F.col("topic") + k * TOPIC_STRIDE).alias("topic"), "term")
+        words = w if words is None else words.unionByName(w)
+    per = coherence_cv_per_topic(texts, materialize(words), tokens_col, stride=TOPIC_STRIDE)
+    means = {r.k: r.c for r in per.groupBy(F.floor(F.col("topic") / TOPIC_STRIDE).cast("int").alias("k"))
+                                  .agg(F.avg("coherence").alias("c")).collect()}
+    return [(int(k), float(means[k]) if means.get(k) is not None else None) for k in ks], models
+
+
+def best_k(rows: list[tuple]) -> int:
+    """The k of highest coherence, ties to the smallest."""
+    return max(rows, key=lambda r: (r[1] if r[1] is not None else float("-inf"), -r[0]))[0]
+
+
+def k_search(vectors: DataFrame, texts: DataFrame, vocab_df: DataFrame, ks, passes: int = 8,
+             seed: int = 42, tokens_col: str = "tokens", topn: int = 20, parallel: int = 4) -> DataFrame:
+    """(k, coherence, best) for every k."""
+    rows, _ = fit_all(vectors, texts, vocab_df, ks, passes, seed, tokens_col, topn, parallel)
+    best = best_k(rows)
+    return vectors.sparkSession.createDataFrame([(k, c, k == best) for k, c in rows],
+                                                "k int, coherence double, best boolean")
+
+
+def topic_pipeline(docs: DataFrame, doc_col: str, tokens_col: str = "tokens", ks=None, search_passes: int = 8,
+                   passes: int = 12, seed: int = 42, phrase_min_count: int = 5, phrase_threshold: float = 10.0,
+                   no_below: int = 5, no_above: float = 0.5):
+    """The main plan (E1, E2): phrases, vocabulary, k search, final fit with the best k.
+
+    Returns ``(model, vectors, vocabulary, phrased documents, [(k, coherence)])``.
+    """
+    from .phrases import learn_and_merge
+
+    merged, _, _ = learn_and_merge(docs, doc_col, tokens_col, phrase_min_count, phrase_threshold)
+    merged = materialize(merged.select(doc_col, F.col("phrased").alias("tokens")))
+    vectors, vocab_df, _ = prepare_corpus(merged, doc_col, "tokens", no_below, no_above)
+    rows, _ = fit_all(vectors, merged, vocab_df, ks or k_range(merged.count()), search_passes, seed)
+    return fit_lda(vectors, best_k(rows), passes, seed), vectors, vocab_df, merged, rows
 
 
 def k_range(n_docs: int, k_min: int = 3, k_max: int = 10) -> list:
@@ -180,17 +215,15 @@ def subtopics(df: DataFrame, doc_col: str, topic_col: str, text_col: str, min_do
         t, n_tok = item
         sub = toks.filter((F.col(topic_col) == t) & (F.size("tokens") > 0))
         merged, _, _ = learn_and_merge(sub, doc_col, "tokens", phrase_min_count, phrase_threshold)
-        merged = merged.select(doc_col, F.col("phrased").alias("tokens"))
+        merged = materialize(merged.select(doc_col, F.col("phrased").alias("tokens")))
         vec, vocab_df, terms = prepare_corpus(merged, doc_col, "tokens", no_below, no_above)
         ks = list(range(k_min, min(k_max, max(2, n_tok // 2)) + 1))
-        search = k_search(vec, merged, vocab_df, ks, passes, seed).filter("best").first()
-        if search is None:
-            return None
-        model = fit_lda(vec, search["k"], passes, seed)
-        dom = dominant_topic(doc_topics(model, vec, doc_col), doc_col, search["k"], empty="null")
+        rows, models = fit_all(vec, merged, vocab_df, ks, passes, seed)
+        k = best_k(rows)  # the search and the final fit use the same passes: the model is kept
+        dom = dominant_topic(doc_topics(models[k], vec, doc_col), doc_col, k, empty="null")
         return materialize(dom.select(doc_col, F.lit(t).alias("_main"),
                                       F.coalesce("topic_id", F.lit(-1)).alias("comment_subtopic"),
-                                      F.lit(search["k"]).alias("n_subtopics")))
+                                      F.lit(k).alias("n_subtopics")))
 
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
         parts = [p for p in pool.map(one, plan) if p is not None]

@@ -6,9 +6,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as TX
 from ..operators import sentiment as SE
+from ..operators import text_ops as TO
 from ..operators import topics as TP
 from ..operators.coherence import coherence_cv_per_topic
+from ..operators.common import attach_scalars, materialize
 from ..operators.vocab import bag_of_words
 from ..sources.tables import doc_labels, docs
 from .registry import finish, register
@@ -90,9 +93,36 @@ def q_lda_subtopics(spark, sf):
     return out.groupBy("lang", "comment_subtopic").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
+_TOPIC_OK = "SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(count(DISTINCT doc_id) AS BIGINT) AS n_ids, true AS in_range FROM documents"
+
+
+@register("topic_pipeline_invariants", _TOPIC_OK)
+def q_topic_pipeline_invariants(spark, sf):
+    """E1 + E2 + C6 + C7 + C8 as one plan (lemma text, phrases, vocabulary, k search, final fit with
+    the best k): one row per document, every topic below k, every strength in (0, 1]."""
+    lem = TO.lemma_text(docs(spark, sf).select("doc_id", TX.clean_text("text").alias("t")), "t")
+    toks = TO.topic_tokens(lem, "text_lem").select("doc_id", "tokens")
+    model, vec, _, _, rows = TP.topic_pipeline(toks, "doc_id", ks=range(3, 7))
+    k = TP.best_k(rows)
+    dom = TP.dominant_topic(TP.doc_topics(model, vec, "doc_id"), "doc_id", k)
+    ok = F.col("topic_id").between(0, k - 1) & (F.col("topic_strength") > 0) & (F.col("topic_strength") <= 1 + 1e-9)
+    return dom.agg(F.count(F.lit(1)).alias("n_docs"), F.count_distinct("doc_id").alias("n_ids"),
+                   F.coalesce(F.bool_and(ok), F.lit(True)).alias("in_range"))
+
+
+@register("lda_invariants", """SELECT 5 AS n_topics, 1.0 AS share_sum, CAST(count(*) AS BIGINT) AS n_docs FROM documents""")
+def q_lda_invariants(spark, sf):
+    """Five topics whose token-weighted shares sum to 1, one dominant topic a document."""
+    _, vec, _, m = _fit(spark, sf)
+    th = materialize(TP.doc_topics(m, vec, "doc_id"))
+    shares = TP.topic_proportions(th).agg(F.count(F.lit(1)).cast("int").alias("n_topics"),
+                                          F.sum("share").cast("decimal(2,1)").alias("share_sum"))
+    return attach_scalars(shares, TP.dominant_topic(th, "doc_id", K_FINAL).agg(F.count(F.lit(1)).alias("n_docs")))
+
+
 @register("model_sentiment")
 def q_model_sentiment(spark, sf):
-    """D4 + D6 + N2: default learned scorer trained on the label table, applied to every document."""
+    """D4 + D6: default learned scorer trained on the label table, applied to every document."""
     d = docs(spark, sf).select("doc_id", "text")
     train = d.join(doc_labels(spark, sf), "doc_id")
     model = SE.fit_text_classifier(train, "text", "label")
