@@ -92,10 +92,13 @@ def post_label_maps(df: DataFrame, label: str, order_cols, post_col: str = "post
     built from at most one entry per label value.
     """
     order = F.struct(*[F.col(c) for c in order_cols])
-    per = df.groupBy(post_col).agg(F.count(comment_col).alias("n_comments"),
-                                   F.min_by(F.col(label), F.when(F.col(label).isNotNull(), order)).alias("post_label"))
-    cnt = (df.filter(F.col(label).isNotNull()).groupBy(post_col, label)
-           .agg(F.count(F.lit(1)).alias("n"))
-           .groupBy(post_col)
-           .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(label), F.col("n"))))).alias("label_counts")))
-    return per.join(cnt, post_col, "left")
+    cells = df.groupBy(post_col, label).agg(F.count(F.lit(1)).alias("n"), F.count(comment_col).alias("_nc"),
+                                            F.min(order).alias("_o"))
+    known = F.col(label).isNotNull()
+    # At most one cell per label value (and one for NULL) and post.
+    pairs = F.array_sort(F.collect_list(F.when(known, F.struct(F.col(label), F.col("n")))))
+    out = cells.groupBy(post_col).agg(
+        F.sum("_nc").alias("n_comments"),
+        F.min_by(F.col(label), F.when(known, F.col("_o"))).alias("post_label"),
+        F.map_from_entries(pairs).alias("_m"))
+    return out.select(post_col, "n_comments", "post_label", F.when(F.size("_m") > 0, F.col("_m")).alias("label_counts"))

@@ -40,14 +40,13 @@ def risk_model_compare(topic_dist: DataFrame, n: int = 5) -> DataFrame:
 
 def topic_extremes(topic_dist: DataFrame) -> DataFrame:
     """most negative and most positive topic per model (first topic on ties)."""
-    out = None
-    for model in ("bert", "vader"):
-        for kind, c in (("most_negative", f"{model}_neg_pct"), ("most_positive", f"{model}_pos_pct")):
-            r = (topic_dist.orderBy(F.desc(c), F.asc("topic")).limit(1)
-                 .select(F.lit(model).alias("model"), F.lit(kind).alias("kind"), "topic",
-                         F.col(c).alias("pct"), "n_rows"))
-            out = r if out is None else out.unionByName(r)
-    return out
+    kinds = [(m, k, f"{m}_{c}_pct") for m in ("bert", "vader") for k, c in (("most_negative", "neg"), ("most_positive", "pos"))]
+    # All four in one aggregate over the topic table; -topic lets the first topic win ties.
+    best = [F.max_by(F.struct("topic", F.col(c).alias("pct"), "n_rows"), F.struct(F.col(c), -F.col("topic"))).alias(f"_{i}")
+            for i, (_, _, c) in enumerate(kinds)]
+    rows = [F.struct(F.lit(m).alias("model"), F.lit(k).alias("kind"), F.col(f"_{i}").alias("r")) for i, (m, k, _) in enumerate(kinds)]
+    return (topic_dist.agg(*best).select(F.explode(F.array(*rows)).alias("x"))
+            .select("x.model", "x.kind", "x.r.topic", "x.r.pct", "x.r.n_rows").where("topic is not null"))
 
 
 def topic_neg_mean_sd(topic_dist: DataFrame) -> DataFrame:

@@ -7,12 +7,11 @@ rows; first/last periods come from ``min_by``/``max_by``, never a sort.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import LABELS
 from ..functions.stats import pearson_p_col
-from .common import attach_scalars
 
 
 def label_trends(yearly: DataFrame, year_col: str = "year", labels=LABELS) -> DataFrame:
@@ -47,8 +46,9 @@ def topic_change(topic_year: DataFrame, year_col: str = "year", topic_col: str =
     Input is the long (year, topic, share) table; a topic absent in a year has
     share 0 there (dense grid). Empty when the table spans a single year.
     """
-    bounds = topic_year.agg(F.min(year_col).alias("_first"), F.max(year_col).alias("_last"))
-    t = attach_scalars(topic_year, bounds)
+    # The window runs over the aggregated (year, topic) table, so the facts are read once.
+    whole = Window.partitionBy(F.lit(0))
+    t = topic_year.withColumn("_first", F.min(year_col).over(whole)).withColumn("_last", F.max(year_col).over(whole))
     g = t.groupBy(topic_col).agg(
         F.coalesce(F.sum(F.when(F.col(year_col) == F.col("_first"), F.col(share_col))), F.lit(0.0)).alias("first_share"),
         F.coalesce(F.sum(F.when(F.col(year_col) == F.col("_last"), F.col(share_col))), F.lit(0.0)).alias("last_share"),
@@ -61,8 +61,9 @@ def topic_change(topic_year: DataFrame, year_col: str = "year", topic_col: str =
 def gain_loss_top(changes: DataFrame, n: int = 3, topic_col: str = "topic") -> DataFrame:
     """Top-n gaining (head of the descending order) and the last n of the same
     order (losing). With fewer than 2n topics the two lists overlap, as in the reference."""
-    gain = (changes.orderBy(F.desc("change"), F.asc(topic_col)).limit(n)
-            .select(F.lit("gaining").alias("side"), topic_col, "change"))
-    lose = (changes.orderBy(F.asc("change"), F.desc(topic_col)).limit(n)
-            .select(F.lit("losing").alias("side"), topic_col, "change"))
-    return gain.unionByName(lose)
+    whole = Window.partitionBy(F.lit(0))  # one row per topic
+    up = F.row_number().over(whole.orderBy(F.desc("change"), F.asc(topic_col)))
+    down = F.row_number().over(whole.orderBy(F.asc("change"), F.desc(topic_col)))
+    sides = F.array(F.when(F.col("_up") <= n, F.lit("gaining")), F.when(F.col("_down") <= n, F.lit("losing")))
+    return (changes.withColumn("_up", up).withColumn("_down", down)
+            .select(F.explode(F.array_compact(sides)).alias("side"), topic_col, "change"))

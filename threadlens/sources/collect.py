@@ -27,6 +27,10 @@ def _kw_regex(k: str) -> str:
     return r"(?i)\b" + re.escape(k) + r"\b"
 
 
+# Parts a source is ranked in before its own ranking.
+SALTS = 64
+
+
 def keyword_hits(text, keywords) -> Column:
     """Number of keywords (case-insensitive, whole words/phrases) occurring in ``text``."""
     t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
@@ -44,10 +48,17 @@ def distinct_sources(df: DataFrame, source_col: str) -> DataFrame:
 
 
 def top_per_source(posts: DataFrame, source_col: str, method: str, n: int, measures: dict) -> DataFrame:
-    """H5: the ``n`` best posts of every source under one sort method."""
+    """H5: the ``n`` best posts of every source under one sort method.
+
+    The best of each salted part of a source go to the source's own ranking, so a
+    source with any share of all posts is ranked by many tasks first.
+    """
     order = measures[method]
-    w = Window.partitionBy(source_col).orderBy(*order)
-    return (posts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    part = Window.partitionBy(source_col, "_salt").orderBy(*order)
+    whole = Window.partitionBy(source_col).orderBy(*order)
+    salted = posts.withColumn("_salt", F.pmod(F.xxhash64(*posts.columns), F.lit(SALTS)))
+    first = salted.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= n).drop("rank", "_salt")
+    return (first.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= n)
             .withColumn("method", F.lit(method)))
 
 
