@@ -66,4 +66,6 @@ def gain_loss_top(changes: DataFrame, n: int = 3, topic_col: str = "topic") -> D
     down = F.row_number().over(whole.orderBy(F.asc("change"), F.desc(topic_col)))
     sides = F.array(F.when(F.col("_up") <= n, F.lit("gaining")), F.when(F.col("_down") <= n, F.lit("losing")))
     return (changes.withColumn("_up", up).withColumn("_down", down)
-            .select(F.explode(F.array_compact(sides)).alias("side"), topic_col, "change"))
+            .select(F.explode(F.array_compact(sides)).alias("side"), topic_col, "change", "_up", "_down")
+            .orderBy("side", F.when(F.col("side") == "gaining", F.col("_up")).otherwise(F.col("_down")))
+            .drop("_up", "_down"))

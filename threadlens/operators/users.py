@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import null_bucket
 from ..functions.text import count_words, format_word_counts
+from .common import materialize
 from .distributions import user_counts
 
 
@@ -22,73 +23,59 @@ def top_users(df: DataFrame, user_col: str, n: int = 20) -> DataFrame:
     return user_counts(df, user_col).orderBy(F.desc("n_posts"), F.asc("user")).limit(n)
 
 
-def top_words_per_user(rows: DataFrame, text_col: str, n: int = 20, stopwords=()) -> DataFrame:
-    """H6 + C10 + C11: per user, the ``n`` most frequent words (``[a-z']+``,
-    length >= 3, not a stopword) formatted ``w:c;w:c`` (ties -> word order)."""
-    words = rows.select("user", F.explode(count_words(text_col)).alias("word"))
-    words = words.filter(F.length("word") >= 3)
-    if stopwords:
-        words = words.filter(~F.col("word").isin(list(stopwords)))
-    wc = words.groupBy("user", "word").agg(F.count(F.lit(1)).alias("count"))
-    w = Window.partitionBy("user").orderBy(F.desc("count"), F.asc("word"))
-    top = wc.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= n)
-    return top.groupBy("user").agg(format_word_counts(
-        F.transform(F.array_sort(F.collect_list(F.struct("_rk", "word", "count"))),
-                    lambda s: F.struct(s["word"].alias("word"), s["count"].alias("count")))).alias("top_words"))
-
-
 def top_users_profile(df: DataFrame, user_col: str, topic_col: str | None, subtopic_col: str | None,
                       text_col: str | None, n: int = 20, n_words: int = 20) -> DataFrame:
     """L2 + G7: profile of the top-``n`` users: n_posts, topic and subtopic share
     maps, top words. NULL users are bucketed as "UNKNOWN" on both sides.
 
-    Plan: the top list is a bounded ``limit(n)`` (broadcast for the semi-join and
-    the final join); the users' topic keys, subtopic keys and words become one
-    long (user, kind, key) table counted by a single aggregate; one window pass
-    over (user, kind) gives shares and word ranks (the rank filter becomes a
-    partial window-group limit); one per-user collect builds the bounded maps
-    and word list.
+    Plan: the top list is a bounded ``limit(n)``, stored once (broadcast for the
+    semi-join and the final join). One scan explodes a row's topic key, subtopic
+    key and words together; one aggregate counts them and is stored. Shares are
+    windows over (user, topic) cells; words are ranked apart, with a plain
+    ``rk <= n`` that Spark turns into a partial window-group limit.
     """
-    top = top_users(df, user_col, n)
+    top = materialize(top_users(df, user_col, n))
     rows = df.withColumn("user", null_bucket(user_col, "UNKNOWN")).join(
         F.broadcast(top.select("user")), "user", "left_semi")
-    parts = []
-    if topic_col:
-        parts.append(rows.select("user", F.lit("topic").alias("kind"), F.col(topic_col).cast("string").alias("key")))
-    if subtopic_col:
-        parts.append(rows.select("user", F.lit("subtopic").alias("kind"),
-                                 F.col(subtopic_col).cast("string").alias("key")))
+
+    def tagged(kind: str, key):
+        return F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"))
+
+    parts = [F.array(tagged(kind, F.col(c))) for kind, c in (("topic", topic_col), ("subtopic", subtopic_col)) if c]
     if text_col:
-        parts.append(rows.select("user", F.lit("word").alias("kind"), F.explode(count_words(text_col)).alias("key"))
-                     .filter(F.length("key") >= 3))
+        words = F.filter(count_words(text_col), lambda w: F.length(w) >= 3)
+        parts.append(F.transform(words, lambda w: tagged("word", w)))
+    if not parts:
+        return top
+    long = rows.select("user", F.explode(F.concat(*parts)).alias("e")).select("user", "e.kind", "e.key")
+    cnt = materialize(long.filter(F.col("key").isNotNull()).groupBy("user", "kind", "key")
+                          .agg(F.count(F.lit(1)).alias("c")))
     out = top
-    if parts:
-        long = parts[0]
-        for p in parts[1:]:
-            long = long.unionByName(p)
-        cnt = long.filter(F.col("key").isNotNull()).groupBy("user", "kind", "key").agg(F.count(F.lit(1)).alias("c"))
-        per = Window.partitionBy("user", "kind")
-        cnt = (cnt.withColumn("share", F.col("c") / F.sum("c").over(per))
-               .withColumn("rk", F.row_number().over(per.orderBy(F.desc("c"), F.asc("key"))))
-               .filter((F.col("kind") != "word") | (F.col("rk") <= n_words)))
+    per = Window.partitionBy("user", "kind")
+    cells = cnt.filter(F.col("kind") != "word").withColumn("share", F.col("c") / F.sum("c").over(per))
 
-        def entries(kind):
-            return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("key", "share"))))
+    def entries(kind):
+        return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("key", "share"))))
 
-        words = F.array_sort(F.collect_list(F.when(F.col("kind") == "word", F.struct("rk", "key", "c"))))
-        aggs = []
-        if topic_col:
-            aggs.append(F.map_from_entries(entries("topic")).alias("topic_dist"))
-        if subtopic_col:
-            aggs.append(F.map_from_entries(entries("subtopic")).alias("subtopic_dist"))
-        if text_col:
-            aggs.append(format_word_counts(F.transform(words, lambda w: F.struct(
-                w["key"].alias("word"), w["c"].alias("count")))).alias("top_words"))
-        prof = cnt.groupBy("user").agg(*aggs)
-        # both sides hold at most n rows (prof is keyed by users of the top list)
-        out = top.join(F.broadcast(prof), "user", "left")
-        if text_col:
-            out = out.withColumn("top_words", F.coalesce("top_words", F.lit("")))
+    maps = [F.map_from_entries(entries(kind)).alias(f"{kind}_dist")
+            for kind, c in (("topic", topic_col), ("subtopic", subtopic_col)) if c]
+    if maps:
+        # At most n users on both sides.
+        out = out.join(F.broadcast(cells.groupBy("user").agg(*maps)), "user", "left")
+        # A top user without any key has empty maps once something of theirs was counted.
+        seen = cnt.select("user").distinct().withColumn("_seen", F.lit(True))
+        out = out.join(F.broadcast(seen), "user", "left")
+        for m in (f"{kind}_dist" for kind, c in (("topic", topic_col), ("subtopic", subtopic_col)) if c):
+            empty = F.when(F.col("_seen"), F.expr("map_from_entries(cast(array() as array<struct<key:string,share:double>>))"))
+            out = out.withColumn(m, F.coalesce(m, empty))
+        out = out.drop("_seen")
+    if text_col:
+        order = Window.partitionBy("user").orderBy(F.desc("c"), F.asc("key"))
+        best = cnt.filter("kind = 'word'").withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= n_words)
+        words = F.array_sort(F.collect_list(F.struct("rk", "key", "c")))
+        lists = best.groupBy("user").agg(format_word_counts(F.transform(words, lambda w: F.struct(
+            w["key"].alias("word"), w["c"].alias("count")))).alias("top_words"))
+        out = out.join(F.broadcast(lists), "user", "left").withColumn("top_words", F.coalesce("top_words", F.lit("")))
     return out
 
 
