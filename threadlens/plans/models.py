@@ -13,7 +13,7 @@ from ..operators import topics as TP
 from ..operators.coherence import coherence_cv_per_topic
 from ..operators.common import attach_scalars, materialize
 from ..operators.vocab import bag_of_words
-from ..sources.tables import doc_labels, docs
+from ..sources.tables import doc_labels, docs, read_table
 from .registry import finish, register
 from .textual import doc_tokens
 
@@ -120,6 +120,49 @@ def q_lda_invariants(spark, sf):
     return attach_scalars(shares, TP.dominant_topic(th, "doc_id", K_FINAL).agg(F.count(F.lit(1)).alias("n_docs")))
 
 
+# Mixtures that both engines can derive: the first five vector components, absolute and scaled to 1.
+_THETA_SQL = """WITH th AS (
+  SELECT vec_id, CAST(vec_id % 50 AS BIGINT) AS doc_len, [abs(CAST(x AS DOUBLE)) FOR x IN embedding[1:5]] AS t FROM embeddings),
+tn AS (SELECT vec_id, doc_len, [x / list_sum(t) FOR x IN t] AS theta FROM th),
+pr AS (
+  SELECT topic, mass / sum(mass) OVER () AS share,
+         CAST(row_number() OVER (ORDER BY mass DESC, topic) AS INTEGER) AS rank
+  FROM (SELECT CAST(topic AS INTEGER) AS topic, sum(theta[topic + 1] * doc_len) AS mass
+        FROM (SELECT *, unnest(range(0, 5)) AS topic FROM tn) WHERE doc_len > 0 GROUP BY 1)),
+dm AS (
+  SELECT vec_id, CAST(list_position(theta, list_max(theta)) - 1 AS INTEGER) AS topic_id,
+         list_max(theta) AS topic_strength FROM tn)
+"""
+
+
+def _theta(spark, sf):
+    v = F.transform(F.slice("embedding", 1, 5), lambda x: F.abs(x.cast("double")))
+    total = F.aggregate("t", F.lit(0.0), lambda a, x: a + x)
+    return (read_table(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") % 50).alias("doc_len"), v.alias("t"))
+            .select("vec_id", "doc_len", F.transform("t", lambda x: x / total).alias("theta")))
+
+
+@register("mixture_proportions", _THETA_SQL + "SELECT topic, round(share, 6) AS share, rank FROM pr")
+def q_mixture_proportions(spark, sf):
+    """E4 + H4 over given mixtures."""
+    return finish(TP.topic_proportions(_theta(spark, sf)))
+
+
+@register("mixture_dominant", _THETA_SQL + "SELECT vec_id, topic_id, round(topic_strength, 6) AS topic_strength FROM dm")
+def q_mixture_dominant(spark, sf):
+    """E6 over given mixtures."""
+    return finish(TP.dominant_topic(_theta(spark, sf), "vec_id", 5))
+
+
+@register("mixture_rank_relabel", _THETA_SQL + """
+SELECT dm.vec_id, dm.topic_id, round(dm.topic_strength, 6) AS topic_strength, pr.rank AS topic_rank
+FROM dm LEFT JOIN pr ON dm.topic_id = pr.topic""")
+def q_mixture_rank_relabel(spark, sf):
+    """E7 over given mixtures."""
+    th = _theta(spark, sf)
+    return finish(TP.rank_relabel(TP.dominant_topic(th, "vec_id", 5), TP.topic_proportions(th)))
+
+
 @register("model_sentiment")
 def q_model_sentiment(spark, sf):
     """D4 + D6: default learned scorer trained on the label table, applied to every document."""
