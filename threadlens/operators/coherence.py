@@ -21,14 +21,6 @@ from .common import materialize
 EPSILON = 1e-12
 
 
-def coherence_cv(texts: DataFrame, top_words: DataFrame, tokens_col: str = "tokens",
-                 window: int = 110) -> DataFrame:
-    """Mean c_v over topics, plus per-topic values: one row (coherence, per_topic map)."""
-    per_topic = coherence_cv_per_topic(texts, top_words, tokens_col, window)
-    return per_topic.agg(F.avg("coherence").alias("coherence"),
-                         F.map_from_entries(F.collect_list(F.struct("topic", "coherence"))).alias("per_topic"))
-
-
 # Windows of a document that are counted at a time: bounds memory for very long documents.
 WINDOW_SLICE = 4_096
 
