@@ -34,7 +34,9 @@ MAGIC = b"BITPLN1\n"
 TAIL = "<QIIQQ"
 BLOCK_IDS = 65_536
 SEGMENT_IDS = 4 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+# Texts or chunks given to the library at a time (bounds its memory).
+LIBRARY_BATCH = 4_096
 
 
 class Encoder:
@@ -46,6 +48,7 @@ class Encoder:
     def __init__(self, path: str):
         import json
 
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -58,10 +61,46 @@ class Encoder:
                      and pre.get("use_regex", True) and not spec.get("normalizer"))
         self.added = [a["content"] for a in spec.get("added_tokens", [])]
         self.cache: dict[str, bytes] = {}
+        if self.cuts:  # bytes of each token: in the byte-level alphabet a character is a byte
+            sizes = {i: len(t) for t, i in spec["model"]["vocab"].items()}
+            sizes |= {a["id"]: len(a["content"].encode()) for a in spec.get("added_tokens", [])}
+            self.size = np.zeros(max(sizes) + 1, np.int64)
+            self.size[list(sizes)] = list(sizes.values())
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids)
-                for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        out = []
+        for i in range(0, len(texts), LIBRARY_BATCH):
+            out += [struct.pack(f"<{len(e.ids)}I", *e.ids)
+                    for e in self.tok.encode_batch_fast(texts[i:i + LIBRARY_BATCH], add_special_tokens=False)]
+        return out
+
+    def chunks(self, new: list[str]) -> list[tuple[str, bytes]]:
+        """Ids of new chunks. Those that begin with a space and have no blank at either end
+        otherwise go to the library in a row, as one text; the tokens' bytes tell
+        where one chunk's ids end and the next one's begin."""
+        import numpy as np
+
+        row = [c for c in new if len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace()]
+        alone = list(set(new).difference(row))
+        out = list(zip(alone, self.whole(alone)))
+        for i in range(0, len(row), LIBRARY_BATCH):
+            part = row[i:i + LIBRARY_BATCH]
+            text = "".join(part)
+            if any(a in text for a in self.added):
+                out += zip(part, self.whole(part))
+                continue
+            ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in part])
+            at = np.cumsum(self.size[ids])
+            cut = np.searchsorted(at, ends)
+            if cut[-1] >= len(at) or (at[cut] != ends).any():  # not this vocabulary's way: one by one
+                out += zip(part, self.whole(part))
+                continue
+            raw, a = ids.tobytes(), 0
+            for c, b in zip(part, (4 * (cut + 1)).tolist()):
+                out.append((c, raw[a:b]))
+                a = b
+        return out
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, little-endian unsigned 32-bit."""
@@ -80,7 +119,7 @@ class Encoder:
                 parts.append([t[a:b] for a, b in zip(at, at[1:])])
         cache = self.cache
         new = [c for c in set().union(*parts) if c not in cache]
-        cache.update(zip(new, self.whole(new)))
+        cache.update(self.chunks(new))
         get = cache.__getitem__
         out = [b"".join(map(get, p)) for p in parts]
         for c in new:
