@@ -35,6 +35,8 @@ TAIL = "<QIIQQ"
 BLOCK_IDS = 65_536
 SEGMENT_IDS = 4 << 20
 CACHE_WORDS = 600_000
+# Marks that end a chunk of letters (no apostrophe: it may begin a word of its own kind).
+MARKS = ".,;:!?"
 # Texts or chunks given to the library at a time (bounds its memory).
 LIBRARY_BATCH = 4_096
 
@@ -75,9 +77,28 @@ class Encoder:
         return out
 
     def chunks(self, new: list[str]) -> list[tuple[str, bytes]]:
-        """Ids of new chunks. Those that begin with a space and have no blank at either end
-        otherwise go to the library in a row, as one text; the tokens' bytes tell
-        where one chunk's ids end and the next one's begin."""
+        """Ids of new chunks. Marks at the end of a word of letters are words of their own, so
+        such a chunk is put together from both. The others go to the library: those
+        that begin with a space and have no blank at either end in a row, as one text;
+        the tokens' bytes tell where one chunk's ids end and the next one's begin."""
+        two, rest = {}, set()
+        for c in new:
+            w = c.rstrip(MARKS)
+            if len(w) < len(c) and w[1:].isalpha() and (w[0] == " " or w[0].isalpha()):
+                two[c] = w
+                rest.add(w)
+                rest.add(c[len(w):])
+            else:
+                rest.add(c)
+        got = dict(self.library([c for c in rest if c not in self.cache]))
+        cache = self.cache
+        for c, w in two.items():
+            t = c[len(w):]
+            got[c] = (got[w] if w in got else cache[w]) + (got[t] if t in got else cache[t])
+        asked = set(new)
+        return [(c, v) for c, v in got.items() if len(c) <= CACHE_CHARS or c in asked]
+
+    def library(self, new: list[str]) -> list[tuple[str, bytes]]:
         import numpy as np
 
         row = [c for c in new if len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace()]
@@ -138,7 +159,8 @@ def planes_of(ids, kind: str) -> list[bytes]:
     bits = max(1, int(ids.max()).bit_length())
     if kind == "byte":
         return [np.ascontiguousarray(raw[:, i]).tobytes() for i in range(-(-bits // 8))]
-    wide = np.unpackbits(raw, axis=1, bitorder="little")[:, :bits]
+    low = np.ascontiguousarray(raw[:, :-(-bits // 8)])
+    wide = np.unpackbits(low, axis=1, bitorder="little")[:, :bits]
     packed = np.packbits(np.ascontiguousarray(wide.T), axis=1, bitorder="little")
     return [p.tobytes() for p in packed]
 
@@ -152,10 +174,12 @@ def ids_of(planes: list[bytes], n: int, kind: str):
         for i, p in enumerate(planes):
             raw[:, i] = np.frombuffer(p, np.uint8)
     else:
-        wide = np.zeros((n, 32), np.uint8)
+        size = -(-len(planes) // 8)
+        wide = np.zeros((n, 8 * size), np.uint8)
         rows = np.stack([np.frombuffer(p, np.uint8) for p in planes])
         wide[:, :len(planes)] = np.unpackbits(rows, axis=1, bitorder="little", count=n).T
-        raw = np.packbits(wide, axis=1, bitorder="little")
+        raw = np.zeros((n, 4), np.uint8)
+        raw[:, :size] = np.packbits(wide, axis=1, bitorder="little")
     return np.ascontiguousarray(raw).view("<u4").reshape(n)
 
 
