@@ -36,6 +36,22 @@ def test_automaton_finds_what_edit_distance_finds(edits):
             assert got == (1.0 + terms.index(w), 0)
 
 
+@pytest.mark.parametrize("edits", [1, 2])
+def test_automaton_finds_misspelled_stems(edits):
+    rnd = random.Random(3)
+    stems = ["lowei", "achlich", "bomente"]
+    trie = T.Trie({t: (1.0, True) for t in stems}, edits)
+    words = [w + end for t in stems for end in ("", "s", "keiten") for i in range(len(t))
+             for w in (t[:i] + t[i + 1:], t[:i] + "z" + t[i + 1:], t[:i] + "z" + t[i:])]
+    words += ["".join(rnd.choice("lowebmnt") for _ in range(rnd.randint(3, 9))) for _ in range(500)]
+    found = 0
+    for w in words:
+        want = any(len(w) >= len(t) and min(distance(t, w[:n]) for n in range(len(w) + 1)) <= edits for t in stems)
+        assert (trie.match(w) is not None) == want, w
+        found += want
+    assert found > 60
+
+
 def test_stem_and_context():
     trie = T.Trie({"lowei": (3.0, True), "idiot": (2.0, False)})
     assert trie.match("loweischaft") == (3.0, 0) and trie.match("lowe") is None

@@ -5,7 +5,7 @@ counts of words and word beginnings, smoothed log odds) on top of a short stated
 seed list. Its trie is walked together with the Levenshtein automaton of each
 distinct word: a state is the automaton's row of edit distances, a branch ends when
 no entry of the row is within the allowed edits, and a stem accepts whatever
-follows it. So misspelled terms are found without listing their spellings.
+follows it, also after a slip inside the stem. So misspelled terms are found without listing their spellings.
 
 A hit counts by its context window: inside quotation marks or after a reporting
 word it is a mention and counts little; with a word of address beside it, it counts
@@ -63,19 +63,19 @@ class Trie:
     def __init__(self, entries: dict[str, tuple[float, bool]], max_edits: int = MAX_EDITS):
         self.root: dict = {}
         self.max_edits = max_edits
-        self.heads: set[str] = set()
-        self.tails: set[str] = set()
+        self.longest = max(map(len, entries), default=0)
+        # By length of term (or of stem): first and second halves, for near().
+        self.terms: dict[int, tuple[set[str], set[str]]] = {}
+        self.stems: dict[int, tuple[set[str], set[str]]] = {}
         for term, (weight, stem) in entries.items():
             node = self.root
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = (weight, stem, term)
-            if len(term) >= FUZZY_CHARS and not stem:
-                half = len(term) // 2
-                self.heads.add(term[:half])
-                self.tails.add(term[half:])
-        self.head_sizes = sorted({len(h) for h in self.heads})
-        self.tail_sizes = sorted({len(t) for t in self.tails})
+            if len(term) >= FUZZY_CHARS:
+                heads, tails = (self.stems if stem else self.terms).setdefault(len(term), (set(), set()))
+                heads.add(term[:len(term) // 2])
+                tails.add(term[len(term) // 2:])
 
     def exact(self, word: str) -> tuple[float, int] | None:
         node, best = self.root, None
@@ -88,22 +88,37 @@ class Trie:
         return max(best or (0.0, 0), (node[""][0], 0)) if "" in node else best
 
     def near(self, word: str) -> bool:
-        """Whether a term within one edit is possible: an edit leaves one half of it as it was."""
+        """Whether a term or stem within one edit is possible: an edit leaves one half of it as it was."""
         if self.max_edits != 1:
             return True
-        return (any(word[:k] in self.heads for k in self.head_sizes)
-                or any(word[-k:] in self.tails for k in self.tail_sizes))
+        size = len(word)
+        for n in (size - 1, size, size + 1):
+            if n in self.terms:
+                heads, tails = self.terms[n]
+                half = n // 2
+                if word[:half] in heads or word[half - n:] in tails:
+                    return True
+        for n, (heads, tails) in self.stems.items():
+            half = n // 2
+            if n <= size and (word[:half] in heads or any(word[half + d:n + d] in tails for d in (-1, 0, 1))):
+                return True
+        return False
 
     def fuzzy(self, word: str) -> tuple[float, int] | None:
-        """Best ``(weight, edits)`` of whole terms within ``max_edits`` edits: the trie and the
-        word's automaton in step."""
+        """Best ``(weight, edits)`` of terms within ``max_edits`` edits of the word, or of stems that
+        near one of its beginnings: the trie and the word's automaton in step. A word shorter than
+        a stem is none of its family, as a stem has at least one more letter."""
         k, best = self.max_edits, None
+        size = len(word)
+        word = word[:self.longest + k + 1]  # what follows is past every term and stem
         stack = [(self.root, list(range(len(word) + 1)))]
         while stack:
             node, row = stack.pop()
             entry = node.get("")
-            if entry and not entry[1] and len(entry[2]) >= FUZZY_CHARS and row[-1] <= k:
-                best = max(best or (0.0, 0), (entry[0], row[-1]))
+            if entry and len(entry[2]) >= FUZZY_CHARS:
+                edits = (min(row) if len(entry[2]) <= size else k + 1) if entry[1] else row[-1]
+                if edits <= k:
+                    best = max(best or (0.0, 0), (entry[0], edits))
             for c, child in node.items():
                 if c == "":
                     continue
@@ -248,7 +263,10 @@ def learn_lexicon(train: DataFrame, n_toxic: int, n_clean: int) -> dict[str, tup
     # The longest beginning that nearly all of a stem's documents share is the safer one.
     stems = [max((w[:-1] for w in good if w.endswith("*") and w.startswith(s) and cand[w] >= 0.95 * cand[s + "*"]),
                  key=lambda w: (len(w), w)) for s in stems]
-    learned = {w: (o, False) for w, o in terms.items() if not w.startswith(tuple(stems))}
+    # A stem too short for the automaton keeps its family's terms, whose misspellings are looked up.
+    long = tuple(s for s in stems if len(s) >= FUZZY_CHARS)
+    learned = {w: (o, False) for w, o in terms.items()
+               if not w.startswith(long) and (len(w) >= FUZZY_CHARS or not w.startswith(tuple(stems)))}
     learned |= {s: (good[s + "*"], True) for s in stems}
     top = sorted(learned.items(), key=lambda e: (-e[1][0], e[0]))[:LEXICON_SIZE]
     return entries | dict(top)
