@@ -36,6 +36,16 @@ def test_automaton_finds_what_edit_distance_finds(edits):
             assert got == (1.0 + terms.index(w), 0)
 
 
+def with_swaps(a, b):
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a):
+        rows.append([i + 1])
+        for j, y in enumerate(b):
+            swap = [rows[i - 1][j - 1] + 1] if i and j and (x, a[i - 1]) == (b[j - 1], y) else []
+            rows[-1].append(min(rows[-1][j] + 1, rows[i][j + 1] + 1, rows[i][j] + (x != y), *swap))
+    return rows[-1][-1]
+
+
 @pytest.mark.parametrize("edits", [1, 2])
 def test_automaton_finds_misspelled_stems(edits):
     rnd = random.Random(3)
@@ -46,12 +56,32 @@ def test_automaton_finds_misspelled_stems(edits):
     words += ["".join(rnd.choice("lowebmnt") for _ in range(rnd.randint(3, 9))) for _ in range(500)]
     found = 0
     for w in words:
-        want = any(len(w) >= len(t) and min(distance(t, w[:n]) for n in range(len(w) + 1)) <= edits for t in stems)
+        want = any(len(w) >= len(t) and min(with_swaps(t, w[:n]) for n in range(len(w) + 1)) <= edits for t in stems)
         assert (trie.match(w) is not None) == want, w
         found += want
     assert found > 60
 
 
+DISGUISED = ("id1ot", "idi0t", "st*pid", "wor-thless", "st_pid", "idoit", "stpuid", "iidot", "scmu", "jrek", "j3rk",
+             "jerrk", "you're-an-id1ot", "wrothless", "pahtetic")
+
+
+def test_disguised_spellings():
+    model = T.Model({w: (T.SEED_WEIGHT, False) for w in T.SEEDS} | {"achlich": (3.0, True)},
+                    weights=(2.0, 0.5, 0.3, 1.0, 0.3), bias=-3.0)
+    trie = T.Trie(model.entries)
+    for w in (*DISGUISED, "ahclichkeit", "achl1chkeit", "ach-lichkeit", "aclhich"):
+        assert T.features(f"you are so {w} today", trie, frozenset(), {})[1] > 0, w
+    plain = T.features("you are so id1ot today", trie, frozenset(), {})
+    said = T.features('he wrote "id1ot" today', trie, frozenset(), {})
+    assert plain[1] > said[1] > 0 and plain[4] > said[4]
+    for t in ("a well-known 3rd-party half-time e-mail of x2y", "idi ot", "id  ot"):
+        assert T.features(t, trie, frozenset(), {}) == (0.0,) * 5, t
+    assert T.features("id1ot", trie, frozenset({"id1ot"}), {}) == (0.0,) * 5
+    for t in ("a" * 200_000, "a." * 100_000, "a" + "." * 200_000, "1a" * 100_000):
+        T.features(t, trie, frozenset(), {})
+
+
 def test_stem_and_context():
     trie = T.Trie({"lowei": (3.0, True), "idiot": (2.0, False)})
     assert trie.match("loweischaft") == (3.0, 0) and trie.match("lowe") is None

@@ -36,7 +36,8 @@ LEXICON_SIZE = 5_000
 MIN_DOCS, MIN_SHARE, MIN_ODDS = 4, 0.005, 3.0
 STEM_CHARS = (4, 5, 6, 7)
 MAX_EDITS = 1
-FUZZY_CHARS = 5
+# Letters from which a term, or a stem, may be misspelled.
+FUZZY_CHARS, FUZZY_STEM = 4, 5
 WINDOW = 5
 MENTION = 0.25
 THRESHOLD = 0.3
@@ -55,6 +56,13 @@ ADDRESS = frozenset("you your youre are is du dein bist ihr tu eres usted tú vo
 QUOTES = "\"“”„«»‹›"
 
 WORD = re.compile(r"[^\W\d_]+")
+# Two words about one digit or symbol: all that one edit can have cut in two.
+PAIR = re.compile(r"(?<![^\W\d_])([^\W\d_]++(?:[^\w\s]|[\d_]))(?=([^\W\d_]++))")
+
+
+def forms(low: str) -> set[str]:
+    """The words of a text and the pairs about one inner digit or symbol, as in ``id1ot``."""
+    return {*WORD.findall(low), *map("".join, PAIR.findall(low))}
 
 
 class Trie:
@@ -72,7 +80,7 @@ class Trie:
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = (weight, stem, term)
-            if len(term) >= FUZZY_CHARS:
+            if len(term) >= (FUZZY_STEM if stem else FUZZY_CHARS):
                 heads, tails = (self.stems if stem else self.terms).setdefault(len(term), (set(), set()))
                 heads.add(term[:len(term) // 2])
                 tails.add(term[len(term) // 2:])
@@ -88,7 +96,8 @@ class Trie:
         return max(best or (0.0, 0), (node[""][0], 0)) if "" in node else best
 
     def near(self, word: str) -> bool:
-        """Whether a term or stem within one edit is possible: an edit leaves one half of it as it was."""
+        """Whether a term or stem within one edit is possible: an edit leaves one half of it as it
+        was, but for a swap of the letters where the halves meet."""
         if self.max_edits != 1:
             return True
         size = len(word)
@@ -96,26 +105,29 @@ class Trie:
             if n in self.terms:
                 heads, tails = self.terms[n]
                 half = n // 2
-                if word[:half] in heads or word[half - n:] in tails:
+                if (word[:half] in heads or word[half - n:] in tails
+                        or (n == size and word[:half - 1] + word[half] in heads)):
                     return True
         for n, (heads, tails) in self.stems.items():
             half = n // 2
-            if n <= size and (word[:half] in heads or any(word[half + d:n + d] in tails for d in (-1, 0, 1))):
+            if n <= size and (word[:half] in heads or word[:half - 1] + word[half] in heads
+                              or any(word[half + d:n + d] in tails for d in (-1, 0, 1))):
                 return True
         return False
 
     def fuzzy(self, word: str) -> tuple[float, int] | None:
         """Best ``(weight, edits)`` of terms within ``max_edits`` edits of the word, or of stems that
-        near one of its beginnings: the trie and the word's automaton in step. A word shorter than
-        a stem is none of its family, as a stem has at least one more letter."""
+        near one of its beginnings: the trie and the word's automaton in step. Two neighbouring
+        letters swapped are one edit. A word shorter than a stem is none of its family, as a stem
+        has at least one more letter."""
         k, best = self.max_edits, None
         size = len(word)
         word = word[:self.longest + k + 1]  # what follows is past every term and stem
-        stack = [(self.root, list(range(len(word) + 1)))]
+        stack = [(self.root, list(range(len(word) + 1)), None, "")]
         while stack:
-            node, row = stack.pop()
+            node, row, before, last = stack.pop()
             entry = node.get("")
-            if entry and len(entry[2]) >= FUZZY_CHARS:
+            if entry and len(entry[2]) >= (FUZZY_STEM if entry[1] else FUZZY_CHARS):
                 edits = (min(row) if len(entry[2]) <= size else k + 1) if entry[1] else row[-1]
                 if edits <= k:
                     best = max(best or (0.0, 0), (entry[0], edits))
@@ -125,11 +137,16 @@ class Trie:
                 new = [row[0] + 1]
                 for i, w in enumerate(word):
                     new.append(min(new[i] + 1, row[i + 1] + 1, row[i] + (w != c)))
+                if last != c:
+                    for i in range(1, len(word)):
+                        if word[i] == last and word[i - 1] == c:
+                            new[i + 1] = min(new[i + 1], before[i - 1] + 1)
                 if min(new) <= k:
-                    stack.append((child, new))
+                    stack.append((child, new, row, c))
         return best
 
     def match(self, word: str) -> tuple[float, int] | None:
+        """Of a word or a form with an inner symbol."""
         got = self.exact(word)
         if got is None and len(word) >= FUZZY_CHARS - self.max_edits and self.near(word):
             got = self.fuzzy(word)
@@ -159,7 +176,7 @@ def features(text: str | None, trie: Trie, common: frozenset, cache: dict) -> tu
     the words, hits with a word of address in their window."""
     low = (text or "").lower()
     found = WORD.findall(low)
-    own = set(found)
+    own = forms(low)
     for w in [w for w in own if w not in cache]:
         got = trie.match(w)
         cache[w] = None if got is None or (got[1] and w in common) else got
@@ -171,6 +188,8 @@ def features(text: str | None, trie: Trie, common: frozenset, cache: dict) -> tu
     exact = fuzzy = top = addressed = 0.0
     spans = [m.span() for m in WORD.finditer(low)]
     for i, w in enumerate(found):
+        if w not in hits and i + 1 < len(found) and spans[i + 1][0] == spans[i][1] + 1 and found[i + 1] not in hits:
+            w = low[spans[i][0]:spans[i + 1][1]]  # a space between the words makes no form
         if w in hits:
             weight, edits = hits[w]
             around = found[max(0, i - WINDOW):i]
@@ -218,7 +237,11 @@ def one_a_group(train: DataFrame) -> DataFrame:
     return written(marked.groupBy("g", "y").agg(F.min_by("text", "k").alias("text")), "tox-groups")
 
 
-def _counts(rows: DataFrame, keep) -> dict[str, int]:
+def words_of(low: str) -> set[str]:
+    return set(WORD.findall(low))
+
+
+def _counts(rows: DataFrame, keep, parts=words_of) -> dict[str, int]:
     """Documents that hold each entry ``keep(set of words)`` names; summed by Spark."""
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -226,7 +249,7 @@ def _counts(rows: DataFrame, keep) -> dict[str, int]:
         total: Counter = Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                total.update(keep(set(WORD.findall((t or "").lower()))))
+                total.update(keep(parts((t or "").lower())))
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["w", "n"])
 
@@ -264,9 +287,8 @@ def learn_lexicon(train: DataFrame, n_toxic: int, n_clean: int) -> dict[str, tup
     stems = [max((w[:-1] for w in good if w.endswith("*") and w.startswith(s) and cand[w] >= 0.95 * cand[s + "*"]),
                  key=lambda w: (len(w), w)) for s in stems]
     # A stem too short for the automaton keeps its family's terms, whose misspellings are looked up.
-    long = tuple(s for s in stems if len(s) >= FUZZY_CHARS)
-    learned = {w: (o, False) for w, o in terms.items()
-               if not w.startswith(long) and (len(w) >= FUZZY_CHARS or not w.startswith(tuple(stems)))}
+    long = tuple(s for s in stems if len(s) >= FUZZY_STEM)
+    learned = {w: (o, False) for w, o in terms.items() if not w.startswith(long)}
     learned |= {s: (good[s + "*"], True) for s in stems}
     top = sorted(learned.items(), key=lambda e: (-e[1][0], e[0]))[:LEXICON_SIZE]
     return entries | dict(top)
@@ -297,7 +319,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             cache.clear()
         return own
 
-    near = _counts(single.where("y = 0"), spelled).where(F.col("n") >= 2).collect()
+    near = _counts(single.where("y = 0"), spelled, forms).where(F.col("n") >= 2).collect()
     model.common = frozenset(r.w for r in near)
     spark = docs.sparkSession
     x = F.udf(lambda t, cache={}: list(features(t, trie, model.common, cache)), "array<double>")  # noqa: B006
