@@ -89,6 +89,29 @@ def test_extract_given_pages(spark):
     assert {r.page_id: r.text for r in H.extract(df).collect()} == want
 
 
+def test_names_of_wrappers_and_headings():
+    for name in ("layout has-sidebar", "no-sidebar", "comments-open", "with-comments", "hasSidebar", "page-with-menu"):
+        for tag in ("div", "main", "article", "section"):
+            assert H.main_text(f"<body><{tag} class='{name}'><p>Text</p></{tag}></body>", None) == "Text", (tag, name)
+    for name in ("sidebar", "related", "form", "comments", "site-header"):
+        assert H.main_text(f"<div id={name}>a<article><h1>T</h1><p>b</div>", None) == "T\nb", name
+        assert H.main_text(f"<article id={name}><p>b</article>", None) == "b", name
+        assert H.main_text(f"<main><div class={name}><article><p>b</article></div></main>", None) == "b", name
+    ids = ("related-work", "search-engines", "feedback", "notice-1", "comments", "menu")
+    text = "".join(f"<h2 id='{i}'>{i}</h2><p>Under {i}</p>" for i in ids)
+    assert H.main_text(f"<article>{text}</article>", None).split("\n") == [x for i in ids for x in (i, f"Under {i}")]
+    for t in ("<article><p>b</article>", "<main><p>b</main>"):
+        assert H.main_text(f"<body><form id=aspnetForm><nav>m</nav>{t}</form>", None) == "b"
+    assert H.main_text("<body><form><header>x</header><p>b</p><div><p>c</div></form>", None) == "b\nc"
+    # Marked parts still go.
+    for part in ("<form><h3>Mail us</h3><p>x</p></form>", "<div class='ad-slot'>x</div>", "<ul id='sidebar-left'><li>x</ul>",
+                 "<div class='post-comments'><article class=comment><p>Nice</article></div>", "<p class=share>x</p>"):
+        for tag in ("article", "main"):
+            assert H.main_text(f"<{tag}><p>b</p>{part}</{tag}>", None) == "b", part
+        assert H.main_text(f"<article><p>b</p></article>{part}", None) == "b", part
+        assert H.main_text(f"<p>b</p>{part}", None) in ("b", "b\nNice"), part
+
+
 def test_hostile_markup_is_linear():
     for t in ("<" * 200_000, "<a " * 60_000, "<a b='" * 60_000, "<!--" * 60_000, "<p>" * 100_000, "</p>" * 100_000):
         H.main_text(t, None)
