@@ -76,6 +76,24 @@ def test_extract_site(spark):
     assert H.extract(df.limit(0)).count() == 0
 
 
+def test_odd_pages_and_layouts(spark):
+    def page(i, layout):
+        own = " ".join(f"w{i}x{j}" for j in range(i % 5 + 2))
+        if layout == "a":
+            return f"<html><body><p>Welcome to our site</p><article><p>{own}</p><p>Read all our terms</p></article></body></html>"
+        return f"<html><body><div><p>Other words up here</p><p>{own}</p></div><div><p>Printed by our own press</p></div></body></html>"
+
+    odd = ["<html><body><p>Not found", "<html><body><p>Welcome to", ""]
+    one = [(i, "http://one.example/", page(i, "a")) for i in range(20)] + [
+        (100 + i, "http://one.example/", x) for i, x in enumerate(odd)]
+    two = [(200 + i, "http://two.example/", page(i, "ab"[i % 2])) for i in range(20)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(one + two, "page_id long, url string, html string")).collect()}
+    for i in range(20):
+        own = " ".join(f"w{i}x{j}" for j in range(i % 5 + 2))
+        assert got[i] == got[200 + i] == own
+    assert got[100] == "Not found" and got[101] == "Welcome to"
+
+
 def test_extract_given_pages(spark):
     df = spark.read.parquet(f"{SF01}/pages.parquet")
 
