@@ -130,6 +130,17 @@ def test_names_of_wrappers_and_headings():
         assert H.main_text(f"<p>b</p>{part}", None) in ("b", "b\nNice"), part
 
 
+def test_link_blocks():
+    refs = [f"A. Author, B. Writer: a long title of work {i}" for i in range(5)]
+    items = "".join(f"<li><a href=x>{r}</a>" for r in refs)
+    menu = "".join(f"<li><a href=x>Page {i}</a>" for i in range(4))
+    got = H.main_text(f"<body><ul>{menu}</ul><h1><a href=x>Linked head</a></h1><p><a href=y>See this</a>.</p><p>Text</p>"
+                      f"<ol>{items}</ol></body>", None)
+    assert got.split("\n") == ["Linked head", "See this.", "Text", *refs]
+    few = "".join(f"<p><a>{'&amp;&lt;&eacute;' * 3}</a> and some more words {i}" for i in range(4))
+    assert H.Page(few).blocks[0][4] == 9 / len("&<é&<é&<é and some more words 0") and len(H.main_text(few, None)) > 100
+
+
 def test_hostile_markup_is_linear():
     for t in ("<" * 200_000, "<a " * 60_000, "<a b='" * 60_000, "<!--" * 60_000, "<p>" * 100_000, "</p>" * 100_000):
         H.main_text(t, None)
