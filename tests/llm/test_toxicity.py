@@ -103,6 +103,12 @@ def test_rows(spark):
     T.score(docs, T.fit(docs, ambiguous)).collect()
 
 
+def test_rare_terms_of_large_samples(spark):
+    rows = [(f"some text with zorgle{i % 2} here", 1) for i in range(20)] + [("some text with nothing here", 0)] * 20
+    got = T.learn_lexicon(spark.createDataFrame(rows, "text string, y int"), 4000, 16000)
+    assert any("zorgle0".startswith(w) for w in got)
+
+
 def test_held_out_accuracy(spark):
     docs, labels = spark.read.parquet(f"{SF01}/documents.parquet"), spark.read.parquet(f"{SF01}/labels.parquet")
     got = T.score(docs, T.fit(docs, labels)).join(labels, "doc_id").where(T.held_out(T.F.col("doc_id")))

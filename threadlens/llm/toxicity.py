@@ -32,8 +32,8 @@ from .common import pick, slices_by_bytes, stored, written
 # Labelled rows to learn from at most (those of smallest hashed id), and lexicon entries.
 TRAIN_ROWS = 20_000
 LEXICON_SIZE = 5_000
-# A learned entry: toxic documents it must be in (count and share), and its least log odds.
-MIN_DOCS, MIN_SHARE, MIN_ODDS = 4, 0.005, 3.0
+# A learned entry: toxic documents it must be in, and its least log odds.
+MIN_DOCS, MIN_ODDS = 4, 3.0
 STEM_CHARS = (4, 5, 6, 7)
 MAX_EDITS = 1
 # Letters from which a term, or a stem, may be misspelled.
@@ -263,8 +263,7 @@ def with_stems(words: set[str]) -> set[str]:
 
 def learn_lexicon(train: DataFrame, n_toxic: int, n_clean: int) -> dict[str, tuple[float, bool]]:
     """Terms and stems whose log odds between toxic and clean sample documents stand out."""
-    least = max(MIN_DOCS, math.ceil(MIN_SHARE * n_toxic))
-    toxic = _counts(train.where("y = 1"), with_stems).where(F.col("n") >= least)
+    toxic = _counts(train.where("y = 1"), with_stems).where(F.col("n") >= MIN_DOCS)
     # What clean documents hold is only counted for entries that toxic ones have often
     # enough: at most 60 times the sample's words, far fewer in practice.
     cand = {r.w: r.n for r in toxic.collect()}
