@@ -123,9 +123,11 @@ class Trie:
         k, best = self.max_edits, None
         size = len(word)
         word = word[:self.longest + k + 1]  # what follows is past every term and stem
-        stack = [(self.root, list(range(len(word) + 1)), None, "")]
+        n = len(word)
+        # Entries over k off the diagonal are over k, so only those about it are computed.
+        stack = [(self.root, list(range(n + 1)), None, "", 1)]
         while stack:
-            node, row, before, last = stack.pop()
+            node, row, before, last, deep = stack.pop()
             entry = node.get("")
             if entry and len(entry[2]) >= (FUZZY_STEM if entry[1] else FUZZY_CHARS):
                 edits = (min(row) if len(entry[2]) <= size else k + 1) if entry[1] else row[-1]
@@ -134,15 +136,17 @@ class Trie:
             for c, child in node.items():
                 if c == "":
                     continue
-                new = [row[0] + 1]
-                for i, w in enumerate(word):
-                    new.append(min(new[i] + 1, row[i + 1] + 1, row[i] + (w != c)))
-                if last != c:
-                    for i in range(1, len(word)):
-                        if word[i] == last and word[i - 1] == c:
-                            new[i + 1] = min(new[i + 1], before[i - 1] + 1)
+                new = [k + 1] * (n + 1)
+                if deep <= k:
+                    new[0] = deep
+                for i in range(max(deep - k, 1), min(deep + k, n) + 1):
+                    w = word[i - 1]
+                    x = min(new[i - 1] + 1, row[i] + 1, row[i - 1] + (w != c))
+                    if before and i > 1 and w == last and word[i - 2] == c:
+                        x = min(x, before[i - 2] + 1)
+                    new[i] = x
                 if min(new) <= k:
-                    stack.append((child, new, row, c))
+                    stack.append((child, new, row, c, deep + 1))
         return best
 
     def match(self, word: str) -> tuple[float, int] | None:
