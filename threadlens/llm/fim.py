@@ -159,4 +159,5 @@ def restore(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())],
                                                  names=[*kept, "restored"])
 
-    return rows.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(work, schema)
+    plain = rows.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])
+    return plain.mapInArrow(work, schema)
