@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, bpe, decontam, fim, html_extract, maxscore, pii, simhash, suffix_dedup, toxicity, warc
+from . import (bitplane, bpe, decontam, fim, html_extract, maxscore, piece_bpe, pii, simhash, suffix_dedup, toxicity,
+               warc)
 from .common import table
 
 
@@ -59,6 +60,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.encode_digests(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = fim.restore(fim.transform(table(spark, sf_dir, "documents")))
     return got.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),

@@ -64,3 +64,55 @@ def binary_array(offsets, data, kind):
         None, pa.py_buffer(np.ascontiguousarray(offsets, dtype=np.int64)),
         pa.py_buffer(np.ascontiguousarray(data, dtype=np.uint8))])
     return out.cast(kind)
+
+
+# Bytes of text whose pieces are numpy arrays at a time: bounds memory within one very long text.
+WINDOW_BYTES = 4 << 20
+
+
+def windows(cuts, limit: int = WINDOW_BYTES):
+    """Ranges ``lo, hi`` of pieces with about ``limit`` bytes at most, one piece at least."""
+    import numpy as np
+
+    lo, n = 0, len(cuts) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + limit, "right")) - 1)
+        yield lo, min(hi, n)
+        lo = hi
+
+
+def ids_of_pieces(data, cuts, look, limit: int = WINDOW_BYTES):
+    """``(ids, sizes)``: the ids of all pieces in a row and how many each piece has.
+    ``look`` maps a list of distinct pieces (bytes) to their ids, packed as little-endian
+    32-bit integers; it is asked once for each distinct piece of a window."""
+    import numpy as np
+
+    ids, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+    for lo, hi in windows(cuts, limit):
+        coded = pieces(data[cuts[lo]:cuts[hi]], cuts[lo:hi + 1] - cuts[lo]).dictionary_encode()
+        packed = look(coded.dictionary.to_pylist())
+        n = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        codes = coded.indices.to_numpy()
+        sizes.append(n[codes])
+        ids.append(gather(np.frombuffer(b"".join(packed), "<u4"), sums(n)[codes], sizes[-1]))
+    return np.concatenate(ids), np.concatenate(sizes)
+
+
+class ByteCache(dict):
+    """Packed ids of pieces, dropped and built anew past ``limit`` bytes (keys, values and
+    what Python adds to each entry). Memory only: nothing depends on what is held."""
+
+    ENTRY = 200
+    LONG = 64
+
+    def __init__(self, limit: int = 48 << 20):
+        super().__init__()
+        self.limit, self.held = limit, 0
+
+    def keep(self, key, value: bytes) -> None:
+        if len(key) <= self.LONG:
+            if self.held > self.limit:
+                self.clear()
+                self.held = 0
+            self.held += len(key) + len(value) + self.ENTRY
+            self[key] = value
