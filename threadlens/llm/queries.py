@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bitplane, bpe, decontam, fim, html_extract, maxscore, piece_bpe, pii, simhash, suffix_dedup, toxicity,
-               warc)
+from . import (bitplane, bpe, decontam, fim, html_extract, maxscore, piece_bpe, pii, prefix_trie, simhash,
+               suffix_dedup, toxicity, warc)
 from .common import table
 
 
@@ -64,6 +64,11 @@ def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = prefix_trie.sequences(table(spark, sf_dir, "conversations"), group=5)
+    return prefix_trie.nodes(prefix_trie.splice(rows, modulus=9))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = fim.restore(fim.transform(table(spark, sf_dir, "documents")))
     return got.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
@@ -131,6 +136,41 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0)
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+# h is crc32 written out: eight shifts a byte over the reflected polynomial.
+SQL["op12_prefix_trie"] = """
+WITH t AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+                       ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), h AS (
+  SELECT conv_id, turns, CAST(xor(list_reduce([CAST(ord(x) AS BIGINT) FOR x IN string_split(CAST(conv_id AS VARCHAR), '')],
+    lambda a, b: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END,
+                             xor(a, b)), 4294967295), 4294967295) % 9 AS INTEGER) AS h
+  FROM t
+), r AS (
+  SELECT h.conv_id, list_concat(coalesce(b.turns[1:h.h], []), h.turns[h.h + 1:]) AS turns
+  FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 5
+), p AS (
+  SELECT conv_id, len(turns) AS n, d, turns[1:d] AS path FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM r)
+), g AS (
+  SELECT d, path, min(conv_id) AS conv_id, count(*) AS n_convs,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '') AS ends,
+         (count(*) - 1) * CASE WHEN d > 0 THEN strlen(path[d].text) ELSE 0 END AS saved
+  FROM p GROUP BY d, path
+), k AS (
+  SELECT d - 1 AS d, path[1:d - 1] AS path, count(*) AS n FROM g WHERE d > 0 GROUP BY ALL
+), m AS (
+  SELECT g.*, coalesce(k.n, 0) AS kids FROM g LEFT JOIN k ON k.d = g.d AND k.path = g.path
+), s AS (
+  SELECT d, path[1:d] AS path, sum(saved) AS saved, sum(leaf) AS leaves
+  FROM (SELECT path, saved, CASE WHEN kids = 0 THEN 1 ELSE 0 END AS leaf, unnest(range(0, d + 1)) AS d FROM m) GROUP BY ALL
+)
+SELECT m.conv_id, CAST(m.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAST(m.n_convs AS BIGINT) AS n_convs,
+       CAST(m.kids AS BIGINT) AS n_children, CAST(s.leaves AS BIGINT) AS n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN s ON s.d = m.d AND s.path = m.path LEFT JOIN g u ON u.d = m.d - 1 AND u.path = m.path[1:m.d - 1]
+"""
+
 SQL["op13_fill_in_middle"] = r"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x,
