@@ -9,10 +9,9 @@ encoding is found without merging the text: Aho-Corasick gives the pieces that b
 every place, the longest that fits its left neighbour is taken, and where none fits the
 place is marked in a bitfield and the last piece is given back for a shorter one.
 
-Texts are cut where no piece can span: before a space that follows another character
-(if the vocabulary has no piece with an inner word mark) and around bytes that no piece
-holds. Distinct pieces of text are encoded once for a window; the rest is numpy on Arrow
-buffers. Row-local: no shuffle, no broadcast but the vocabulary's path.
+Texts are cut where no piece can span: between two characters that no piece has side by
+side (so before nearly every space). Distinct pieces of text are encoded once for a window;
+the rest is numpy on Arrow buffers. Row-local: no shuffle, no broadcast but the vocabulary's path.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 
 from .common import pick, slices_by_bytes, worker_state
-from .ragged import WINDOW_BYTES, ByteCache, binary_array, flat, gather, ids_of_pieces, sums, windows
+from .ragged import WINDOW_BYTES, PieceStore, binary_array, flat, gather, ids_of_pieces, sums, unpacked, windows
 
 MARK = "▁"
 # Kinds of pieces in the model file (fixed values).
@@ -123,15 +122,24 @@ class PieceBpe:
             if k == BYTE:
                 self.byte[int(p[3:5], 16)] = i
         self.fallback = bool(trainer.get(35, 0)) and BYTE in kinds
+        # Single characters are no matches: each is the last resort at its place. One that is no
+        # piece gets a number past the vocabulary's.
         self.matcher = ahocorasick.Automaton()
-        for p in self.id:
-            self.matcher.add_word(p, len(p))
+        for p, i in self.id.items():
+            if len(p) > 1:
+                self.matcher.add_word(p, i)
         self.matcher.make_automaton()
         self.longest = max(map(len, self.id))
-        # Where a text may be cut.
-        self.word_cut = not any(MARK in p.lstrip(MARK) for p in self.id)
-        held = set("".join(self.id))
-        self.lone = np.array([b < 128 and b != 0x20 and chr(b) not in held for b in range(256)])
+        self.text = list(self.pieces)
+        self.size = [len(p) for p in self.pieces]
+        self.single = {p: i for p, i in self.id.items() if len(p) == 1}
+        # Characters (last byte of one, first byte of the next) that stand side by side in a piece.
+        self.joined = np.zeros((256, 256), bool)
+        forms = {c: [x.encode() for x in ((c, " ") if c == MARK else (c,))] for c in set("".join(self.id))}
+        for x, y in {p[i:i + 2] for p in self.id for i in range(len(p) - 1)}:
+            for a in forms[x]:
+                for b in forms[y]:
+                    self.joined[a[-1], b[0]] = True
         # Bytes that each id stands for in a decoded text.
         unknown = trainer.get(44, " ⁇ ".encode())
         text = {NORMAL: lambda p: p.replace(MARK, " ").encode(), UNKNOWN: lambda p: unknown,
@@ -142,9 +150,9 @@ class PieceBpe:
         self.said_at = sums(self.said_size)[:-1]
         self.marked = np.array([p.startswith(MARK) and k == NORMAL for p, k in zip(self.pieces, kinds)])
         self.control = np.array([k == CONTROL for k in kinds])
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.alone: dict[str, bool] = {}
-        self.cache = ByteCache()
+        self.pairs: dict[int | None, dict[int, bool]] = {}
+        self.n_pairs = 0
+        self.store = PieceStore(self.fresh)
 
     def merge(self, text: str) -> list[str]:
         """Merging as the model defines it; only ever given one or two pieces' text."""
@@ -160,124 +168,111 @@ class PieceBpe:
             row[at:at + 2] = [row[at] + row[at + 1]]
         return row
 
-    def fits(self, left: str | None, right: str) -> bool:
-        """Whether ``right`` may follow ``left`` (None: begin a text)."""
-        if left is None:
-            ok = self.alone.get(right)
-            if ok is None:
-                ok = self.alone[right] = self.merge(right) == [right]
-                if len(self.alone) > CACHE_PAIRS:
-                    self.alone.clear()
-            return ok
-        key = left, right
-        ok = self.pairs.get(key)
-        if ok is None:
-            if len(self.pairs) > CACHE_PAIRS:
-                self.pairs.clear()
-            ok = self.pairs[key] = self.merge(left + right) == [left, right]
+    def fits(self, left: int | None, right: int) -> bool:
+        """Whether piece ``right`` may follow piece ``left`` (None: begin a text)."""
+        if self.n_pairs > CACHE_PAIRS:
+            self.pairs.clear()
+            self.n_pairs = 0
+        self.n_pairs += 1
+        own = [self.text[i] for i in ((right,) if left is None else (left, right))]
+        ok = self.pairs.setdefault(left, {})[right] = self.merge("".join(own)) == own
         return ok
 
-    def matches(self, text: str):
-        """``at(i)``: lengths of the pieces that begin at place ``i``, shortest first; a
-        character that is no piece counts as one. Matches are found a span at a time, and
-        the last spans are held, so a long text needs no list of its own length."""
-        held: dict[int, list[list[int]]] = {}
-        whole = len(text)
+    def character(self, c: str) -> int:
+        """The number of a single character."""
+        i = self.single.get(c)
+        if i is None:
+            i = self.single[c] = len(self.text)
+            self.text.append(c)
+            self.size.append(1)
+        return i
+
+    def matches(self, text: str, lo: int = 0, hi: int | None = None) -> list[list[int]]:
+        """Pieces of two characters and more that begin at each place from ``lo`` to ``hi``, shortest first."""
+        hi = len(text) if hi is None else hi
+        out: list[list[int]] = [[] for _ in range(hi - lo)]
+        size, last = self.size, hi - lo
+        for end, i in self.matcher.iter(text, lo, min(len(text), hi + self.longest - 1)):
+            at = end - size[i] + 1 - lo
+            if at < last:
+                out[at].append(i)
+        return out
 
-        def span(s: int) -> list[list[int]]:
-            lo = s * SPAN
-            hi = min(whole, lo + SPAN)
-            out: list[list[int]] = [[] for _ in range(hi - lo)]
-            for end, n in self.matcher.iter(text, lo, min(whole, hi + self.longest - 1)):
-                i = end - n + 1 - lo
-                if 0 <= i < hi - lo:
-                    out[i].append(n)
-            for x in out:
-                if not x or x[0] > 1:
-                    x.insert(0, 1)
-            if len(held) > 2:
-                del held[min(held)]
-            held[s] = out
-            return out
-
-        def at(i: int) -> list[int]:
-            s = i // SPAN
-            return (held[s] if s in held else span(s))[i - s * SPAN]
-
-        return at
-
-    def backtrack(self, text: str) -> list[str]:
-        """The pieces of ``text`` (word marks in place of spaces, not empty)."""
-        fits, at, end = self.fits, self.matches(text), len(text)
-        failed = Bitfield(end + 1)
-        row: list[str] = []
-        taken: list[int] = []  # which of a place's matches each piece of the row is
-        pos, k = 0, len(at(0)) - 1
-        while pos < end:
-            left = row[-1] if row else None
-            sizes = at(pos)
-            while k >= 0:
-                stop = pos + sizes[k]
-                if stop not in failed and fits(left, text[pos:stop]):
-                    break
+    def backtrack(self, text: str) -> list[int]:
+        """Numbers of the pieces of ``text`` (word marks in place of spaces, not empty). Matches
+        are found a span at a time, so a long text needs no list of its own length."""
+        pairs, fits, size, character = self.pairs, self.fits, self.size, self.character
+        whole = len(text)
+        failed = Bitfield(whole + 1)
+        dead = False  # whether any place is marked
+        row: list[int] = []
+        taken: list[int] = []  # which of a place's matches each piece of the row is; -1: the character
+        lo = hi = pos = 0
+        k = None
+        own: dict = pairs.get(None, {})
+        left = None
+        while pos < whole:
+            if not lo <= pos < hi:
+                lo = pos - pos % SPAN
+                hi = min(whole, lo + SPAN)
+                at = self.matches(text, lo, hi)
+            here = at[pos - lo]
+            if k is None:
+                k = len(here) - 1
+            while k >= -1:
+                i = here[k] if k >= 0 else character(text[pos])
+                if not dead or pos + size[i] not in failed:
+                    ok = own.get(i)
+                    if ok if ok is not None else fits(left, i):
+                        break
                 k -= 1
-            if k >= 0:
-                row.append(text[pos:stop])
+            if k >= -1:
+                row.append(i)
                 taken.append(k)
-                pos = stop
-                k = len(at(pos)) - 1 if pos < end else 0
-                continue
-            # No piece fits here after this row: never come back, give the last piece back.
-            failed.add(pos)
-            if not row:
-                raise ValueError(f"no encoding for {text[:40]!r}")
-            pos -= len(row.pop())
-            k = taken.pop() - 1
+                pos += size[i]
+                k = None
+            else:
+                # No piece fits here after this row: never come back, give the last piece back.
+                failed.add(pos)
+                dead = True
+                if not row:
+                    raise ValueError(f"no encoding for {text[:40]!r}")
+                pos -= size[row.pop()]
+                k = taken.pop() - 1
+            left = row[-1] if row else None
+            own = pairs.get(left)
+            if own is None:
+                own = pairs[left] = {}
         return row
 
-    def ids(self, row: list[str]) -> bytes:
-        out: list[int] = []
-        for p in row:
-            i = self.id.get(p)
-            if i is not None:
-                out.append(i)
-            elif self.fallback:
-                out += [self.byte[b] for b in p.encode()]
-            else:
-                out.append(self.unk)
-        return struct.pack(f"<{len(out)}I", *out)
-
-    def look(self, parts: list[bytes]) -> list[bytes]:
-        """Packed ids of distinct pieces of text."""
-        cache, out = self.cache, []
-        for raw in parts:
-            got = cache.get(raw)
-            if got is None:
-                text = raw.decode("utf-8", "replace").replace(" ", MARK)
-                # A piece of the vocabulary that merges to itself is its own longest match.
-                row = [text] if text in self.id and self.fits(None, text) else self.backtrack(text)
-                got = self.ids(row)
-                cache.keep(raw, got)
-            out.append(got)
-        return out
+    def ids(self, row: list[int]) -> bytes:
+        n = len(self.pieces)
+        if max(row) >= n:
+            out: list[int] = []
+            for i in row:
+                if i < n:
+                    out.append(i)
+                elif self.fallback:
+                    out += [self.byte[b] for b in self.text[i].encode()]
+                else:
+                    out.append(self.unk)
+            row = out
+        return struct.pack(f"<{len(row)}I", *row)
+
+    def fresh(self, parts: list[bytes]):
+        """``(ids, sizes)`` of distinct pieces of text."""
+        return unpacked([self.ids(self.backtrack(p.decode("utf-8", "replace").replace(" ", MARK))) for p in parts])
 
     def cuts(self, offsets, data):
-        """Places at which the texts fall into pieces that are encoded by themselves."""
+        """Places at which the texts fall into pieces of text that are encoded by themselves:
+        between two characters that stand side by side in no piece of the vocabulary."""
         import numpy as np
 
         n = len(data)
         mark = np.zeros(n + 1, bool)
         mark[offsets] = mark[n] = True
-        if n:
-            lone = self.lone[data]
-            mark[:n] |= lone
-            mark[1:] |= lone
-        if n > 1 and self.word_cut:
-            word = (data[1:] == 0x20) & (data[:-1] != 0x20)
-            # A word mark in the text itself is a space to the model: no border after it.
-            after = np.zeros(n, bool)
-            after[3:] = (data[:-3] == 0xE2) & (data[1:-2] == 0x96) & (data[2:-1] == 0x81)
-            mark[1:n] |= word & ~after[1:]
+        if n > 1:
+            mark[1:n] |= ~self.joined[data[:-1], data[1:]] & (data[1:] & 0xC0 != 0x80)
         return np.flatnonzero(mark)
 
     def encode_flat(self, offsets, data):
@@ -289,7 +284,7 @@ class PieceBpe:
             data = np.insert(data, offsets[:-1][some], np.uint8(0x20))
             offsets = offsets + sums(some)
         cuts = self.cuts(offsets, data)
-        ids, sizes = ids_of_pieces(data, cuts, self.look)
+        ids, sizes = ids_of_pieces(data, cuts, self.store)
         at = sums(sizes)[np.searchsorted(cuts, offsets)] if len(data) else np.zeros(len(offsets), np.int64)
         n = len(offsets) - 1
         ends = np.stack([at[:-1], at[1:]], axis=1).ravel()

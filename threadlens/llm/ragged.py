@@ -81,38 +81,77 @@ def windows(cuts, limit: int = WINDOW_BYTES):
         lo = hi
 
 
-def ids_of_pieces(data, cuts, look, limit: int = WINDOW_BYTES):
-    """``(ids, sizes)``: the ids of all pieces in a row and how many each piece has.
-    ``look`` maps a list of distinct pieces (bytes) to their ids, packed as little-endian
-    32-bit integers; it is asked once for each distinct piece of a window."""
+def ids_of_pieces(data, cuts, store: PieceStore, limit: int = WINDOW_BYTES):
+    """``(ids, sizes)``: the ids of all pieces in a row and how many each piece has. The
+    store is asked once for each distinct piece of a window."""
     import numpy as np
 
     ids, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
     for lo, hi in windows(cuts, limit):
         coded = pieces(data[cuts[lo]:cuts[hi]], cuts[lo:hi + 1] - cuts[lo]).dictionary_encode()
-        packed = look(coded.dictionary.to_pylist())
-        n = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        held, starts, n = store.rows(coded.dictionary.to_pylist())
         codes = coded.indices.to_numpy()
         sizes.append(n[codes])
-        ids.append(gather(np.frombuffer(b"".join(packed), "<u4"), sums(n)[codes], sizes[-1]))
+        ids.append(gather(held, starts[codes], sizes[-1]))
     return np.concatenate(ids), np.concatenate(sizes)
 
 
-class ByteCache(dict):
-    """Packed ids of pieces, dropped and built anew past ``limit`` bytes (keys, values and
-    what Python adds to each entry). Memory only: nothing depends on what is held."""
+def unpacked(rows: list[bytes]):
+    """``(ids, sizes)`` of rows of packed little-endian 32-bit ids."""
+    import numpy as np
+
+    return np.frombuffer(b"".join(rows), "<u4"), np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+
+
+def grown(array, used: int, more):
+    """``array`` with ``more`` put after its first ``used`` entries; its room doubles."""
+    import numpy as np
+
+    need = used + len(more)
+    if need > len(array):
+        wide = np.empty(max(need, 2 * len(array)), array.dtype)
+        wide[:used] = array[:used]
+        array = wide
+    array[used:need] = more
+    return array
+
+
+class PieceStore:
+    """Ids of pieces of text seen by a worker, in one flat array. ``fresh`` encodes a list of
+    distinct new pieces (bytes) and gives ``(ids, sizes)``. Past ``limit`` bytes (pieces, ids
+    and what Python adds to each) all is dropped and built anew: memory only."""
 
     ENTRY = 200
-    LONG = 64
-
-    def __init__(self, limit: int = 48 << 20):
-        super().__init__()
-        self.limit, self.held = limit, 0
-
-    def keep(self, key, value: bytes) -> None:
-        if len(key) <= self.LONG:
-            if self.held > self.limit:
-                self.clear()
-                self.held = 0
-            self.held += len(key) + len(value) + self.ENTRY
-            self[key] = value
+
+    def __init__(self, fresh, limit: int = 64 << 20):
+        self.fresh, self.limit = fresh, limit
+        self.reset()
+
+    def reset(self) -> None:
+        import numpy as np
+
+        self.place: dict[bytes, int] = {}
+        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.ends = np.zeros(1 << 14, np.int64)  # ends[i]: where the ids of piece i - 1 end
+        self.held = 0
+
+    def rows(self, parts: list[bytes]):
+        """``(ids, starts, sizes)``: where in ``ids`` those of each piece stand."""
+        import numpy as np
+
+        if self.held > self.limit:
+            self.reset()
+        get = self.place.get
+        at = np.array([get(p, -1) for p in parts], np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            own = [parts[i] for i in new.tolist()]
+            ids, sizes = self.fresh(own)
+            n = len(self.place)
+            self.ids = grown(self.ids, self.used, ids)
+            self.ends = grown(self.ends, n + 1, self.used + np.cumsum(sizes))
+            self.used += len(ids)
+            at[new] = n + np.arange(len(own))
+            self.place.update(zip(own, range(n, n + len(own))))
+            self.held += sum(map(len, own)) + 4 * len(ids) + self.ENTRY * len(own)
+        return self.ids, self.ends[at], self.ends[at + 1] - self.ends[at]
