@@ -27,24 +27,23 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import _CUT, _NEAR_BLANK, CACHE_CHARS, tokenizer_path
+from .bpe import encode_flat, tokenizer_path
 from .common import pick, scratch, slices_by_bytes, worker_state, written
+from .ragged import WINDOW_BYTES, PieceStore, flat, gather, sums, unpacked
 
 MAGIC = b"BITPLN1\n"
 TAIL = "<QIIQQ"
 BLOCK_IDS = 65_536
 SEGMENT_IDS = 4 << 20
-CACHE_WORDS = 600_000
-# Marks that end a chunk of letters (no apostrophe: it may begin a word of its own kind).
-MARKS = ".,;:!?"
 # Texts or chunks given to the library at a time (bounds its memory).
 LIBRARY_BATCH = 4_096
 
 
 class Encoder:
-    """The tokenizers library behind a cache of chunks: a text is cut where one space
-    stands between two non-blanks, which is a word border of the byte-level
-    pre-tokenizer, so the ids of the chunks in a row are the ids of the text. The
+    """The tokenizers library behind a cache of pieces: a text is cut at sure word borders of
+    the byte-level pre-tokenizer (:func:`bpe.word_cuts`), so the ids of the pieces in a
+    row are the ids of the text. Distinct pieces are found in Arrow and their ids
+    put in a row by numpy, so no Python object is made for an occurrence. The
     cut is only used for that pre-tokenizer; any other file gets whole texts."""
 
     def __init__(self, path: str):
@@ -62,7 +61,7 @@ class Encoder:
         self.cuts = (pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
                      and pre.get("use_regex", True) and not spec.get("normalizer"))
         self.added = [a["content"] for a in spec.get("added_tokens", [])]
-        self.cache: dict[str, bytes] = {}
+        self.store = PieceStore(self.fresh)
         if self.cuts:  # bytes of each token: in the byte-level alphabet a character is a byte
             sizes = {i: len(t) for t, i in spec["model"]["vocab"].items()}
             sizes |= {a["id"]: len(a["content"].encode()) for a in spec.get("added_tokens", [])}
@@ -76,79 +75,59 @@ class Encoder:
                     for e in self.tok.encode_batch_fast(texts[i:i + LIBRARY_BATCH], add_special_tokens=False)]
         return out
 
-    def chunks(self, new: list[str]) -> list[tuple[str, bytes]]:
-        """Ids of new chunks. Marks at the end of a word of letters are words of their own, so
-        such a chunk is put together from both. The others go to the library: those
-        that begin with a space and have no blank at either end in a row, as one text;
-        the tokens' bytes tell where one chunk's ids end and the next one's begin."""
-        two, rest = {}, set()
-        for c in new:
-            w = c.rstrip(MARKS)
-            if len(w) < len(c) and w[1:].isalpha() and (w[0] == " " or w[0].isalpha()):
-                two[c] = w
-                rest.add(w)
-                rest.add(c[len(w):])
-            else:
-                rest.add(c)
-        got = dict(self.library([c for c in rest if c not in self.cache]))
-        cache = self.cache
-        for c, w in two.items():
-            t = c[len(w):]
-            got[c] = (got[w] if w in got else cache[w]) + (got[t] if t in got else cache[t])
-        asked = set(new)
-        return [(c, v) for c, v in got.items() if len(c) <= CACHE_CHARS or c in asked]
-
-    def library(self, new: list[str]) -> list[tuple[str, bytes]]:
+    def fresh(self, parts: list[bytes]):
+        """``(ids, sizes)`` of distinct pieces of text. Those that begin with one space and end
+        with no blank go to the library as one text; the tokens' bytes tell where one
+        piece's ids end and the next one's begin. The others are given one by one."""
         import numpy as np
 
-        row = [c for c in new if len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace()]
-        alone = list(set(new).difference(row))
-        out = list(zip(alone, self.whole(alone)))
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        at = sums(size)
+        row = np.flatnonzero(size > 1)
+        first, second, last, near = (data[x] for x in (at[row], at[row] + 1, at[row + 1] - 1, at[row + 1] - 2))
+        # Printing ASCII, or two-byte characters past the Latin-1 signs: never a blank.
+        solid = (second > 0x20) & (second < 0x7F) | (second >= 0xC3) & (second < 0xE0)
+        solid &= (last > 0x20) & (last < 0x7F) | (near >= 0xC3) & (near < 0xE0)
+        row = row[(first == 0x20) & solid]
+        known: dict[int, tuple] = {}  # first piece of a stretch of the row: its ids and their cuts
+        lone = np.ones(len(parts), bool)
         for i in range(0, len(row), LIBRARY_BATCH):
-            part = row[i:i + LIBRARY_BATCH]
-            text = "".join(part)
+            own = row[i:i + LIBRARY_BATCH]
+            text = b"".join([parts[j] for j in own.tolist()]).decode("utf-8", "replace")
             if any(a in text for a in self.added):
-                out += zip(part, self.whole(part))
                 continue
             ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in part])
-            at = np.cumsum(self.size[ids])
-            cut = np.searchsorted(at, ends)
-            if cut[-1] >= len(at) or (at[cut] != ends).any():  # not this vocabulary's way: one by one
-                out += zip(part, self.whole(part))
-                continue
-            raw, a = ids.tobytes(), 0
-            for c, b in zip(part, (4 * (cut + 1)).tolist()):
-                out.append((c, raw[a:b]))
-                a = b
-        return out
+            ends, reach = np.cumsum(size[own]), np.cumsum(self.size[ids])
+            cut = np.searchsorted(reach, ends)
+            if cut[-1] < len(reach) and (reach[cut] == ends).all():  # else not this vocabulary's way
+                known[i] = ids, np.diff(cut, prepend=-1)
+                lone[own] = False
+        rest = np.flatnonzero(lone)
+        ids, n = unpacked(self.whole([parts[j].decode("utf-8", "replace") for j in rest.tolist()]))
+        order = np.concatenate([rest, *[row[i:i + LIBRARY_BATCH] for i in known]])
+        ids = np.concatenate([ids, *[k[0] for k in known.values()]])
+        n = np.concatenate([n, *[k[1] for k in known.values()]])
+        back = np.argsort(order)
+        return gather(ids, sums(n)[back], n[back]), n[back]
+
+    def encode_flat(self, offsets, data):
+        """``(token offsets, ids)`` of a slice of texts."""
+        import numpy as np
+
+        if self.cuts:
+            return encode_flat(offsets, data, self.added, self.store)
+        raw = data.tobytes()
+        out = self.whole([raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets, offsets[1:])])
+        return sums([len(x) // 4 for x in out]), np.frombuffer(b"".join(out), "<u4")
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, little-endian unsigned 32-bit."""
-        texts = [t or "" for t in texts]
-        if not self.cuts:
-            return self.whole(texts)
-        parts: list[list[str]] = []
-        for t in texts:
-            if any(a in t for a in self.added):  # an added token may span a cut
-                parts.append([t])
-            elif _NEAR_BLANK(t) is None:
-                first, *rest = t.split(" ")
-                parts.append([first, *[" " + p for p in rest]])
-            else:
-                at = [0, *[m.start() for m in _CUT(t)], len(t)]
-                parts.append([t[a:b] for a, b in zip(at, at[1:])])
-        cache = self.cache
-        new = [c for c in set().union(*parts) if c not in cache]
-        cache.update(self.chunks(new))
-        get = cache.__getitem__
-        out = [b"".join(map(get, p)) for p in parts]
-        for c in new:
-            if len(c) > CACHE_CHARS:
-                del cache[c]
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        return out
+        import pyarrow as pa
+
+        at, ids = self.encode_flat(*flat(pa.array(texts, pa.string())))
+        raw = ids.astype("<u4").tobytes()
+        return [raw[4 * a:4 * b] for a, b in zip(at, at[1:])]
 
 
 def planes_of(ids, kind: str) -> list[bytes]:
@@ -276,8 +255,11 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["segment"])
 
         for batch in batches:
-            for piece in slices_by_bytes(batch, 1):
-                for k, ids in zip(piece.column(0).to_pylist(), enc.batch(piece.column(1).to_pylist())):
+            for piece in slices_by_bytes(batch, 1, WINDOW_BYTES):
+                at, flat_ids = enc.encode_flat(*flat(piece.column(1)))
+                raw, at = flat_ids.astype("<u4").tobytes(), at.tolist()
+                for i, k in enumerate(piece.column(0).to_pylist()):
+                    ids = raw[4 * at[i]:4 * at[i + 1]]
                     n = len(ids) // 4 + 1
                     if held and held + n > segment:
                         yield flush()

@@ -26,11 +26,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 
 from .common import pick, slices_by_bytes, worker_state
+from .ragged import WINDOW_BYTES, PieceStore, binary_array, flat, gather, ids_of_pieces, sums, unpacked, windows
 
-# Entries kept by a worker's caches before they are dropped and built anew (memory only).
-CACHE_WORDS = 600_000
-# Chunks longer than this are encoded without being kept.
-CACHE_CHARS = 48
+# Checks of token pairs kept by a worker before they are dropped and made anew (memory only).
+CACHE_PAIRS = 300_000
 
 OUT = ("doc_id long, n_tokens long, ids binary, decoded string")
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -48,6 +47,7 @@ class Bpe:
     """A byte-level BPE vocabulary read from a tokenizer file, with its word cache."""
 
     def __init__(self, path: str):
+        import numpy as np
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -78,7 +78,11 @@ class Bpe:
             self.longest[t[-2:]] = max(self.longest.get(t[-2:], 0), len(t))
         self.edges: dict[tuple[int, int], list[tuple[int, float]]] = {}
         self.fit: dict[tuple[int, int], bool] = {}
-        self.cache: dict[str, bytes] = {}
+        self.store = PieceStore(self.fresh)
+        said = [self.text_of.get(i, b"") for i in range(max(self.text_of) + 2)]
+        self.said = np.frombuffer(b"".join(said), np.uint8)
+        self.said_size = np.array([len(x) for x in said], np.int64)
+        self.said_at = sums(self.said_size)[:-1]
 
     def edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """Tokens at one edge of ``token`` while it is built, first to last, each with
@@ -112,7 +116,7 @@ class Bpe:
                 i += 1
             else:
                 j += 1
-        if len(self.fit) > CACHE_WORDS:
+        if len(self.fit) > CACHE_PAIRS:
             self.fit.clear()
         self.fit[key] = ok
         return ok
@@ -148,58 +152,111 @@ class Bpe:
             out[w] = ids[::-1]
         return out
 
-    def chunks(self, text: str) -> list[str]:
-        """Cut where a single space stands between two non-blanks: always a word border."""
-        if _NEAR_BLANK(text) is None:
-            first, *rest = text.split(" ")
-            return [first, *[" " + p for p in rest]]
-        cuts = [0, *[m.start() for m in _CUT(text)], len(text)]
-        return [text[a:b] for a, b in zip(cuts, cuts[1:])]
-
-    def learn(self, chunks: set[str]) -> None:
-        """Put the ids (little-endian, 32 bits) of new chunks and their words in the cache."""
-        cache, single, several = self.cache, set(), {}
-        for c in chunks:
-            if c.isalpha() or (c[:1] == " " and c[1:].isalpha()):
-                single.add(c)
+    def fresh(self, parts: list[bytes]):
+        """``(ids, sizes)`` of distinct pieces of text."""
+        split: list[list[bytes]] = []
+        for p in parts:
+            t = p.decode("utf-8", "replace")
+            if t.isalpha() or (t[:1] == " " and t[1:].isalpha()):
+                split.append([p])
+            elif self.split_added is not None and any(a in t for a in self.added):
+                split.append([w.encode() for x in self.split_added(t)
+                              for w in ([x] if x in self.added else self.words(x))])
             else:
-                several[c] = self.words(c)
-        single.update(w for ws in several.values() for w in ws if w not in cache)
-        raw = {w.encode(): w for w in single}
-        for w, t in self.encode_words(list(raw)).items():
-            cache[raw[w]] = struct.pack(f"<{len(t)}I", *t)
-        for c, ws in several.items():
-            cache[c] = b"".join([cache[w] for w in ws])
+                split.append([w.encode() for w in self.words(t)])
+        packed = {a.encode(): struct.pack("<I", i) for a, i in self.added.items()}
+        new = self.encode_words(list(set().union(*split).difference(packed)))
+        packed |= {w: struct.pack(f"<{len(t)}I", *t) for w, t in new.items()}
+        return unpacked([packed[ws[0]] if len(ws) == 1 else b"".join([packed[w] for w in ws]) for ws in split])
+
+    def encode_flat(self, offsets, data):
+        """``(token offsets, ids)`` of a slice of texts."""
+        return encode_flat(offsets, data, list(self.added), self.store)
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        parts = []
-        for t in texts:
-            t = t or ""
-            has = self.split_added is not None and any(a in t for a in self.added)
-            parts.append([struct.pack("<I", self.added[p]) if p in self.added else self.chunks(p)
-                          for p in (self.split_added(t) if has else [t])])
-        cache = self.cache
-        seen = set().union(*[p for ps in parts for p in ps if not isinstance(p, bytes)])
-        new = {c for c in seen if c not in cache}
-        self.learn(new)
-        get = cache.__getitem__
-        out = [b"".join([p if isinstance(p, bytes) else b"".join(map(get, p)) for p in ps]) for ps in parts]
-        for c in new:
-            if len(c) > CACHE_CHARS:
-                del cache[c]
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        return out
+        import pyarrow as pa
 
-    def decode(self, ids: bytes) -> str:
-        """Text of ids; bytes that are no UTF-8 become U+FFFD. Unknown ids give nothing."""
-        get, n = self.text_of, len(ids) // 4
-        return b"".join([get.get(i, b"") for i in struct.unpack(f"<{n}I", ids)]).decode("utf-8", "replace")
+        at, ids = self.encode_flat(*flat(pa.array(texts, pa.string())))
+        raw = ids.astype("<u4").tobytes()
+        return [raw[4 * a:4 * b] for a, b in zip(at, at[1:])]
 
+    def decode_flat(self, offsets, ids):
+        """``(byte offsets, bytes)`` of the texts of rows of ids. Unknown ids say nothing."""
+        import numpy as np
 
-_NEAR_BLANK = re.compile(r"\s | \s").search
-_CUT = re.compile(r"(?<=\S) (?=\S)").finditer
+        ids = np.minimum(ids, len(self.said_size) - 1)
+        sizes = self.said_size[ids]
+        at = sums(sizes)
+        out = [gather(self.said, self.said_at[ids[lo:hi]], sizes[lo:hi]) for lo, hi in windows(at)]
+        return at[offsets], np.concatenate([np.zeros(0, np.uint8), *out])
+
+    def decode(self, ids: bytes) -> str:
+        """Text of ids; bytes that are no UTF-8 become U+FFFD. Unknown ids give nothing."""
+        import numpy as np
+
+        own = np.frombuffer(ids, "<u4")
+        return self.decode_flat(np.array([0, len(own)]), own)[1].tobytes().decode("utf-8", "replace")
+
+
+# Marks that end a run of letters (no apostrophe: it may begin a word of its own kind).
+MARKS = b".,;:!?"
+
+
+def word_cuts(offsets, data):
+    """Places at which the byte-level pre-tokenizer surely begins a word, so that a text's ids are
+    those of its pieces in a row: before an ASCII blank after anything but a blank, after
+    a lone ASCII blank that is no space (words begin with one space at most), and before a mark
+    after an ASCII letter. Near what may be a blank outside ASCII no cut is made."""
+    import numpy as np
+
+    n = len(data)
+    cut = np.zeros(n + 1, bool)
+    cut[offsets] = cut[n] = True
+    if n < 2:
+        return cut
+    kind = np.zeros(256, np.uint8)  # 1 blank, 2 other control that some call blank, 4 letter, 8 mark
+    kind[[0x20, *range(0x09, 0x0E)]] = 1
+    kind[0x1C:0x20] = 2
+    kind[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 4
+    kind[list(MARKS)] = 8
+    of = kind[data]
+    # Characters from 0x80 on that may be blanks: two or three bytes with these beginnings.
+    two = (data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0))
+    three = (data[:-1] >= 0xE1) & (data[:-1] <= 0xE3) & np.isin(data[1:], (0x80, 0x81, 0x9A, 0xA0))
+    solid_end = of & 3 == 0  # the character that ends here is no blank
+    solid_end[1:] &= ~two
+    solid_end[2:] &= ~three[:-1]
+    solid_start = of & 3 == 0
+    solid_start[:-1] &= ~(two | three)
+    blank = of & 1 == 1
+    before = blank[1:] & solid_end[:-1]
+    letter = of == 4
+    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)  # no times and division signs
+    cut[1:n] |= before | ((of[1:] == 8) & letter[:-1])
+    cut[2:n] |= before[:-1] & (data[1:-1] != 0x20) & solid_start[2:]
+    return cut
+
+
+def encode_flat(offsets, data, added: list[str], store: PieceStore):
+    """``(token offsets, ids)`` of texts by way of their distinct pieces. A text with an added
+    token's string, which may span a cut, is one piece."""
+    import numpy as np
+
+    cut = word_cuts(offsets, data)
+    raw = data.tobytes()
+    for a in added:
+        a = a.encode()
+        i = raw.find(a)
+        while i >= 0:
+            row = int(np.searchsorted(offsets, i, "right")) - 1
+            cut[offsets[row] + 1:offsets[row + 1]] = False
+            i = raw.find(a, max(i + 1, int(offsets[row + 1]) - len(a)))
+    cuts = np.flatnonzero(cut)
+    if not len(data):
+        return np.zeros(len(offsets), np.int64), np.zeros(0, "<u4")
+    ids, sizes = ids_of_pieces(data, cuts, store)
+    return sums(sizes)[np.searchsorted(cuts, offsets)], ids
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -212,21 +269,27 @@ def load(path: str | None) -> Bpe:
     return worker_state(f"bpe:{path}", lambda: Bpe(path or tokenizer_path()))
 
 
-def _run(docs: DataFrame, id_col: str, text_col: str, path: str | None, schema: str, row) -> DataFrame:
+def _run(docs: DataFrame, id_col: str, text_col: str, path: str | None, schema: str) -> DataFrame:
+    digest = schema == DIGEST
+
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         bpe = load(path)
-        types = None
+        names = [c.split()[0] for c in schema.split(", ")]
         for batch in batches:
-            for part in slices_by_bytes(batch, 1):
-                keys, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                rows = [(k, *row(bpe, ids)) for k, ids in zip(keys, bpe.encode_batch(texts))]
-                types = types or (pa.int64(), pa.int64(), *((pa.binary(), pa.string()) if schema == OUT
-                                                           else (pa.string(), pa.string())))
-                names = [c.split()[0] for c in schema.split(", ")]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+            for part in slices_by_bytes(batch, 1, WINDOW_BYTES):
+                at, ids = bpe.encode_flat(*flat(part.column(1)))
+                where, text = bpe.decode_flat(at, ids)
+                raw, said, n = ids.astype("<u4").tobytes(), text.tobytes(), len(part)
+                said = [said[where[i]:where[i + 1]].decode("utf-8", "replace") for i in range(n)]
+                if digest:
+                    cols = [pa.array([hashlib.sha256(raw[4 * at[i]:4 * at[i + 1]]).hexdigest() for i in range(n)]),
+                            pa.array([hashlib.sha256(t.encode()).hexdigest() for t in said])]
+                else:
+                    cols = [binary_array(4 * at, ids.astype("<u4").view("u1"), pa.binary()), pa.array(said, pa.string())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(at[1:] - at[:-1], pa.int64()), *cols],
+                                                 names=names)
 
     src = pick(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as long) doc_id", "text")
     return src.mapInArrow(work, schema)
@@ -243,13 +306,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     token's own string in a text becomes its id, as in the tokenizer file.
     ``path`` must exist on every executor (default: the public 50k byte-level BPE).
     """
-    return _run(docs, id_col, text_col, path, OUT, lambda b, ids: (len(ids) // 4, ids, b.decode(ids)))
+    return _run(docs, id_col, text_col, path, OUT)
 
 
 def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    path: str | None = None) -> DataFrame:
     """:func:`encode` with sha256 digests in place of the ids and the decoded text,
     made where the ids are, so neither leaves the task."""
-    sha = lambda b: hashlib.sha256(b).hexdigest()
-    return _run(docs, id_col, text_col, path, DIGEST,
-                lambda b, ids: (len(ids) // 4, sha(ids), sha(b.decode(ids).encode())))
+    return _run(docs, id_col, text_col, path, DIGEST)

@@ -61,14 +61,17 @@ def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
 
 
 def worker_state(key: str, make: Callable[[], object]):
-    """An object kept for the lifetime of a Python worker (caches, loaded vocabularies).
-    Only ever holds things that can be rebuilt, so a lost worker loses nothing."""
+    """An object kept by a Python worker (caches, loaded vocabularies) until another operator's
+    takes its place: a worker that serves several steps holds one of them at a time. Only
+    ever holds things that can be rebuilt, so a lost worker loses nothing."""
     mod = sys.modules.get("_llm_worker_state")
     if mod is None:
         mod = sys.modules.setdefault("_llm_worker_state", pytypes.ModuleType("_llm_worker_state"))
-    if key not in mod.__dict__:
-        mod.__dict__[key] = make()
-    return mod.__dict__[key]
+    held = mod.__dict__.setdefault("held", {})
+    if key not in held:
+        held.clear()
+        held[key] = make()
+    return held[key]
 
 
 def slices(batch, rows: int = SLICE_ROWS) -> Iterator:
