@@ -114,3 +114,26 @@ def test_held_out_accuracy(spark):
     got = T.score(docs, T.fit(docs, labels)).join(labels, "doc_id").where(T.held_out(T.F.col("doc_id")))
     n = {(r.toxic, r.predicted): r["count"] for r in got.groupBy("toxic", "predicted").count().collect()}
     assert n[1, 1] >= 8 and n.get((0, 1), 0) <= 2
+
+
+def test_scores_where_workers_lack_the_package(tmp_path):
+    """A session whose workers can't import the package scores all the same."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from threadlens.session import get_session
+from threadlens.llm import toxicity
+spark = get_session("local[1]", 1)
+model = toxicity.Model({{w: (4.0, False) for w in toxicity.SEEDS}}, weights=(2.0, .5, .3, 1.0, .3), bias=-3.0)
+word = sorted(toxicity.SEEDS)[0]
+rows = spark.createDataFrame([(1, "you " + word + " " + word), (2, "nice day")], "doc_id long, text string")
+print("GOT", [r.predicted for r in toxicity.score(rows, model).orderBy("doc_id").collect()])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "GOT [1, 0]" in out.stdout, out.stderr[-2000:]

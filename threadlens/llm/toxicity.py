@@ -338,12 +338,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """``doc_id, score, predicted`` of every row. A null text scores like an empty one (no hits);
     null and repeated ids keep their rows; an empty table gives no rows; other columns
     are ignored."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain values: an object of this package is pickled by its class's name, which executors
+    # without a copy of the package can't load.
+    sent = docs.sparkSession.sparkContext.broadcast((model.entries, model.common, model.weights, model.bias))
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        m = sent.value
+        m = Model(*sent.value)
         trie = Trie(m.entries)
         cache: dict = {}
         for batch in batches:
