@@ -23,44 +23,49 @@ EPSILON = 1e-12
 
 # Windows of a document that are counted at a time: bounds memory for very long documents.
 WINDOW_SLICE = 4_096
+# Groups whose word tables a task holds at a time.
+GROUPS_HELD = 64
 
 
-def _window_counts_fn(topic_words: dict, window: int, tokens_col: str, group_of):
-    """Window occurrence counts (numpy inside the task), combined per batch.
+def _window_counts_fn(groups: dict, window: int, tokens_col: str, model_of):
+    """Window occurrence counts (numpy inside the task), combined per batch and group.
 
     A document's windows are rows of a boolean matrix over the top words it holds, made
     from prefix sums of their places; its Gram matrix has the single and the pair
-    counts of all models at once. Only pairs of one topic's words are given out.
-    Windows themselves are counted per group (model), over documents with one of
-    the group's words.
+    counts of all models of its group at once. Only pairs of one topic's words are given
+    out. Windows themselves are counted per model, over documents with one of the
+    model's words.
     """
     import numpy as np
     import pandas as pd
 
-    vocab = sorted({w for ws in topic_words.values() for w in ws})
-    index = {w: i for i, w in enumerate(vocab)}
-    wanted = np.eye(len(vocab), dtype=bool)
-    groups: dict = {}
-    for t, ws in topic_words.items():
-        own = [index[w] for w in ws]
-        wanted[np.ix_(own, own)] = True
-        groups.setdefault(group_of(t), set()).update(own)
-    masks = {g: np.isin(np.arange(len(vocab)), sorted(own)) for g, own in groups.items()}
-
-    def run(batches):
-        for pdf in batches:
-            total = np.zeros((len(vocab), len(vocab)), dtype=np.int64)
-            n_windows = dict.fromkeys(groups, 0)
-            for toks in pdf[tokens_col]:
-                ids = np.array([index.get(t, -1) for t in (toks if toks is not None else ())], dtype=np.int64)
+    class Words:
+        """The top words of a group's models and what is counted of them."""
+
+        def __init__(self, topics: dict):
+            self.vocab = sorted({w for ws in topics.values() for w in ws})
+            self.index = {w: i for i, w in enumerate(self.vocab)}
+            self.wanted = np.eye(len(self.vocab), dtype=bool)
+            models: dict = {}
+            for t, ws in topics.items():
+                own = [self.index[w] for w in ws]
+                self.wanted[np.ix_(own, own)] = True
+                models.setdefault(model_of(t), set()).update(own)
+            self.masks = {m: np.isin(np.arange(len(self.vocab)), sorted(own)) for m, own in models.items()}
+
+        def count(self, texts):
+            total = np.zeros((len(self.vocab), len(self.vocab)), dtype=np.int64)
+            n_windows = dict.fromkeys(self.masks, 0)
+            for toks in texts:
+                ids = np.array([self.index.get(t, -1) for t in (toks if toks is not None else ())], dtype=np.int64)
                 place = np.flatnonzero(ids >= 0)
                 if not len(place):
                     continue
                 present, col = np.unique(ids[place], return_inverse=True)
                 n = len(ids)
                 nw = max(n - window + 1, 1)
-                for g, mask in masks.items():
-                    n_windows[g] += nw * bool(mask[present].any())
+                for m, mask in self.masks.items():
+                    n_windows[m] += nw * bool(mask[present].any())
                 for lo in range(0, nw, WINDOW_SLICE):
                     hi = min(nw, lo + WINDOW_SLICE)
                     end = min(hi - 1 + window, n)
@@ -71,10 +76,23 @@ def _window_counts_fn(topic_words: dict, window: int, tokens_col: str, group_of)
                     starts = np.arange(hi - lo)
                     pres = ((c[np.minimum(starts + window, end - lo)] - c[starts]) > 0).astype(np.float32)
                     total[np.ix_(present, present)] += np.rint(pres.T @ pres).astype(np.int64)
-            x, y = np.nonzero(np.triu(wanted) & (total > 0))
-            names = np.array(vocab, dtype=object)
-            yield pd.DataFrame({"a": [*names[x], *[None] * len(groups)], "b": [*names[y], *map(str, groups)],
-                                "c": pd.Series([*total[x, y].tolist(), *n_windows.values()], dtype="int64")})
+            x, y = np.nonzero(np.triu(self.wanted) & (total > 0))
+            names = np.array(self.vocab, dtype=object)
+            return ([*names[x], *[None] * len(self.masks)], [*names[y], *map(str, self.masks)],
+                    [*total[x, y].tolist(), *n_windows.values()])
+
+    def run(batches):
+        held: dict = {}
+        for pdf in batches:
+            for g, rows in pdf.groupby("g"):
+                if g not in groups:
+                    continue
+                if g not in held:
+                    if len(held) >= GROUPS_HELD:
+                        held.clear()
+                    held[g] = Words(groups[g])
+                a, b, c = held[g].count(rows[tokens_col])
+                yield pd.DataFrame({"g": g, "a": a, "b": b, "c": pd.Series(c, dtype="int64")})
     return run
 
 
@@ -82,27 +100,36 @@ def coherence_cv_per_topic(texts: DataFrame, top_words: DataFrame, tokens_col: s
                            window: int = 110, stride: int = 1 << 30) -> DataFrame:
     """(topic, coherence). Topics of several models may be scored in one pass: a topic's model
     is its number divided by ``stride``, and each model has its own count of windows."""
-    tw = top_words.select("topic", "term").distinct()
-    # k * topn (topic, term) rows: bounded by the model size, safe to ship to tasks.
-    topic_words: dict = {}
+    g = F.lit(0).cast("long").alias("g")
+    return grouped_coherence(texts.select(g, F.col(tokens_col)), top_words.select(g, "topic", "term"),
+                             tokens_col, window, stride).drop("g")
+
+
+def grouped_coherence(texts: DataFrame, top_words: DataFrame, tokens_col: str = "tokens",
+                      window: int = 110, stride: int = 1 << 30) -> DataFrame:
+    """(g, topic, coherence): :func:`coherence_cv_per_topic` for many groups at once; the words of a
+    group's topics are looked for in that group's texts only (``g`` is a long in both)."""
+    tw = top_words.select("g", "topic", "term").distinct()
+    # k * topn (topic, term) rows a group: bounded by the models' size, safe to ship to tasks.
+    groups: dict = {}
     for r in tw.collect():
-        topic_words.setdefault(int(r["topic"]), []).append(r["term"])
-    counts = texts.select(tokens_col).mapInPandas(
-        _window_counts_fn(topic_words, window, tokens_col, lambda t: t // stride), "a string, b string, c long")
+        groups.setdefault(int(r["g"]), {}).setdefault(int(r["topic"]), []).append(r["term"])
+    counts = texts.select("g", tokens_col).mapInPandas(
+        _window_counts_fn(groups, window, tokens_col, lambda t: t // stride), "g long, a string, b string, c long")
     # Kept once: at most topics x words^2 rows, which the joins below read several times.
-    agg = materialize(counts.groupBy("a", "b").agg(F.sum("c").alias("c")))
-    n_windows = agg.filter(F.col("a").isNull()).select(F.col("b").cast("int").alias("_g"), F.col("c").cast("double").alias("_N"))
-    c1 = agg.filter(F.col("a").isNotNull() & (F.col("a") == F.col("b"))).select(F.col("a").alias("term"), "c")
+    agg = materialize(counts.groupBy("g", "a", "b").agg(F.sum("c").alias("c")))
+    n_windows = agg.filter(F.col("a").isNull()).select("g", F.col("b").cast("int").alias("_m"), F.col("c").cast("double").alias("_N"))
+    c1 = agg.filter(F.col("a").isNotNull() & (F.col("a") == F.col("b"))).select("g", F.col("a").alias("term"), "c")
     c2 = agg.filter(F.col("a").isNotNull() & (F.col("a") < F.col("b")))
     # All ordered pairs of each topic's words (incl. self pairs): k * topn^2 rows.
-    grid = tw.select("topic", F.col("term").alias("a")).join(tw.select("topic", F.col("term").alias("b")), "topic")
+    grid = tw.select("g", "topic", F.col("term").alias("a")).join(tw.select("g", "topic", F.col("term").alias("b")), ["g", "topic"])
     g = grid.withColumn("_lo", F.least("a", "b")).withColumn("_hi", F.greatest("a", "b"))
-    g = g.join(c2.select(F.col("a").alias("_lo"), F.col("b").alias("_hi"), F.col("c").alias("c_ab")),
-               ["_lo", "_hi"], "left")
-    g = g.join(c1.select(F.col("term").alias("a"), F.col("c").alias("c_a")), "a", "left")
-    g = g.join(c1.select(F.col("term").alias("b"), F.col("c").alias("c_b")), "b", "left")
+    g = g.join(c2.select("g", F.col("a").alias("_lo"), F.col("b").alias("_hi"), F.col("c").alias("c_ab")),
+               ["g", "_lo", "_hi"], "left")
+    g = g.join(c1.select("g", F.col("term").alias("a"), F.col("c").alias("c_a")), ["g", "a"], "left")
+    g = g.join(c1.select("g", F.col("term").alias("b"), F.col("c").alias("c_b")), ["g", "b"], "left")
     # One row per model; its topics carry its number.
-    g = g.withColumn("_g", F.floor(F.col("topic") / F.lit(stride)).cast("int")).join(n_windows, "_g", "left")
+    g = g.withColumn("_m", F.floor(F.col("topic") / F.lit(stride)).cast("int")).join(n_windows, ["g", "_m"], "left")
     g = g.withColumn("_N", F.coalesce("_N", F.lit(0.0)))
     c_ab = F.when(F.col("a") == F.col("b"), F.coalesce("c_a", F.lit(0))).otherwise(F.coalesce("c_ab", F.lit(0)))
     p_ab = F.coalesce(F.try_divide(c_ab, F.col("_N")), F.lit(0.0))
@@ -112,12 +139,12 @@ def coherence_cv_per_topic(texts: DataFrame, top_words: DataFrame, tokens_col: s
     lr = F.log(F.try_divide(p_ab + EPSILON, p_a * p_b))
     g = g.withColumn("nlr", F.coalesce(F.try_divide(lr, -F.log(p_ab + EPSILON)), F.lit(0.0)))
     # Context vectors: v(a)[b] = nlr(a, b); v(W)[b] = sum_a nlr(a, b).
-    vw = g.groupBy("topic", "b").agg(F.sum("nlr").alias("vw"))
-    j = g.join(vw, ["topic", "b"])
-    cos = j.groupBy("topic", "a").agg(F.coalesce(F.try_divide(
+    vw = g.groupBy("g", "topic", "b").agg(F.sum("nlr").alias("vw"))
+    j = g.join(vw, ["g", "topic", "b"])
+    cos = j.groupBy("g", "topic", "a").agg(F.coalesce(F.try_divide(
         F.sum(F.col("nlr") * F.col("vw")),
         F.sqrt(F.sum(F.col("nlr") * F.col("nlr"))) * F.sqrt(F.sum(F.col("vw") * F.col("vw")))), F.lit(0.0)).alias("cos"))
-    return cos.groupBy("topic").agg(F.avg("cos").alias("coherence"))
+    return cos.groupBy("g", "topic").agg(F.avg("cos").alias("coherence"))
 
 
 def npmi(p_ab: float, p_a: float, p_b: float) -> float:

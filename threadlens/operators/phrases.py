@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import attach_scalars, broadcast_if_small, materialize
 
 DELIM = "_"
+# Ends the number of a token's group in grouped learning.
+GROUP_END = "\x1f"
 
 
 def _pairs(tokens) -> F.Column:
@@ -41,9 +43,12 @@ def count_dictionary(docs: DataFrame, tokens_col: str = "tokens") -> DataFrame:
 
 
 def learn_phrases(docs: DataFrame, tokens_col: str = "tokens", min_count: int = 5,
-                  threshold: float = 10.0) -> DataFrame:
+                  threshold: float = 10.0, grouped: bool = False) -> DataFrame:
     """Phrase table (phrase, first, last, count, score) with score > threshold.
 
+    With ``grouped`` every token begins with its group's number and :data:`GROUP_END`, and
+    the dictionary's size is that of the group; phrases of all groups are learned at once.
+
     The count dictionary is materialised once. A key's first/last parts never
     contain the delimiter, so their counts come from the plain-token part of
     the dictionary (vocabulary-sized, broadcast after a size check). With a
@@ -52,7 +57,9 @@ def learn_phrases(docs: DataFrame, tokens_col: str = "tokens", min_count: int =
     materialised too: it is small and every merge pass reads it.
     """
     vocab = materialize(count_dictionary(docs, tokens_col))
-    size = vocab.agg(F.count(F.lit(1)).alias("_v"))
+    group = F.substring_index("key", GROUP_END, 1)
+    size = vocab.agg(F.count(F.lit(1)).alias("_v")) if not grouped else \
+        vocab.groupBy(group.alias("_g")).agg(F.count(F.lit(1)).alias("_v"))
     parts = F.split("key", DELIM)
     multi = vocab.filter(F.size(parts) >= 2)
     if threshold >= 0:
@@ -63,7 +70,8 @@ def learn_phrases(docs: DataFrame, tokens_col: str = "tokens", min_count: int =
     uni_a = plain.select(F.col("key").alias("first"), F.col("count").alias("n_a"))
     uni_b = plain.select(F.col("key").alias("last"), F.col("count").alias("n_b"))
     j = multi.join(uni_a, "first").join(uni_b, "last")
-    j = attach_scalars(j, size)
+    j = attach_scalars(j, size) if not grouped else \
+        j.withColumn("_g", F.substring_index("phrase", GROUP_END, 1)).join(size, "_g")
     score = (F.col("n_ab") - F.lit(min_count)).cast("double") / (F.col("n_a") * F.col("n_b")).cast("double") \
         * F.col("_v")
     return materialize(j.withColumn("score", score).filter(F.col("score") > threshold)
@@ -108,7 +116,7 @@ def merge_phrases(docs: DataFrame, phrases: DataFrame, doc_col: str, tokens_col:
 
 def learn_and_merge(docs: DataFrame, doc_col: str, tokens_col: str = "tokens", min_count: int = 5,
                     threshold: float = 10.0, second_min_count: int = 5,
-                    order: str = "reference") -> tuple[DataFrame, DataFrame, DataFrame]:
+                    order: str = "reference", grouped: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """C6 + C7: two phrase passes.
 
     Pass 1 learns on the tokens; pass 2 learns on pass-1-merged tokens (its
@@ -119,9 +127,9 @@ def learn_and_merge(docs: DataFrame, doc_col: str, tokens_col: str = "tokens", m
     Returns (merged docs, pass-1 table, pass-2 table).
     """
     docs = materialize(docs.select(doc_col, tokens_col))
-    p1 = learn_phrases(docs, tokens_col, min_count, threshold)
+    p1 = learn_phrases(docs, tokens_col, min_count, threshold, grouped)
     m1 = materialize(merge_phrases(docs, p1, doc_col, tokens_col, "_m1"))
-    p2 = learn_phrases(m1.select(doc_col, F.col("_m1").alias("_t")), "_t", second_min_count, threshold)
+    p2 = learn_phrases(m1.select(doc_col, F.col("_m1").alias("_t")), "_t", second_min_count, threshold, grouped)
     if order == "reference":
         a = merge_phrases(docs, p2, doc_col, tokens_col, "_m2")
         res = merge_phrases(a, p1, doc_col, "_m2", "_m3")
@@ -130,3 +138,14 @@ def learn_and_merge(docs: DataFrame, doc_col: str, tokens_col: str = "tokens", m
     else:
         raise ValueError("order must be 'reference' or 'bigram_first'")
     return res.withColumnRenamed("_m3", "phrased"), p1, p2
+
+
+def phrases_in_groups(docs: DataFrame, min_count: int = 5, threshold: float = 10.0) -> DataFrame:
+    """:func:`learn_and_merge` for every group of ``g, doc, tokens`` rows (``g`` a long) in one
+    set of jobs: a token carries its group's number, so no key is shared between groups."""
+    marked = docs.withColumn("tokens", F.transform("tokens", lambda t: F.concat(
+        F.col("g").cast("string"), F.lit(GROUP_END), t)))
+    merged, _, _ = learn_and_merge(marked.select(F.struct("g", "doc").alias("_of"), "tokens"), "_of", "tokens",
+                                   min_count, threshold, grouped=True)
+    plain = F.transform("phrased", lambda t: F.regexp_replace(t, f"-?[0-9]+{GROUP_END}", ""))
+    return merged.select("_of.g", "_of.doc", plain.alias("tokens"))

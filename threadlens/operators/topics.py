@@ -1,9 +1,9 @@
 """Topic modelling (E1, E2, E4-E8) on pyspark.ml.
 
-The corpus is vectorised once against the vocabulary (C8) and checkpointed,
-so the k search and the final fit reread the same rows. Model state (k x V
-topic-term weights) follows the vocabulary's df bounds; document
-mixtures stay distributed and are only ever aggregated.
+One final model is fitted with Spark's LDA over vectors made once against the vocabulary
+(C8) and checkpointed; its k x V topic-term weights follow the vocabulary's df bounds. Where
+many models are compared (the k search, a model inside every main topic) they are fitted
+together by ``topic_batch``, with weights and mixtures as tables.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
-from .coherence import coherence_cv_per_topic
 from .common import attach_scalars, broadcast_if_small, materialize
+from .topic_batch import best_ks, coherence_of, fit_batch, grouped_counts, scored
 from .vocab import bag_of_words, count_vectors, vocabulary
 
 
@@ -115,47 +115,24 @@ def term_relevance(model, vocab_df: DataFrame, bow: DataFrame, lam: float = 0.6,
             .select("topic", "rank", "term", "phi", "p_w", "relevance")
 
 
-# Topic numbers of several models in one coherence pass: model number times this, plus topic.
-TOPIC_STRIDE = 10_000
-
-
-def fit_all(vectors: DataFrame, texts: DataFrame, vocab_df: DataFrame, ks, passes: int = 8, seed: int = 42,
-            tokens_col: str = "tokens", topn: int = 20, parallel: int = 4) -> tuple[list[tuple], dict]:
-    """One model per k and its c_v: ``([(k, coherence)], {k: model})``.
-
-    The fits are independent seeded jobs over the same checkpointed vectors; a small
-    driver thread pool submits them concurrently so their per-iteration scheduling
-    gaps overlap. All models' top words are counted in one pass over the texts.
-    """
-    from concurrent.futures import ThreadPoolExecutor
-
-    ks = list(ks)
-    if not ks:
-        raise ValueError("k search needs a non-empty k range (corpus too small)")
-    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-        models = dict(zip(ks, pool.map(lambda k: fit_lda(vectors, k, passes, seed), ks)))
-    words = None
-    for k, m in models.items():
-        w = topic_top_words(m, vocab_df, topn).select((F.col("topic") + k * TOPIC_STRIDE).alias("topic"), "term")
-        words = w if words is None else words.unionByName(w)
-    per = coherence_cv_per_topic(texts, materialize(words), tokens_col, stride=TOPIC_STRIDE)
-    means = {r.k: r.c for r in per.groupBy(F.floor(F.col("topic") / TOPIC_STRIDE).cast("int").alias("k"))
-                                  .agg(F.avg("coherence").alias("c")).collect()}
-    return [(int(k), float(means[k]) if means.get(k) is not None else None) for k in ks], models
-
-
 def best_k(rows: list[tuple]) -> int:
     """The k of highest coherence, ties to the smallest."""
     return max(rows, key=lambda r: (r[1] if r[1] is not None else float("-inf"), -r[0]))[0]
 
 
-def k_search(vectors: DataFrame, texts: DataFrame, vocab_df: DataFrame, ks, passes: int = 8,
-             seed: int = 42, tokens_col: str = "tokens", topn: int = 20, parallel: int = 4) -> DataFrame:
-    """(k, coherence, best) for every k."""
-    rows, _ = fit_all(vectors, texts, vocab_df, ks, passes, seed, tokens_col, topn, parallel)
-    best = best_k(rows)
-    return vectors.sparkSession.createDataFrame([(k, c, k == best) for k, c in rows],
-                                                "k int, coherence double, best boolean")
+def k_search(vectors: DataFrame | None, texts: DataFrame, vocab_df: DataFrame, ks, passes: int = 8,
+             seed: int = 42, tokens_col: str = "tokens", topn: int = 20) -> DataFrame:
+    """(k, coherence, best) for every k, over the terms of ``vocab_df``. All models are fitted
+    together (see ``topic_batch``) from the texts' counts; ``vectors`` are not needed."""
+    ks = list(ks)
+    if not ks:
+        raise ValueError("k search needs a non-empty k range (corpus too small)")
+    # Rows are told apart by a number of their own: keys may repeat or be NULL.
+    own = materialize(texts.select(F.lit(0).cast("long").alias("g"), F.monotonically_increasing_id().alias("doc"),
+                                   F.col(tokens_col).alias("tokens")))
+    counts = bag_of_words(own, vocab_df, "doc").select(
+        F.lit(0).cast("long").alias("g"), "doc", "term", F.col("count").cast("int").alias("n"))
+    return scored(fit_batch(materialize(counts), ks, passes, seed), own, topn)
 
 
 def topic_pipeline(docs: DataFrame, doc_col: str, tokens_col: str = "tokens", ks=None, search_passes: int = 8,
@@ -170,7 +147,8 @@ def topic_pipeline(docs: DataFrame, doc_col: str, tokens_col: str = "tokens", ks
     merged, _, _ = learn_and_merge(docs, doc_col, tokens_col, phrase_min_count, phrase_threshold)
     merged = materialize(merged.select(doc_col, F.col("phrased").alias("tokens")))
     vectors, vocab_df, _ = prepare_corpus(merged, doc_col, "tokens", no_below, no_above)
-    rows, _ = fit_all(vectors, merged, vocab_df, ks or k_range(merged.count()), search_passes, seed)
+    found = k_search(None, merged, vocab_df, ks or k_range(merged.count()), search_passes, seed)
+    rows = [(r.k, r.coherence) for r in found.orderBy("k").collect()]
     return fit_lda(vectors, best_k(rows), passes, seed), vectors, vocab_df, merged, rows
 
 
@@ -182,57 +160,46 @@ def k_range(n_docs: int, k_min: int = 3, k_max: int = 10) -> list:
 def subtopics(df: DataFrame, doc_col: str, topic_col: str, text_col: str, min_docs: int = 30,
               k_min: int = 2, k_max: int = 8, passes: int = 6, phrase_min_count: int = 3,
               phrase_threshold: float = 8.0, no_below: int = 5, no_above: float = 0.5,
-              seed: int = 42, parallel: int = 4) -> DataFrame:
+              seed: int = 42) -> DataFrame:
     """E8 (+ B7, B8, J4, G6): a separate topic model inside every main topic.
 
     For each main topic (distinct non-NULL ids except -1): non-blank texts,
     tokens, documents left with no token dropped, at least ``min_docs``
     documents before and after tokenising, phrases (C6/C7), vocabulary, k
-    search over k_min..k_max by c_v, dominant subtopic per document. Results
-    are unioned and left-joined back row by row; rows without a subtopic
-    get -1. The per-topic fits are independent Spark jobs submitted
-    concurrently from a small driver thread pool (main topics are few).
+    search over k_min..k_max by c_v, dominant subtopic per document. Rows without a
+    subtopic get -1. All main topics and all k are learned in one set of jobs, whatever
+    their number: phrases, vocabulary, models, coherence and the choice of k are keyed by
+    main topic.
     """
-    from concurrent.futures import ThreadPoolExecutor
-
-    from .phrases import learn_and_merge
+    from .phrases import phrases_in_groups
     from .text_ops import topic_tokens
 
     # Rows are told apart by a number of their own: keys may repeat or be NULL.
     df = materialize(df.withColumn("_rid", F.monotonically_increasing_id()))
-    doc_col = "_rid"
-    base = df.select(doc_col, topic_col, text_col)
+    base = df.select("_rid", topic_col, text_col)
     base = base.filter(F.col(topic_col).isNotNull() & (F.col(topic_col).cast("string") != "-1"))
     base = base.filter(~is_blank(text_col))
-    toks = materialize(topic_tokens(base, text_col).select(doc_col, topic_col, "tokens"))
-    sizes = toks.groupBy(topic_col).agg(F.count(F.lit(1)).alias("n_all"),
-                                        F.sum(F.when(F.size("tokens") > 0, 1).otherwise(0)).alias("n_tok"))
-    # One row per main topic: a handful of scalars for the driver loop.
-    plan = [(r[topic_col], r["n_tok"]) for r in
-            sizes.filter((F.col("n_all") >= min_docs) & (F.col("n_tok") >= min_docs)).orderBy(topic_col).collect()]
-
-    def one(item):
-        t, n_tok = item
-        sub = toks.filter((F.col(topic_col) == t) & (F.size("tokens") > 0))
-        merged, _, _ = learn_and_merge(sub, doc_col, "tokens", phrase_min_count, phrase_threshold)
-        merged = materialize(merged.select(doc_col, F.col("phrased").alias("tokens")))
-        vec, vocab_df, terms = prepare_corpus(merged, doc_col, "tokens", no_below, no_above)
-        ks = list(range(k_min, min(k_max, max(2, n_tok // 2)) + 1))
-        rows, models = fit_all(vec, merged, vocab_df, ks, passes, seed)
-        k = best_k(rows)  # the search and the final fit use the same passes: the model is kept
-        dom = dominant_topic(doc_topics(models[k], vec, doc_col), doc_col, k, empty="null")
-        return materialize(dom.select(doc_col, F.lit(t).alias("_main"),
-                                      F.coalesce("topic_id", F.lit(-1)).alias("comment_subtopic"),
-                                      F.lit(k).alias("n_subtopics")))
-
-    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-        parts = [p for p in pool.map(one, plan) if p is not None]
-    spark = df.sparkSession
-    if parts:
-        res = parts[0]
-        for p in parts[1:]:
-            res = res.unionByName(p)
-    else:
-        res = spark.createDataFrame([], f"{doc_col} long, _main string, comment_subtopic int, n_subtopics int")
-    out = df.join(res.drop("_main"), doc_col, "left").drop("_rid")
+    toks = materialize(topic_tokens(base, text_col).select(F.col("_rid").alias("doc"), F.col(topic_col).alias("_main"), "tokens"))
+    plan = materialize(eligible_groups(toks, min_docs))
+    sub = toks.where(F.size("tokens") > 0).join(plan, "_main").select("g", "doc", "tokens")
+    merged = materialize(phrases_in_groups(sub, phrase_min_count, phrase_threshold))
+    fitted = fit_batch(grouped_counts(merged, no_below, no_above), range(k_min, k_max + 1), passes, seed)
+    limit = F.least(F.lit(k_max), F.greatest(F.lit(2), F.floor(F.col("n_tok") / 2)))
+    scores = coherence_of(fitted, merged).join(plan.select("g", "n_tok"), "g").where(F.col("k") <= limit)
+    best = materialize(best_ks(scores))
+    theta = F.coalesce(*[F.when(F.col("k") == k, fitted.theta_column(k)) for k in fitted.ks])
+    own = fitted.mixtures.join(best, "g").select("doc", "k", theta.alias("theta"))
+    topic = F.array_position("theta", F.array_max("theta")) - 1
+    res = own.select(F.col("doc").alias("_rid"), topic.cast("int").alias("comment_subtopic"),
+                     F.col("k").alias("n_subtopics"))
+    out = df.join(res, "_rid", "left").drop("_rid")
     return out.withColumn("comment_subtopic", F.coalesce("comment_subtopic", F.lit(-1)))
+
+
+def eligible_groups(toks: DataFrame, min_docs: int) -> DataFrame:
+    """``_main, g, n_all, n_tok`` of main topics with at least ``min_docs`` documents, before and
+    after those without tokens are left out; ``g`` numbers them."""
+    sizes = toks.groupBy("_main").agg(F.count(F.lit(1)).alias("n_all"),
+                                      F.sum(F.when(F.size("tokens") > 0, 1).otherwise(0)).alias("n_tok"))
+    return sizes.where((F.col("n_all") >= min_docs) & (F.col("n_tok") >= min_docs)).withColumn(
+        "g", F.monotonically_increasing_id())

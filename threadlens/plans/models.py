@@ -12,7 +12,7 @@ from ..operators import text_ops as TO
 from ..operators import topics as TP
 from ..operators.coherence import coherence_cv_per_topic
 from ..operators.common import attach_scalars, materialize
-from ..operators.vocab import bag_of_words
+from ..operators.vocab import bag_of_words, vocabulary
 from ..sources.tables import doc_labels, docs, read_table
 from .registry import finish, register
 from .textual import doc_tokens
@@ -80,9 +80,8 @@ def q_lda_coherence(spark, sf):
 @register("lda_k_search")
 def q_lda_k_search(spark, sf):
     """Coherence for every k in the reference range, best flagged."""
-    t, vec, vocab_df, terms = _corpus(spark, sf)
-    n_docs = t.count()
-    return finish(TP.k_search(vec, t, vocab_df, TP.k_range(n_docs), SEARCH_PASSES))
+    t = doc_tokens(spark, sf, materialized=True)
+    return finish(TP.k_search(None, t, vocabulary(t), TP.k_range(t.count()), SEARCH_PASSES))
 
 
 @register("lda_subtopics")
@@ -102,7 +101,7 @@ def q_topic_pipeline_invariants(spark, sf):
     the best k): one row per document, every topic below k, every strength in (0, 1]."""
     lem = TO.lemma_text(docs(spark, sf).select("doc_id", TX.clean_text("text").alias("t")), "t")
     toks = TO.topic_tokens(lem, "text_lem").select("doc_id", "tokens")
-    model, vec, _, _, rows = TP.topic_pipeline(toks, "doc_id", ks=range(3, 7))
+    model, vec, _, _, rows = TP.topic_pipeline(toks, "doc_id")
     k = TP.best_k(rows)
     dom = TP.dominant_topic(TP.doc_topics(model, vec, "doc_id"), "doc_id", k)
     ok = F.col("topic_id").between(0, k - 1) & (F.col("topic_strength") > 0) & (F.col("topic_strength") <= 1 + 1e-9)
