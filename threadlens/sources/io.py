@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,6 +84,53 @@ def prefix(df: DataFrame, n: int, *order) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def with_position(spark: SparkSession, path: str, name: str = "position") -> DataFrame:
+    """A Parquet source's rows with their place in file order: files by name, rows as they stand.
+
+    A row's place in its file is known to the scan, so nothing is sorted; only the files'
+    row counts are added up (one row per file). A single file needs no count at all.
+    """
+    df = spark.read.parquet(path)
+    rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    if len(df.inputFiles()) <= 1:
+        return rows.withColumn(name, F.col("_row")).drop("_file", "_row")
+    sizes = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("_file")).groupBy("_file").agg(
+        F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_file", (F.sum("_n").over(Window.orderBy("_file")) - F.col("_n")).alias("_before"))
+    return rows.join(before, "_file").withColumn(name, F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")
+
+
+def prefix_in_file_order(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """A2: the first ``n`` rows of a Parquet source as they stand in its files, without a sort."""
+    return with_position(spark, path, "_position").where(F.col("_position") < n).drop("_position")
+
+
+def positional_concat(*frames: DataFrame, position: str = "position") -> DataFrame:
+    """Put the columns of frames beside each other, row by row.
+
+    Every frame has a ``position`` column (see :func:`with_position`; row-local steps keep
+    it) that holds each number from 0 once. Frames of other lengths or with a place that is
+    missing, null or repeated raise ``ValueError``, and so do column names that clash. One
+    aggregate per frame, one join each.
+    """
+    names = [c for f in frames for c in f.columns if c != position]
+    if len(set(names)) < len(names):
+        raise ValueError("frames to concatenate share column names")
+    seen = []
+    for f in frames:
+        r = f.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(position).alias("d"), F.min(position).alias("lo"),
+                  F.max(position).alias("hi")).first()
+        seen.append(r.n)
+        if r.d != r.n or (r.n and (r.lo != 0 or r.hi != r.n - 1)):
+            raise ValueError(f"positions are not 0 to {r.n - 1}, each once")
+    if len(set(seen)) > 1:
+        raise ValueError(f"frames of different lengths: {seen}")
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.join(f, position)
+    return out
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder of this session once its rows have been read."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
