@@ -332,13 +332,6 @@ def q_lexicon_label(spark, sf):
     return s.groupBy("lang", F.col("vader_label").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("lexicon_sentiment")
-def q_lexicon_sentiment(spark, sf):
-    """D1 with every rule (level 2); checked against a brute-force scorer in tests."""
-    d = docs(spark, sf).select("doc_id", "text")
-    return SE.lexicon_scores(d, "text", _lexicon(spark), "doc_id", level=2)
-
-
 def _l1_sql():
     from ..functions import lexicon as LX
     lex_values = ", ".join(f"('{t}', {v})" for t, v in QUERY_LEXICON)
@@ -408,3 +401,107 @@ def q_lexicon_sentiment_l1(spark, sf):
     """D1 level 1: lexicon + boosters/dampeners and negation over three predecessors."""
     d = docs(spark, sf).select("doc_id", "text")
     return SE.lexicon_scores(d, "text", _lexicon(spark), "doc_id", level=1)
+
+
+def _l2_sql():
+    """All rules as a chain of steps over each lexicon word and its neighbours."""
+    from ..functions import lexicon as LX
+    lex_values = ", ".join(f"('{t}', {v})" for t, v in QUERY_LEXICON)
+    up, down, negs = (sql_list(x)[1:-1] for x in (LX.BOOSTERS_UP, LX.BOOSTERS_DOWN, LX.NEGATIONS))
+    words = (f"list_transform(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> ''), "
+             f"lambda w: CASE WHEN length(regexp_replace(w, '{_EDGE}', '', 'g')) <= 2 THEN w "
+             f"ELSE regexp_replace(w, '{_EDGE}', '', 'g') END)")
+    boosts = [(b, LX.BOOST_INCR) for b in LX.BOOSTERS_UP if " " in b] + [(b, LX.BOOST_DECR) for b in LX.BOOSTERS_DOWN if " " in b]
+
+    def look(pairs, key, other):
+        return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN CAST({v} AS DOUBLE)" for k, v in pairs) + f" ELSE {other} END"
+
+    def idiom(*cols):
+        return look(LX.IDIOMS, " || ' ' || ".join(cols), "NULL")
+
+    def neg(c):
+        return f"coalesce({c} IN ({negs}) OR contains({c}, 'n''t'), false)"
+
+    mult = [f"CASE WHEN {neg('lp1')} THEN {LX.NEGATION_SCALAR} ELSE 1.0 END",
+            f"CASE WHEN lp2 = 'never' AND lp1 IN ('so', 'this') THEN 1.25 WHEN lp2 = 'without' AND lp1 = 'doubt' THEN 1.0 "
+            f"WHEN {neg('lp2')} THEN {LX.NEGATION_SCALAR} ELSE 1.0 END",
+            f"CASE WHEN (lp3 = 'never' AND lp2 IN ('so', 'this')) OR lp1 IN ('so', 'this') THEN 1.25 "
+            f"WHEN lp3 = 'without' AND (lp2 = 'doubt' OR lp1 = 'doubt') THEN 1.0 "
+            f"WHEN {neg('lp3')} THEN {LX.NEGATION_SCALAR} ELSE 1.0 END"]
+    steps, prev = [], "n2"
+    for k in range(3):
+        w = f"lp{k + 1}"
+        signed = (f"(CASE WHEN v < 0 THEN -1 ELSE 1 END) * CASE WHEN {w} IN ({up}) THEN {LX.BOOST_INCR} "
+                  f"WHEN {w} IN ({down}) THEN {LX.BOOST_DECR} ELSE 0.0 END")
+        steps.append(f"""s{k} AS (SELECT *, i > {k} AND NOT in_{w} AS ok{k}, {signed} AS sc{k} FROM {prev}),
+t{k} AS (SELECT * REPLACE (CASE WHEN ok{k} THEN (v + {(1.0, 0.95, 0.9)[k]} * (sc{k} + CASE WHEN sc{k} <> 0 AND up{k + 1} AND capdiff
+  THEN CASE WHEN v > 0 THEN {LX.CAPS_INCR} ELSE -{LX.CAPS_INCR} END ELSE 0 END)) * ({mult[k]}) ELSE v END AS v) FROM s{k})""")
+        prev = f"t{k}"
+    before = ", ".join(idiom(*c) for c in (("lp1", "lw"), ("lp2", "lp1", "lw"), ("lp2", "lp1"), ("lp3", "lp2", "lp1"), ("lp3", "lp2")))
+    added = " + ".join(look(boosts, " || ' ' || ".join(c), "0") for c in (("lp3", "lp2", "lp1"), ("lp3", "lp2"), ("lp2", "lp1")))
+    return f"""
+WITH lex(term, valence) AS (VALUES {lex_values}),
+d0 AS (SELECT doc_id, coalesce(text, '') AS text, {words} AS w FROM documents),
+d AS (SELECT doc_id, trim(text) = '' AS blank, w, len(w) AS n, [x = upper(x) AND x <> lower(x) FOR x IN w] AS caps,
+             coalesce(list_position([lower(x) FOR x IN w], 'but'), 0) - 1 AS bi,
+             least(length(text) - length(replace(text, '!', '')), {LX.EXCLAIM_MAX}) * {LX.EXCLAIM_STEP}::DOUBLE AS ex,
+             length(text) - length(replace(text, '?', '')) AS nq FROM d0),
+d2 AS (SELECT *, len(list_filter(caps, lambda x: x)) BETWEEN 1 AND n - 1 AS capdiff,
+              ex + CASE WHEN nq > 3 THEN {LX.QUESTION_MAX}::DOUBLE WHEN nq > 1 THEN nq * {LX.QUESTION_STEP}::DOUBLE ELSE 0 END AS punct FROM d),
+p AS (SELECT doc_id, n, bi, capdiff, i, lower(w[i + 1]) AS lw, caps[i + 1] AS up0,
+             CASE WHEN i >= 1 THEN lower(w[i]) END AS lp1, CASE WHEN i >= 2 THEN lower(w[i - 1]) END AS lp2,
+             CASE WHEN i >= 3 THEN lower(w[i - 2]) END AS lp3, lower(w[i + 2]) AS ln1, lower(w[i + 3]) AS ln2,
+             i >= 1 AND caps[i] AS up1, i >= 2 AND caps[i - 1] AS up2, i >= 3 AND caps[i - 2] AS up3
+      FROM (SELECT *, unnest(range(n)) AS i FROM d2)),
+b AS (SELECT p.*, CAST(l0.valence AS DOUBLE) AS v, CAST(l0.valence AS DOUBLE) AS v0, l1.term IS NOT NULL AS in_lp1,
+             l2.term IS NOT NULL AS in_lp2, l3.term IS NOT NULL AS in_lp3, ln.term IS NOT NULL AS in_ln1
+      FROM p JOIN lex l0 ON l0.term = p.lw LEFT JOIN lex l1 ON l1.term = p.lp1 LEFT JOIN lex l2 ON l2.term = p.lp2
+             LEFT JOIN lex l3 ON l3.term = p.lp3 LEFT JOIN lex ln ON ln.term = p.ln1),
+n0 AS (SELECT * REPLACE (CASE WHEN lw = 'no' AND i <> n - 1 AND in_ln1 THEN 0 ELSE v END AS v) FROM b),
+n1 AS (SELECT * REPLACE (CASE WHEN coalesce(lp1 = 'no', false) OR coalesce(lp2 = 'no', false)
+                              OR coalesce(lp3 = 'no' AND lp1 IN ('or', 'nor'), false) THEN v0 * {LX.NEGATION_SCALAR} ELSE v END AS v) FROM n0),
+n2 AS (SELECT * REPLACE (CASE WHEN up0 AND capdiff THEN CASE WHEN v > 0 THEN v + {LX.CAPS_INCR} ELSE v - {LX.CAPS_INCR} END ELSE v END AS v) FROM n1),
+{", ".join(steps)},
+i0 AS (SELECT * REPLACE (CASE WHEN ok2 THEN coalesce({idiom("lw", "ln1", "ln2")}, {idiom("lw", "ln1")}, {before}, v) + {added}
+                              ELSE v END AS v) FROM t2),
+i1 AS (SELECT * REPLACE (CASE WHEN lp1 = 'least' AND NOT in_lp1 AND (i = 1 OR lp2 NOT IN ('at', 'very'))
+                              THEN v * {LX.NEGATION_SCALAR} ELSE v END AS v) FROM i0),
+i2 AS (SELECT * REPLACE (CASE WHEN lw IN ({up}, {down}) OR coalesce(lw = 'kind' AND ln1 = 'of', false) THEN 0 ELSE v END AS v) FROM i1),
+f AS (SELECT doc_id, v * CASE WHEN bi < 0 OR i = bi THEN 1.0 WHEN i < bi THEN 0.5 ELSE 1.5 END AS v FROM i2),
+g AS (SELECT d2.doc_id, any_value(blank) AS blank, any_value(punct) AS p, coalesce(sum(f.v), 0) AS s0,
+             coalesce(sum(CASE WHEN f.v > 0 THEN f.v + 1 END), 0) AS pos, coalesce(sum(CASE WHEN f.v < 0 THEN f.v - 1 END), 0) AS neg,
+             any_value(n) - count(*) FILTER (f.v <> 0) AS neu
+      FROM d2 LEFT JOIN f ON f.doc_id = d2.doc_id GROUP BY d2.doc_id),
+h AS (SELECT doc_id, blank, neu, s0 + sign(s0) * p AS s, pos + CASE WHEN pos > abs(neg) THEN p ELSE 0 END AS pos,
+             neg - CASE WHEN pos < abs(neg) THEN p ELSE 0 END AS neg FROM g),
+r AS (SELECT *, pos + abs(neg) + neu AS tot, CASE WHEN blank THEN 0.0 ELSE round(greatest(least(s / sqrt(s * s + 15), 1.0), -1.0), 4) END AS c FROM h)
+SELECT doc_id, c AS vader_compound,
+       CASE WHEN tot > 0 AND NOT blank THEN round(abs(pos / tot), 3) ELSE 0.0 END AS vader_pos,
+       CASE WHEN tot > 0 AND NOT blank THEN round(abs(neu / tot), 3) WHEN blank THEN 1.0 ELSE 0.0 END AS vader_neu,
+       CASE WHEN tot > 0 AND NOT blank THEN round(abs(neg / tot), 3) ELSE 0.0 END AS vader_neg,
+       CASE WHEN c >= 0.05 THEN 'positive' WHEN c <= -0.05 THEN 'negative' ELSE 'neutral' END AS vader_label
+FROM r"""
+
+
+@register("lexicon_sentiment", _l2_sql())
+def q_lexicon_sentiment(spark, sf):
+    """D1 with every rule (level 2); also checked against a brute-force scorer in tests."""
+    d = docs(spark, sf).select("doc_id", "text")
+    return SE.lexicon_scores(d, "text", _lexicon(spark), "doc_id", level=2)
+
+
+# Sentences in which every rule of the full model applies, put before the texts of the corpus.
+_RULED = [
+    "The food is GOOD but the service was really bad!", "kind of good", "not very good, never so good", "the least helpful one",
+    "at least good", "It is the bomb good thing now", "no good or no hope???", "I was just enough of this great day!!",
+    "without doubt great", "no", "so TERRIBLE and EXTREMELY nice", "that is sort of a bad sad thing", "yeah right good", "very good!!!!!!"]
+_RULED_SQL = " ".join(f"WHEN {i} THEN '{t}' " for i, t in enumerate(_RULED))
+
+
+@register("lexicon_rules", "WITH documents AS (SELECT doc_id, CASE doc_id % 14 " + _RULED_SQL + " END || ' ' || coalesce(text, '') AS text "
+          "FROM documents) SELECT * FROM (" + _l2_sql() + ")")
+def q_lexicon_rules(spark, sf):
+    """D1, every rule, over the corpus with a ruled sentence before each text."""
+    lead = F.element_at(F.array(*[F.lit(t) for t in _RULED]), (F.col("doc_id") % len(_RULED) + 1).cast("int"))
+    d = docs(spark, sf).select("doc_id", F.concat(lead, F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
+    return SE.lexicon_scores(d, "text", _lexicon(spark), "doc_id", level=2)
