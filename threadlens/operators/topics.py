@@ -176,9 +176,7 @@ def subtopics(df: DataFrame, doc_col: str, topic_col: str, text_col: str, min_do
 
     # Rows are told apart by a number of their own: keys may repeat or be NULL.
     df = materialize(df.withColumn("_rid", F.monotonically_increasing_id()))
-    base = df.select("_rid", topic_col, text_col)
-    base = base.filter(F.col(topic_col).isNotNull() & (F.col(topic_col).cast("string") != "-1"))
-    base = base.filter(~is_blank(text_col))
+    base = gated_texts(df.select("_rid", topic_col, text_col), topic_col, text_col)
     toks = materialize(topic_tokens(base, text_col).select(F.col("_rid").alias("doc"), F.col(topic_col).alias("_main"), "tokens"))
     plan = materialize(eligible_groups(toks, min_docs))
     sub = toks.where(F.size("tokens") > 0).join(plan, "_main").select("g", "doc", "tokens")
@@ -196,6 +194,11 @@ def subtopics(df: DataFrame, doc_col: str, topic_col: str, text_col: str, min_do
     return out.withColumn("comment_subtopic", F.coalesce("comment_subtopic", F.lit(-1)))
 
 
+def gated_texts(df: DataFrame, topic_col: str, text_col: str) -> DataFrame:
+    """Rows of a main topic (not NULL, not -1) with a text that isn't blank."""
+    return df.filter(F.col(topic_col).isNotNull() & (F.col(topic_col).cast("string") != "-1") & ~is_blank(text_col))
+
+
 def eligible_groups(toks: DataFrame, min_docs: int) -> DataFrame:
     """``_main, g, n_all, n_tok`` of main topics with at least ``min_docs`` documents, before and
     after those without tokens are left out; ``g`` numbers them."""

@@ -2,4 +2,4 @@
 and carries the equivalent DuckDB SQL used as its correctness oracle."""
 
 from .registry import oracle_sql, queries  # noqa: F401
-from . import aggregates, extras, given_models, models, tagging, textual, topic_view  # noqa: F401  (registers queries on import)
+from . import aggregates, coherence_fixed, extras, given_models, models, roles, tagging, textual, topic_view  # noqa: F401  (registers queries on import)

@@ -84,6 +84,13 @@ def prefix(df: DataFrame, n: int, *order) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def draw(df: DataFrame, n: int, seed: int, *key) -> DataFrame:
+    """``n`` rows chosen by md5 of seed and key columns, ties by the key. The choice depends on
+    the rows alone, not on their order or partitions; each task keeps ``n`` rows at most."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
+    return df.orderBy(h, *key).limit(n)
+
+
 def with_position(spark: SparkSession, path: str, name: str = "position") -> DataFrame:
     """A Parquet source's rows with their place in file order: files by name, rows as they stand.
 
