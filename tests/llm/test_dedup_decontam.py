@@ -91,3 +91,32 @@ def test_contamination(spark, block_words):
     assert decontam.clean(docs, bench).count() == sum(1 for r in got if r.n_hit == 0)
     assert decontam.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
     assert decontam.contamination(docs.limit(0), bench).count() == 0
+
+
+def test_planted_passages_of_over_fifty_words(spark):
+    """Passages that repeat across documents go whole if they have 400 bytes or more, as the rule
+    says; shorter ones stay, whatever their words. Clean documents are left alone."""
+    import random
+
+    rnd = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def word(n=None):
+        return "".join(rnd.choice(letters) for _ in range(n or rnd.randint(2, 9)))
+
+    rows, planted = [], []
+    for i in range(40):
+        size = 3 if i % 4 == 0 else None  # 51 words of three letters are 203 bytes
+        passage = " ".join(word(size) for _ in range(rnd.randint(51, 90)))
+        planted.append(len(passage))
+        for side in range(2):
+            rows.append((2 * i + side, " ".join(word() for _ in range(30)) + f"\n{passage}\n" + " ".join(word() for _ in range(30))))
+    rows += [(100 + i, " ".join(word() for _ in range(120))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(df).collect()}
+    long = [i for i, n in enumerate(planted) if n >= 400]
+    short = [i for i, n in enumerate(planted) if n < 390]
+    assert len(long) >= 5 and len(short) >= 5
+    assert all(got[2 * i + s] >= planted[i] for i in long for s in range(2))
+    assert all(got[2 * i + s] == 0 for i in short for s in range(2))
+    assert all(got[100 + i] == 0 for i in range(30))

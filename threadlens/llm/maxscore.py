@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, written
 
 SCALE = 256
 # Query rows sent to the shards in one block (128 MB at 64 dimensions at most).
@@ -78,7 +78,6 @@ def maxscore(q, own: int, cols, ids, low, high, k: int, first: int = FIRST_DIMS)
     rest = np.append(np.cumsum(upper[order][::-1])[::-1], 0)  # bound of what dimensions from j on can add
     alive = np.flatnonzero(ids != own)
     score = np.zeros(len(alive), np.int64)
-    whole = len(alive) == 0
     floor_ = None
     at = 0
     while at < len(order):
@@ -98,7 +97,6 @@ def maxscore(q, own: int, cols, ids, low, high, k: int, first: int = FIRST_DIMS)
         keep = score + rest[at] >= floor_
         if not keep.all():
             alive, score = alive[keep], score[keep]
-    del whole
     pos = best(score, ids[alive], k)
     return ids[alive[pos]], score[pos]
 
@@ -163,6 +161,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_i
 
         sent = spark.sparkContext.broadcast((got.vec_id.to_numpy(np.int64), matrix(list(got.v), dims)))
         part = dealt.mapInArrow(task(sent), "query_id long, vec_id long, score long")
+        if blocks > 1:  # the block's queries leave driver and executors before the next ones come
+            part = written(part, "topk-block")
+            sent.destroy()
         found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -29,9 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import pick, slices_by_bytes, stored, written
 
-# Labelled rows to learn from at most (those of smallest hashed id), and lexicon entries.
+# Labelled rows to learn from at most (those of smallest hashed id); they bound the lexicon too.
 TRAIN_ROWS = 20_000
-LEXICON_SIZE = 5_000
 # A learned entry: toxic documents it must be in, and its least log odds.
 MIN_DOCS, MIN_ODDS = 4, 3.0
 STEM_CHARS = (4, 5, 6, 7)
@@ -293,8 +292,7 @@ def learn_lexicon(train: DataFrame, n_toxic: int, n_clean: int) -> dict[str, tup
     long = tuple(s for s in stems if len(s) >= FUZZY_STEM)
     learned = {w: (o, False) for w, o in terms.items() if not w.startswith(long)}
     learned |= {s: (good[s + "*"], True) for s in stems}
-    top = sorted(learned.items(), key=lambda e: (-e[1][0], e[0]))[:LEXICON_SIZE]
-    return entries | dict(top)
+    return entries | learned
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
