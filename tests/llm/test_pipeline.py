@@ -37,3 +37,24 @@ def test_empty_documents(spark):
         out = stage(spark, docs, SF)
         assert out.count() == 0
         docs = out if set(docs.columns) <= set(out.columns) else docs
+
+
+def test_awkward_documents(spark):
+    """Nulls, empty texts, repeated rows and columns named as the operators' own pass every stage."""
+    extra = ["base", "added", "h", "fp", "kept", "c0", "row", "predicted", "n_hit", "root"]
+    rows = [(1, None), (2, ""), (None, "a text without an id that is clean"), (3, "mail me at x.y@z.org now"), (3, "mail me at x.y@z.org now"),
+            (4, "long clean words " * 5000), (5, "é 日本 🙂")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0 if t is None else len(t), *([7] * len(extra))) for k, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, "
+                                 + ", ".join(f"`{c}` int" for c in extra))
+    seen = docs
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        seen = stage(spark, seen, SF).cache()
+        assert seen.columns == docs.columns, name
+        assert all(r[c] == 7 for r in seen.select(*extra).collect() for c in extra)
+    # A null and an empty text are alike, and so are the repeated rows.
+    got = sorted(((r.doc_id, r.text, r.n_chars) for r in seen.collect()), key=repr)
+    assert [g[0] for g in got] == [1, 3, 4, 5, None]
+    assert [g for g in got if g[0] == 3] == [(3, "mail me at [EMAIL] now", 22)]
+    last = corpus_pipeline.STAGES[4][1](spark, seen, SF)
+    assert {r.doc_id: r.n_tokens for r in last.collect()}[1] == 0

@@ -2,6 +2,12 @@
 
 A stage takes ``(spark, docs, sf_dir)`` and returns the columns of ``docs`` (the last one
 its token rows). Filtering stages keep every row that the operator does not reject.
+
+All stages take any columns beside ``doc_id`` and ``text``, whatever their names, and give
+them back as they were. A null or empty text is a clean document: it is kept by the filters,
+linked to its like by near-dedup (one of them stays), and has no ids. A null ``doc_id`` stays null.
+Repeated rows are judged each by itself, but near-dedup keeps one row of them. An empty table gives
+an empty one.
 """
 
 from __future__ import annotations

@@ -359,7 +359,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score under ``threshold``; the decision goes with the text."""
+    """The rows of ``docs`` that score under ``threshold``; the decision goes with the text.
+
+    A null text scores like an empty one, null and repeated ids keep their rows, all columns
+    stay as they are, an empty table gives an empty one."""
     model = fit(docs, labels, id_col, text_col)
     h = F.xxhash64(F.col(f"`{text_col}`"))
     bad = stored(score(docs.withColumn("__h", h), model, "__h", text_col, threshold)
