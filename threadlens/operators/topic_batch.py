@@ -187,14 +187,15 @@ def _pass(rows: DataFrame, state: DataFrame, ks: list[int], learn: bool) -> Data
     return rows.groupBy("p").cogroup(state.groupBy("of")).applyInPandas(step, schema)
 
 
-def fit_batch(counts: DataFrame, ks, passes: int = 8, seed: int = 42) -> Fitted:
+def fit_batch(counts: DataFrame, ks, passes: int = 8, seed: int = 42, infer: bool = True) -> Fitted:
     """Fit a topic model for every group of ``g, doc, term, n`` rows and every k of ``ks``: variational
     Bayes over the whole corpus, symmetric priors 1/k, ``passes`` passes, then the
     documents' mixtures under the final topics.
 
     ``g`` and ``doc`` are longs (a document stands in one group). First weights follow from the
     term, the seed and the column alone, so a run can be repeated. A document without a
-    counted term has no row; no rows, no models.
+    counted term has no row; no rows, no models. Without ``infer`` the last step is left out, and
+    the mixtures are those of the last pass.
     """
     ks = sorted(set(ks))
     if not ks or ks[0] < 1:
@@ -206,7 +207,7 @@ def fit_batch(counts: DataFrame, ks, passes: int = 8, seed: int = 42) -> Fitted:
     vocab = materialize(counts.groupBy("g", "term").agg(F.count(F.lit(1)).alias("df"))
                         .withColumn("term_id", F.monotonically_increasing_id()))
     cells = vocab.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("c")).first().c
-    limit = max(1, min(PART_CELLS, cells // (2 * spark.sparkContext.defaultParallelism)))
+    limit = max(1, min(PART_CELLS, cells // spark.sparkContext.defaultParallelism))
     parts = vocab.groupBy("g").agg(F.ceil(F.sum("df") / F.lit(limit)).alias("_parts"))
     bucket = F.pmod(F.xxhash64("doc"), F.col("_parts"))
     rows = (counts.join(vocab.select("g", "term", "term_id"), ["g", "term"]).join(parts, "g")
@@ -224,7 +225,7 @@ def fit_batch(counts: DataFrame, ks, passes: int = 8, seed: int = 42) -> Fitted:
     totals = weights.groupBy("g").agg(*[F.sum(c).cast("float").alias(c) for c in names])
     terms = vocab.groupBy("g").agg(F.count(F.lit(1)).alias("_terms"))
     mixtures = None
-    for n in range(passes + 1):
+    for n in range(passes + infer):
         learn = n < passes
         state = needs.join(weights, ["g", "term_id"]).select(
             "p", F.lit(WEIGHT).alias("kind"), F.col("term_id").alias("key"), *names)
@@ -233,7 +234,8 @@ def fit_batch(counts: DataFrame, ks, passes: int = 8, seed: int = 42) -> Fitted:
             state = state.unionByName(mixtures.select("p", "kind", "key", *names))
         path = scratch_path(spark, "topic-pass")
         out = _pass(rows, state, ks, learn)
-        out.write.parquet(path)
+        # Weights hardly repeat: a dictionary would only cost time.
+        out.write.option("parquet.enable.dictionary", "false").parquet(path)
         out = spark.read.schema(out.schema).parquet(path)
         mixtures = out.where(F.col("kind") == MIXTURE)
         if learn:

@@ -132,7 +132,7 @@ def k_search(vectors: DataFrame | None, texts: DataFrame, vocab_df: DataFrame, k
                                    F.col(tokens_col).alias("tokens")))
     counts = bag_of_words(own, vocab_df, "doc").select(
         F.lit(0).cast("long").alias("g"), "doc", "term", F.col("count").cast("int").alias("n"))
-    return scored(fit_batch(materialize(counts), ks, passes, seed), own, topn)
+    return scored(fit_batch(materialize(counts), ks, passes, seed, infer=False), own, topn)
 
 
 def topic_pipeline(docs: DataFrame, doc_col: str, tokens_col: str = "tokens", ks=None, search_passes: int = 8,
