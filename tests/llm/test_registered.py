@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_names():
     got = Q.queries()
-    assert {int(k[2:].split("_")[0]) for k in got} == set(range(1, 11)) and set(Q.oracle_sql()) <= set(got)
+    assert {int(k[2:].split("_")[0]) for k in got} == set(range(1, 14)) and set(Q.oracle_sql()) <= set(got)
 
 
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
