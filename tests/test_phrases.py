@@ -91,3 +91,14 @@ def test_two_pass_runs(spark):
     assert len(rows) == len(docs)
     assert all(len(r["phrased"]) <= len(r["tokens"]) for r in rows)
     assert all(" ".join(r["phrased"]).replace("_", " ") == " ".join(r["tokens"]) for r in rows)
+
+
+def test_merging_in_rows_equals_the_window_form(spark):
+    rows = [(1, ["a", "b", "a", "b", "c"]), (1, ["a", "a", "b"]), (None, ["b_c", None, "a_b", "a", None]), (2, []), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    keys = spark.createDataFrame([("a_b",), ("b_a",), ("a_a",), ("b_c",)], "phrase string")
+    got = PH.merge_phrases(df, keys, "doc_id", "tokens", "m")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = PH._merged_by_window(df, keys, "doc_id", "tokens", "m")
+    order = lambda d: sorted(map(str, d.collect()))
+    assert order(got) == order(want)
