@@ -108,3 +108,10 @@ def test_long_addresses_are_whole(spark):
     text = f"mail {'u' * 90} at {host} now"
     got = spark.createDataFrame([(text,)], "text string").select(pii.candidates(F.col("text")).alias("c")).first().c
     assert [(c.start, c.end) for c in got] == [(5, len(text) - 4)]
+
+
+def test_every_document_gives_its_examples(spark):
+    rows = [(f"house walk river green seven mail user{i}@example.com the cat sat look order",) for i in range(60)]
+    got = pii.examples(spark.createDataFrame(rows, "text string"))
+    n = {(r.label, r.w): r["count"] for r in got.groupBy("label", "w").count().collect()}
+    assert n[(1.0, 1.0)] == 60 and n[(0.0, pii.MADE_WEIGHT)] == 60

@@ -3,13 +3,13 @@
 Base rules find e-mail addresses, IP addresses, card and phone numbers; those that
 pass their check always stay. High-recall generators propose further, overlapping
 spans (addresses written out with "at" and "dot", long groups of digits). Boosted
-trees, trained on a bounded sample, score them by format and context. Their labels don't
+trees, trained on all examples of the corpus, score them by format and context. Their labels don't
 repeat the base rules: examples are the base spans found in the documents, rewritten in
 place into forms that the base rules miss (addresses with "at" and "dot" in words or
 brackets, phone numbers without the plus, cards in groups of another kind) and proposed
 anew by the generators; counter-examples are the candidates that meet no base span, and
 words of the documents put together like an address. A threshold per kind is
-calibrated on the part of the sample that was kept from training; a kind without both
+calibrated on the examples of odd hash, which training leaves out; a kind without both
 sorts of examples gets no further span. The trees are compiled into one column
 expression, so scoring happens inside a row: no Python, no explode, no shuffle.
 
@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import written
 
 KINDS = ("email", "ip", "card", "phone")
 # Java forms of the base patterns; equal in what they match to the plain ones.
@@ -39,8 +39,9 @@ WRITTEN = (r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++(?:@| ?\(at\) ?| ?\[a
            r"(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )[A-Za-z0-9-]++)++")
 DIGITS = r"(?<![0-9A-Za-z])[+(]{0,2}+[0-9](?:[ ().-]{0,2}+[0-9]){7,}+(?![0-9A-Za-z])"
 CUES = r"(?i)(mail|contact|kontakt|correo|phone|tel|call|fon|móvil|tél|card|visa|karte|tarjeta|carte|addr|host|server|ip)"
-TRAIN_ROWS = 10_000
 PRECISION = 0.95
+# What a counter-example that was put together from a document's words counts beside one that was found.
+MADE_WEIGHT = 0.1
 TREES, DEPTH = 8, 3
 FEATURES = ("length", "digits", "separators", "dots", "groups", "luhn", "written", "cue", "digits_near", "letters_near",
             "last", "bracket", "name_marks")
@@ -166,9 +167,9 @@ def rewritten(value: Column, kind: Column, form: Column) -> Column:
     return F.when(kind == 0, address).when(kind == 3, phone).otherwise(card)
 
 
-def examples(docs: DataFrame, rows: int) -> DataFrame:
-    """``kind, x, label, h`` of at most ``rows`` examples and as many counter-examples (those of
-    smallest hash) from ``text`` rows."""
+def examples(docs: DataFrame) -> DataFrame:
+    """``kind, x, label, w, h`` of all examples and counter-examples from ``text`` rows; ``w`` is what
+    an example counts."""
     text = F.col("text")
     none = F.expr("cast(array() as array<struct<kind:int,start:int,end:int,value:string>>)")
     both = docs.where(text.rlike(r"[0-9@]| at ")).select(
@@ -188,45 +189,45 @@ def examples(docs: DataFrame, rows: int) -> DataFrame:
     found = both.select(F.explode(F.filter("cand", lambda c: ~F.exists("base", lambda b: meets(b, c)))).alias("c"))
     words = F.split(text, " ")
     at = (F.pmod(F.xxhash64("text"), F.greatest(F.size(words) - 11, F.lit(1))) + 1).cast("int")
-    near = docs.where(F.pmod(F.xxhash64("text"), F.lit(10)) == 0).select(F.slice(words, at, 11).alias("w")).where(F.size("w") == 11)
+    near = docs.select(F.slice(words, at, 11).alias("w")).where(F.size("w") == 11)
     made = F.concat(F.array_join(F.slice("w", 1, 4), " "), F.lit(" "), F.get("w", F.lit(4)), F.lit(" at "), F.get("w", F.lit(5)),
                     F.lit(" dot "), F.get("w", F.lit(6)), F.lit(" "), F.array_join(F.slice("w", 8, 4), " "))
     other = near.select(F.explode(F.filter(candidates(made), lambda c: c["kind"] == 0)).alias("c"))
 
-    def first(df: DataFrame, label: float) -> DataFrame:
-        h = F.xxhash64("c.x", "c.start")
-        return df.select("c.kind", "c.x", F.lit(label).alias("label"), h.alias("h")).orderBy("h", "kind").limit(rows)
+    def marked(df: DataFrame, label: float, weight: float = 1.0) -> DataFrame:
+        return df.select("c.kind", "c.x", F.lit(label).alias("label"), F.lit(weight).alias("w"),
+                         F.xxhash64("c.x", "c.start").alias("h"))
 
-    return first(good, 1.0).unionByName(first(found.unionByName(other), 0.0))
+    return marked(good, 1.0).unionByName(marked(found, 0.0)).unionByName(marked(other, 0.0, MADE_WEIGHT))
 
 
-def fit(docs: DataFrame, text_col: str = "text", rows: int = TRAIN_ROWS, precision: float = PRECISION) -> Model:
-    """Train on at most ``rows`` examples and as many counter-examples (see :func:`examples`),
+def fit(docs: DataFrame, text_col: str = "text", precision: float = PRECISION) -> Model:
+    """Train on all examples and counter-examples of even hash (see :func:`examples`),
     calibrate on those of odd hash. Without both sorts the model adds nothing. A null text
     counts as empty; repeated rows count each; an empty table gives a model that adds nothing."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    one = examples(docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")), rows)
-    sample = stored(one)
+    one = examples(docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")))
+    sample = written(one, "pii-examples")
     n = {(r.kind, r.label): r.n for r in sample.groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     kinds = [k for k in range(len(KINDS)) if n.get((k, 0.0)) and n.get((k, 1.0))]
     if not kinds:
         return Model()
     used = sample.where(F.col("kind").isin(kinds))
-    train = used.where("pmod(h, 2) = 0").select(array_to_vector("x").alias("features"), "label")
+    train = used.where("pmod(h, 2) = 0").select(array_to_vector("x").alias("features"), "label", "w")
     if train.select("label").distinct().count() < 2:
         return Model()
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1).fit(train)
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, weightCol="w").fit(train)
     roots = [(w, m._java_obj.rootNode()) for w, m in zip(trees.treeWeights, trees.trees)]
 
     def margin(x: Column) -> Column:
         return reduce(lambda a, b: a + b, [F.lit(float(w)) * tree_column(r, x) for w, r in roots])
 
-    # Counts of both labels in hundredths of the score; at most 404 rows.
+    # Weights of both labels in hundredths of the score; at most 404 rows.
     score = F.floor(100.0 / (1.0 + F.exp(-2.0 * margin(F.col("x"))))).cast("int")
     bins = (used.where("pmod(h, 2) = 1").groupBy("kind", score.alias("s"))
-                .agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n")).collect())
+                .agg(F.sum(F.col("label") * F.col("w")).alias("pos"), F.sum("w").alias("n")).collect())
     thresholds = {}
     for k in kinds:
         pos = total = 0.0
