@@ -137,3 +137,21 @@ print("GOT", [r.predicted for r in toxicity.score(rows, model).orderBy("doc_id")
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "GOT [1, 0]" in out.stdout, out.stderr[-2000:]
+
+
+def test_every_labelled_row_is_learned_from(spark):
+    n = 20_400
+    docs = spark.range(n).selectExpr("id doc_id", "concat('word', id % 7, ' text') text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 5 = 0 as int) toxic")
+    got = T.labelled(docs.unionByName(docs), labels, "doc_id", "text", "doc_id", "toxic")
+    want = labels.where(~T.held_out(labels.doc_id)).count()
+    many = spark.range(40_000).selectExpr("id doc_id", "'a' text")
+    whole = T.labelled(many, many.selectExpr("doc_id", "0 toxic"), "doc_id", "text", "doc_id", "toxic").count()
+    assert got.count() == 2 * want and whole == many.where(~T.held_out(many.doc_id)).count() > 20_000
+
+
+def test_counts_are_flushed_and_summed(spark, monkeypatch):
+    rows = spark.createDataFrame([("a b", 1), ("a c", 0), (None, 0), ("a b d", 1)], "text string, y int").coalesce(1)
+    monkeypatch.setattr(T, "COUNTED", 1)
+    got = {r.w: (r.toxic, r.clean) for r in T._counts(rows, set).collect()}
+    assert got == {"a": (2, 1), "b": (2, 0), "c": (0, 1), "d": (1, 0)}

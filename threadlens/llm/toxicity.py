@@ -11,8 +11,9 @@ A hit counts by its context window: inside quotation marks or after a reporting
 word it is a mention and counts little; with a word of address beside it, it counts
 fully. A logistic regression over a document's hit sums gives the score.
 
-Learning reads a bounded sample of labelled rows (``TRAIN_ROWS``); scoring is
-row-local over all documents, with one small broadcast model.
+Learning reads every labelled row that is not held out: Spark counts the entries of both
+labels and only those that stand out come to the driver. Scoring is row-local over all
+documents, with one small broadcast model.
 """
 
 from __future__ import annotations
@@ -29,8 +30,6 @@ from pyspark.sql import functions as F
 
 from .common import pick, slices_by_bytes, stored, written
 
-# Labelled rows to learn from at most (those of smallest hashed id); they bound the lexicon too.
-TRAIN_ROWS = 20_000
 # A learned entry: toxic documents it must be in, and its least log odds.
 MIN_DOCS, MIN_ODDS = 4, 3.0
 STEM_CHARS = (4, 5, 6, 7)
@@ -41,6 +40,10 @@ WINDOW = 5
 MENTION = 0.25
 THRESHOLD = 0.3
 CACHE_WORDS = 500_000
+# Entries whose counts a task holds at a time.
+COUNTED = 300_000
+# Bytes of labelled ids that may be broadcast (about 32 a row); above, the planner joins by shuffle.
+IDS_BYTES = 16 << 20
 
 # Seed insults, words that report speech, words of address.
 SEEDS = ("asshole bastard bitch clown cretin disgusting dumbass filth fool idiot imbecile jerk loser moron "
@@ -215,17 +218,15 @@ def held_out(id_col) -> F.Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id: str, label_col: str,
-           rows: int) -> DataFrame:
-    """``text, y`` of at most ``rows`` labelled documents that are not held out."""
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id: str, label_col: str) -> DataFrame:
+    """``k, text, y`` of all labelled documents that are not held out."""
     key = F.col(f"`{label_id}`").cast("long")
     y = F.col(f"`{label_col}`").cast("int")
-    own = (labels.select(key.alias("k"), y.alias("y")).where("k is not null and y is not null")
-                 .where(~held_out(F.col("k"))).groupBy("k").agg(F.max("y").alias("y")))
-    chosen = stored(own.orderBy(F.xxhash64("k"), "k").limit(rows))
+    own = stored(labels.select(key.alias("k"), y.alias("y")).where("k is not null and y is not null")
+                       .where(~held_out(F.col("k"))).groupBy("k").agg(F.max("y").alias("y")))
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("k"), F.col(f"`{text_col}`").alias("text"))
-    # At most ``rows`` rows of two numbers.
-    return written(src.join(F.broadcast(chosen), "k").select("k", "text", "y"), "tox-train")
+    own = F.broadcast(own) if own.count() * 32 <= IDS_BYTES else own
+    return written(src.join(own, "k").select("k", "text", "y"), "tox-train")
 
 
 def group_mark(text: str | None) -> int:
@@ -235,7 +236,7 @@ def group_mark(text: str | None) -> int:
 
 
 def one_a_group(train: DataFrame) -> DataFrame:
-    """One sample row for each mark and label, so that copies don't vouch for a term's spread."""
+    """One row for each mark and label, so that copies don't vouch for a term's spread."""
     marked = train.withColumn("g", F.udf(group_mark, "long")("text"))
     return written(marked.groupBy("g", "y").agg(F.min_by("text", "k").alias("text")), "tox-groups")
 
@@ -244,19 +245,34 @@ def words_of(low: str) -> set[str]:
     return set(WORD.findall(low))
 
 
-def _counts(rows: DataFrame, keep, parts=words_of) -> dict[str, int]:
-    """Documents that hold each entry ``keep(set of words)`` names; summed by Spark."""
+def _counts(rows: DataFrame, keep, parts=words_of) -> DataFrame:
+    """``w, toxic, clean``: documents of either label (``y``) that hold each entry ``keep(set of
+    words)`` names; summed by Spark."""
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        total: Counter = Counter()
+        totals = Counter(), Counter()
+
+        def flush():
+            for y, total in enumerate(totals):
+                none = [0] * len(total)
+                n = list(total.values())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(total), pa.string()), pa.array(n if y else none, pa.int64()),
+                     pa.array(none if y else n, pa.int64())], names=["w", "toxic", "clean"])
+                total.clear()
+
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                total.update(keep(parts((t or "").lower())))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["w", "n"])
+            for part in slices_by_bytes(batch, 0):
+                for t, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    if y in (0, 1):
+                        totals[y].update(keep(parts((t or "").lower())))
+                    if len(totals[0]) + len(totals[1]) > COUNTED:
+                        yield from flush()
+        yield from flush()
 
-    return rows.select("text").mapInArrow(work, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return rows.select("text", "y").mapInArrow(work, "w string, toxic long, clean long").groupBy("w").agg(
+        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def with_stems(words: set[str]) -> set[str]:
@@ -265,19 +281,13 @@ def with_stems(words: set[str]) -> set[str]:
 
 
 def learn_lexicon(train: DataFrame, n_toxic: int, n_clean: int) -> dict[str, tuple[float, bool]]:
-    """Terms and stems whose log odds between toxic and clean sample documents stand out."""
-    toxic = _counts(train.where("y = 1"), with_stems).where(F.col("n") >= MIN_DOCS)
-    # What clean documents hold is only counted for entries that toxic ones have often
-    # enough: at most 60 times the sample's words, far fewer in practice.
-    cand = {r.w: r.n for r in toxic.collect()}
-    clean = {}
-    if cand:
-        sent = train.sparkSession.sparkContext.broadcast(frozenset(cand))
-        known = _counts(train.where("y = 0"), lambda ws: with_stems(ws) & sent.value)
-        clean = {r.w: r.n for r in known.collect()}
-    odds = {w: math.log((n + .5) / (n_toxic + 1)) - math.log((clean.get(w, 0) + .5) / (n_clean + 1))
-            for w, n in cand.items()}
+    """Terms and stems whose log odds between toxic and clean documents stand out."""
+    log_odds = F.log((F.col("toxic") + .5) / (n_toxic + 1)) - F.log((F.col("clean") + .5) / (n_clean + 1))
+    # Only entries that stand out come here: they are few, whatever the vocabulary.
+    rows = _counts(train, with_stems).where((F.col("toxic") >= MIN_DOCS) & (log_odds >= MIN_ODDS - 1e-6)).collect()
+    odds = {r.w: math.log((r.toxic + .5) / (n_toxic + 1)) - math.log((r.clean + .5) / (n_clean + 1)) for r in rows}
     good = {w: o for w, o in odds.items() if o >= MIN_ODDS}
+    cand = {r.w: r.toxic for r in rows}
     terms = {w: o for w, o in good.items() if not w.endswith("*")}
     entries = {w: (SEED_WEIGHT, False) for w in SEEDS}
     stems: list[str] = []
@@ -296,13 +306,12 @@ def learn_lexicon(train: DataFrame, n_toxic: int, n_clean: int) -> dict[str, tup
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        label_id: str = "doc_id", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
-    """Learn lexicon and regression from at most ``rows`` labelled documents that are not held
-    out. Without documents of both labels the seed lexicon scores by a fixed rule."""
+        label_id: str = "doc_id", label_col: str = "toxic") -> Model:
+    """Learn lexicon and regression from all labelled documents that are not held out. Without documents of both labels the seed lexicon scores by a fixed rule."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    train = sample(docs, labels, id_col, text_col, label_id, label_col, rows)
+    train = labelled(docs, labels, id_col, text_col, label_id, label_col)
     n = {r.y: r.n for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return Model({w: (SEED_WEIGHT, False) for w in SEEDS}, weights=(2.0, 0.5, 0.3, 1.0, 0.3), bias=-3.0)
@@ -320,7 +329,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             cache.clear()
         return own
 
-    near = _counts(single.where("y = 0"), spelled, forms).where(F.col("n") >= 2).collect()
+    near = _counts(single.where("y = 0"), spelled, forms).where(F.col("clean") >= 2).collect()
     model.common = frozenset(r.w for r in near)
     spark = docs.sparkSession
     x = F.udf(lambda t, cache={}: list(features(t, trie, model.common, cache)), "array<double>")  # noqa: B006
