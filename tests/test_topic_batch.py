@@ -123,3 +123,20 @@ def test_subtopics_of_many_main_topics(spark):
         assert all(0 <= r.comment_subtopic < r.n_subtopics for r in own)
         sides = [{r.comment_subtopic for r in own if r.doc % 2 == s} for s in (0, 1)]
         assert not sides[0] & sides[1]
+
+
+def test_one_pass_stays_on_disk(spark, monkeypatch):
+    made = []
+    plain = TB.scratch_path
+
+    def noted(session, name):
+        made.append(plain(session, name))
+        return made[-1]
+
+    monkeypatch.setattr(TB, "scratch_path", noted)
+    rows = [(0, d, w, 1) for d in range(12) for w in ("a", "b", "c")]
+    fit = TB.fit_batch(spark.createDataFrame(rows, "g long, doc long, term string, n int"), [2], passes=4)
+    assert fit.weights.count() == 3 and fit.mixtures.count() == 12
+    exists = [spark._jvm.java.io.File(p.removeprefix("file:")).exists() for p in made]
+    # The last pass's weights and the mixtures inferred after it.
+    assert exists == [False] * 3 + [True] * 2
