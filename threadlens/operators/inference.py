@@ -8,54 +8,94 @@ from pyspark.sql import functions as F
 
 from .common import attach_scalars, broadcast_if_small
 
-MIXTURE = "struct<theta:array<double>,moved:double>"
+# Cells whose weights a task holds at a time (one document at least).
+HELD_CELLS = 1 << 18
 
 
 def _sum(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
 
 
-def mixture_step(theta: Column, cells: Column, total: Column, alpha: float) -> Column:
-    """One fixed-point step: each topic's expected tokens plus ``alpha``, over their sum."""
-    shares = F.transform(cells, lambda c: F.zip_with(theta, c["phi"], lambda t, p: t * p))
-    parts = F.zip_with(cells, shares, lambda c, s: F.transform(
-        s, lambda x: F.coalesce(F.try_divide(c["n"] * x, _sum(s)), F.lit(0.0))))
-    k = F.size(theta)
-    return F.transform(theta, lambda _, j: (_sum(F.transform(parts, lambda p: F.get(p, j))) + alpha) / (total + alpha * k))
+def fixed_points(n, phi, starts, alpha: float, tolerance: float, steps: int):
+    """``theta, moved, fit, total`` of documents whose cells (``n``, ``phi``: cells x topics) begin at ``starts``.
+
+    All documents take a step at a time; those that no longer move leave."""
+    import numpy as np
+
+    k, docs = phi.shape[1], len(starts)
+    sizes = np.diff(np.append(starts, len(n)))
+    total = np.add.reduceat(n, starts)
+    theta, moved = np.full((docs, k), 1.0 / k), np.full(docs, np.inf)
+    live, cells, own = np.arange(docs), slice(None), np.repeat(np.arange(docs), sizes)
+    w, p, first = n[:, None], phi, starts
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for _ in range(steps):
+            x = theta[live][own] * p
+            s = x.sum(axis=1, keepdims=True)
+            x = np.where(s != 0, w * x / s, 0.0)
+            new = (np.add.reduceat(x, first, axis=0) + alpha) / (total[live] + alpha * k)[:, None]
+            moved[live] = np.abs(new - theta[live]).max(axis=1)
+            theta[live] = new
+            stay = ~(moved[live] < tolerance)
+            if not stay.all():
+                live = live[stay]
+                if not len(live):
+                    break
+                cells = np.repeat(stay, sizes)
+                sizes = sizes[stay]
+                own = np.repeat(np.arange(len(live)), sizes)
+                first = np.cumsum(sizes) - sizes
+                w, p = w[cells], p[cells]
+        own = np.repeat(np.arange(docs), np.diff(np.append(starts, len(n))))
+        fit = np.add.reduceat(n * np.log((theta[own] * phi).sum(axis=1)), starts)
+    return theta, moved, fit, total
 
 
 def infer_mixtures(counts: DataFrame, phi: DataFrame, alpha: float = 0.1, tolerance: float = 1e-5,
                    steps: int = 100) -> DataFrame:
-    """E1 with fixed topics: ``doc, theta, bound, converged`` of ``doc, term, n`` rows for ``term, phi`` rows
-    (``array<double>``, a weight for every topic).
+    """E1 with fixed topics: ``doc, theta, bound, converged, total`` of ``doc, term, n`` rows for ``term, phi``
+    rows (``array<double>``, a weight for every topic, of equal length).
 
     The mixture is the maximum of ``sum n log(theta . phi) + alpha sum log theta``, found from
     equal shares by fixed-point steps until no share moves by ``tolerance`` or after ``steps``;
     ``bound`` is that sum at the last mixture, and no step lowers it. Terms without topics
-    are left out; a document without any other term has no row. The whole search is one
-    column expression over a document's own cells: one join by term, one aggregate by document.
+    are left out; a document without any other term has no row. ``total`` is the document's
+    tokens that have topics; a term may stand in several rows. One join by term, one aggregate by
+    document; the search then runs over many documents' cells at once (numpy inside the task).
     """
     # A term that stands there twice gets its first weights in order.
     topics = phi.groupBy("term").agg(F.min("phi").alias("phi"))
     cells = counts.where("n > 0").join(topics, "term").groupBy("doc").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("term", F.col("n").cast("double").alias("n"), "phi"))),
-                    lambda c: F.struct(c["n"].alias("n"), c["phi"].alias("phi"))).alias("cells"))
-    rows = cells.withColumn("total", _sum(F.transform("cells", lambda c: c["n"])))
-    k = F.size(F.element_at("cells", 1)["phi"])
-    start = F.struct(F.transform(F.element_at("cells", 1)["phi"], lambda _: F.lit(1.0) / k).alias("theta"),
-                     F.lit(float("inf")).alias("moved")).cast(MIXTURE)
-
-    def step(acc: Column, _: Column) -> Column:
-        new = mixture_step(acc["theta"], F.col("cells"), F.col("total"), alpha)
-        moved = F.array_max(F.zip_with(new, acc["theta"], lambda a, b: F.abs(a - b)))
-        return F.when(acc["moved"] < tolerance, acc).otherwise(
-            F.struct(new.alias("theta"), moved.alias("moved")).cast(MIXTURE))
-
-    done = rows.withColumn("m", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step))
-    fit = _sum(F.transform("cells", lambda c: c["n"] * F.log(_sum(F.zip_with(F.col("m.theta"), c["phi"], lambda t, p: t * p)))))
-    prior = alpha * _sum(F.transform("m.theta", lambda t: F.log(t)))
-    return done.select("doc", F.col("m.theta").alias("theta"), (fit + prior).alias("bound"),
-                       (F.col("m.moved") < tolerance).alias("converged"))
+        F.collect_list(F.struct(F.col("n").cast("double").alias("n"), "phi")).alias("cells"))
+    find, most = fixed_points, HELD_CELLS
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = batch.column(1)
+            at = lists.offsets.to_numpy().astype(np.int64)
+            n = lists.flatten().field(0).to_numpy(zero_copy_only=False)
+            flat = lists.flatten().field(1).flatten().to_numpy(zero_copy_only=False)
+            at = at - at[0]
+            k = len(flat) // max(len(n), 1)
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
+                own = slice(at[lo], at[hi])
+                theta, moved, fit, total = find(n[own], flat.reshape(-1, k)[own], at[lo:hi] - at[lo], alpha, tolerance, steps)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    bound = fit + alpha * np.log(theta).sum(axis=1)
+                ends = pa.array(np.arange(hi - lo + 1, dtype=np.int32) * k)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(ends, pa.array(theta.ravel())),
+                     pa.array(bound, mask=~np.isfinite(bound)), pa.array(moved < tolerance), pa.array(total)],
+                    names=["doc", "theta", "bound", "converged", "total"])
+                lo = hi
+
+    doc = cells.schema["doc"].dataType.simpleString()
+    return cells.mapInArrow(work, f"doc {doc}, theta array<double>, bound double, converged boolean, total double")
 
 
 def score_with_weights(docs: DataFrame, counts: DataFrame, weights: DataFrame, bias: DataFrame, prefix: str = "bert") -> DataFrame:

@@ -8,6 +8,7 @@ from ..functions.lexicon import DEFAULT_LEXICON
 from ..operators import inference as INF
 from ..operators import sentiment as SE
 from ..operators.common import materialize
+from ..operators.words import counted_words
 from ..sources import io as IO
 from ..sources.tables import docs
 from .registry import finish, register
@@ -17,9 +18,8 @@ _WORDS = "SELECT doc_id, lang, unnest(regexp_extract_all(lower(coalesce(text, ''
 
 
 def _counts(spark, sf):
-    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))
-    return (docs(spark, sf).select(F.col("doc_id").alias("doc"), "lang", F.explode(words).alias("term"))
-            .groupBy("doc", "lang", "term").agg(F.count(F.lit(1)).alias("n")))
+    """``doc, lang, term, n``, a row for every term of every row of the table."""
+    return counted_words(docs(spark, sf).select(F.col("doc_id").alias("doc"), "lang", "text"), "text")
 
 
 # Topics: the languages' term shares, half a token added to every term in every one.
@@ -54,18 +54,18 @@ FROM s JOIN l ON l.doc = s.doc AND l.step = s.step JOIN d ON d.doc = s.doc"""
 def q_fixed_topic_mixtures(spark, sf):
     """Every document's mixture of four given topics, and its bound a token."""
     c = materialize(_counts(spark, sf))
-    by = c.groupBy("term", "lang").agg(F.sum("n").alias("n"))
-    totals = c.groupBy("lang").agg(F.sum("n").alias("total"))
-    size = c.select("term").distinct().count()
+    by = materialize(c.groupBy("term", "lang").agg(F.sum("n").alias("n")))
+    totals = by.groupBy("lang").agg(F.sum("n").alias("total"))
+    size = by.select("term").distinct().count()
     # Four languages: one array of (language, total) rows for every term.
     listed = totals.agg(F.sort_array(F.collect_list(F.struct("lang", "total"))).alias("t"))
     terms = by.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("m"))
     phi = INF.attach_scalars(terms, listed).select("term", F.transform("t", lambda t: (
         F.coalesce(F.element_at("m", t["lang"]), F.lit(0)) + _SMOOTH) / (t["total"] + _SMOOTH * size)).alias("phi"))
-    counts = c.groupBy("doc", "term").agg(F.sum("n").alias("n"))
-    got = INF.infer_mixtures(counts, phi, _ALPHA, _TOLERANCE, _STEPS)
-    length = counts.groupBy("doc").agg(F.sum("n").alias("total"))
-    return finish(got.join(length, "doc").select(
+    # A document that stands there twice has its cells twice over, which gives the same mixture as their sum.
+    # Every term has a share, so no word is missing from ``total``.
+    got = INF.infer_mixtures(c.where("doc is not null"), phi, _ALPHA, _TOLERANCE, _STEPS)
+    return finish(got.select(
         F.col("doc").alias("doc_id"), *[F.get("theta", F.lit(i)).alias(f"share_{i + 1}") for i in range(4)],
         (F.col("bound") / F.col("total")).alias("bound_per_token"), "converged"))
 
@@ -90,7 +90,7 @@ p AS (SELECT doc_id, label, exp(z - max(z) OVER (PARTITION BY doc_id)) / sum(exp
 SELECT doc_id, label AS bert_label, round(p, 6) AS bert_score FROM p WHERE r = 1""")
 def q_model_sentiment_fixed(spark, sf):
     """A stored linear model applied to every document, without a fit."""
-    counts = _counts(spark, sf).groupBy("doc", "term").agg(F.sum("n").alias("n"))
+    counts = _counts(spark, sf).select("doc", "term", "n")
     w = spark.createDataFrame(_WEIGHTS, "term string, label string, weight double")
     b = spark.createDataFrame(_BIAS, "label string, bias double")
     got = INF.score_with_weights(docs(spark, sf).select(F.col("doc_id").alias("doc")), counts, w, b)
