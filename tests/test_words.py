@@ -44,3 +44,32 @@ def test_mixtures_of_cells_in_pieces_and_totals(spark):
     for d in a:
         assert a[d].theta == pytest.approx(b[d].theta, abs=1e-4) and a[d].bound == pytest.approx(b[d].bound, abs=1e-4)
         assert a[d].total == b[d].total == sum(n for x, t, n in whole if x == d and t < "w5")
+
+
+def test_topics_of_planted_words_with_odd_rows(spark):
+    import numpy as np
+
+    from threadlens.operators import topics as TP
+
+    rows = [(i % 50 or None, [f"{'ab'[i % 2]}{(i * j) % 9}" for j in range(1, 20)] + [None, "rare"][:i % 3]) for i in range(120)]
+    rows += [(500, []), (501, None), (502, ["unknown"])]
+    d = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    vec, vocab_df, n = TP.prepare_corpus(d, "doc_id", no_below=2, no_above=0.6)
+    terms = [r.term for r in vocab_df.orderBy("term_id").collect()]
+    assert n == len(terms) and "unknown" not in terms and "rare" in terms
+    for r in vec.collect():
+        cells = np.frombuffer(r.cells, np.int32).reshape(-1, 2)
+        assert r.n_own == cells[:, 1].sum() and r.last == (cells[-1, 0] if len(cells) else None)
+        assert list(cells[:, 0]) == sorted(set(cells[:, 0].tolist()))
+    model = TP.fit_lda(vec, 2, 15)
+    th = TP.doc_topics(model, vec, "doc_id").collect()
+    assert len(th) == len(rows)
+    known = set(terms)
+    size = {}
+    for key, words in rows:
+        size[key] = size.get(key, 0) + sum(w in known for w in words or [])
+    for r in th:
+        assert r.doc_len == (size[r.doc_id] if r.doc_id is not None else 0)
+        assert sum(r.theta) == pytest.approx(1) if r.doc_id not in (500, 501, 502) else r.theta == [0.0, 0.0]
+    top = {t: {x.term[0] for x in TP.topic_top_words(model, vocab_df, 4).collect() if x.topic == t} for t in (0, 1)}
+    assert sorted(top.values(), key=str) == [{"a"}, {"b"}]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .common import attach_scalars, broadcast_if_small
 
 # Cells whose weights a task holds at a time (one document at least).
-HELD_CELLS = 1 << 18
+HELD_CELLS = 1 << 16
 
 
 def _sum(x: Column) -> Column:
@@ -26,14 +26,15 @@ def fixed_points(n, phi, starts, alpha: float, tolerance: float, steps: int):
     sizes = np.diff(np.append(starts, len(n)))
     total = np.add.reduceat(n, starts)
     theta, moved = np.full((docs, k), 1.0 / k), np.full(docs, np.inf)
-    live, cells, own = np.arange(docs), slice(None), np.repeat(np.arange(docs), sizes)
-    w, p, first = n[:, None], phi, starts
+    live, own = np.arange(docs), np.repeat(np.arange(docs), sizes)
+    w, p, first = n, np.ascontiguousarray(phi.T), starts
     with np.errstate(divide="ignore", invalid="ignore"):
         for _ in range(steps):
-            x = theta[live][own] * p
-            s = x.sum(axis=1, keepdims=True)
-            x = np.where(s != 0, w * x / s, 0.0)
-            new = (np.add.reduceat(x, first, axis=0) + alpha) / (total[live] + alpha * k)[:, None]
+            x = np.ascontiguousarray(theta[live].T)[:, own]
+            x *= p
+            s = x.sum(axis=0)
+            x *= np.where(s != 0, w / s, 0.0)
+            new = ((np.add.reduceat(x, first, axis=1) + alpha) / (total[live] + alpha * k)).T
             moved[live] = np.abs(new - theta[live]).max(axis=1)
             theta[live] = new
             stay = ~(moved[live] < tolerance)
@@ -41,11 +42,11 @@ def fixed_points(n, phi, starts, alpha: float, tolerance: float, steps: int):
                 live = live[stay]
                 if not len(live):
                     break
-                cells = np.repeat(stay, sizes)
+                cells = stay[own]
                 sizes = sizes[stay]
                 own = np.repeat(np.arange(len(live)), sizes)
                 first = np.cumsum(sizes) - sizes
-                w, p = w[cells], p[cells]
+                w, p = w[cells], p[:, cells]
         own = np.repeat(np.arange(docs), np.diff(np.append(starts, len(n))))
         fit = np.add.reduceat(n * np.log((theta[own] * phi).sum(axis=1)), starts)
     return theta, moved, fit, total
