@@ -68,3 +68,19 @@ def test_awkward_texts(spark):
     assert {(t, n, lem) for t, n, lem in by if n == 0} == {(t, 0, "") for t in (None, "", "  ", "...!?", "1 2 3.", "É à")}
     assert sum(n for _, n, _ in by) == 2 + 3000
     assert TG.lemma_tagged(df.limit(0), "text").count() == 0
+
+
+def test_many_rows_at_once_equal_the_column_expressions(spark):
+    texts = ["The dogs walked. They are running, very quickly! 12 nicest?", None, "", "...", "left the nations left is crying",
+             "a", "ÜBER naïve classes!stories " * 30, "Kelvin K. İs it", "the end"]
+    df = spark.createDataFrame([(i % 7 or None, t) for i, t in enumerate(texts * 2)], "k int, t string")
+    g = TG.Grammar()
+    got = TG.lemma_tagged(df, "t", grammar=g)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    tags = F.transform(TG.sentences(F.col("t")), lambda s: F.zip_with(s, TG.viterbi(F.transform(s, lambda w: TG.emissions(w, g)), g),
+                                                                      lambda w, t: F.struct(w, t)))
+    want = df.select("k", "t", F.flatten(tags).alias("p")).collect()
+    plain = sorted(str((r.k, r.t, [(p[0], TG.TAGS[p[1]]) for p in r.p])) for r in want)
+    assert plain == sorted(str((r.k, r.t, [(p.word, p.tag) for p in r.tagged])) for r in got.collect())
+    for r in got.collect():
+        assert r.text_lem == " ".join(p.lemma for p in r.tagged if p.word not in TG.NLTK_ENGLISH)

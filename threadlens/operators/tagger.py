@@ -1,7 +1,8 @@
 """Part of speech and lemma by rules (C2): suffix scores with an exception table, the best tag
 sequence of a sentence by Viterbi's algorithm, and suffix rewriting by tag.
 
-All of it is one column expression over a row's sentences: no join, no shuffle, no Python.
+Words stay where their row stands: no join, no shuffle. ``lemma_tagged`` works on many rows' words at
+once (Arrow batches, numpy); the column expressions say the same for a single sentence.
 The tables below are small defaults; every one is an argument.
 """
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stopwords import NLTK_ENGLISH
+from .words import letter_runs, slices
 
 TAGS = ("noun", "verb", "adjective", "other")
 
@@ -125,20 +127,93 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda s: F.regexp_extract_all(s, F.lit("[a-z]+"), F.lit(0))), lambda w: F.size(w) > 0)
 
 
+def tag_words(words, first, sizes, g: Grammar):
+    """Tag numbers of a string array's words; sentence i has ``sizes[i]`` (at least one) words from
+    ``first[i]`` on. All sentences take :func:`viterbi`'s steps at once, in numpy."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    coded = words.dictionary_encode()
+    known, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    fit = np.tile([float(g.prior[t]) for t in TAGS], (len(known), 1))
+    for ending, t, w in g.endings:
+        fit[pc.ends_with(known, ending).to_numpy(zero_copy_only=False).astype(bool), TAGS.index(t)] += float(w)
+    if g.words:
+        own = pc.index_in(known, value_set=pa.array([w for w, _ in g.words])).to_numpy(zero_copy_only=False)
+        own = np.nan_to_num(own.astype(float), nan=-1).astype(int)
+        fit[own >= 0] = np.array([s for _, s in g.words], float)[own[own >= 0]]
+    fit = fit[code]
+    order = np.argsort(-sizes, kind="stable")
+    first, sizes = first[order], sizes[order]
+    # The sentences that have a word at place t: the longest come first.
+    live = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), "right")
+    follows = np.array(g.follows, float)
+    score, back = np.array(g.start, float) + fit[first], np.zeros((len(code), len(TAGS)), np.int8)
+    for t in range(1, len(live)):
+        at = first[:live[t]] + t
+        into = score[:live[t], :, None] + follows
+        back[at] = into.argmax(axis=1)
+        score[:live[t]] = into.max(axis=1) + fit[at]
+    tags = np.zeros(len(code), np.int64)
+    tags[first + sizes - 1] = score.argmax(axis=1)
+    for t in range(len(live) - 1, 0, -1):
+        at = first[:live[t]] + t
+        tags[at - 1] = back[at, tags[at]]
+    return tags
+
+
+def lemmas_of(words, tags, g: Grammar) -> list:
+    """:func:`lemma_of` of lists."""
+    rules = [[r[1:] for r in g.rewrite if r[0] == t] for t in TAGS]
+    known = {(w, TAGS.index(t)): lemma for w, t, lemma in g.irregular}
+    out = []
+    for w, t in zip(words, tags):
+        lemma = known.get((w, t))
+        if lemma is None:
+            lemma = next((w[:len(w) - len(e)] + new for e, new, least in rules[t] if len(w) >= least and w.endswith(e)), w)
+        out.append(lemma)
+    return out
+
+
 def lemma_tagged(df: DataFrame, text_col: str, out: str = "text_lem", stopwords=None, grammar: Grammar | None = None) -> DataFrame:
     """C2 with part of speech: ``df`` with ``out`` (lemmas of the alphabetic words that are no
     stopwords, joined by a space) and ``tagged`` (``array<struct<word, tag, lemma>>`` of all words
     in order). NULL or blank text gives "" and an empty array; rows may repeat."""
     g = grammar or Grammar()
-    stop = F.array(*[F.lit(w) for w in (NLTK_ENGLISH if stopwords is None else stopwords)]).cast("array<string>")
-
-    def tag(words: Column) -> Column:
-        tags = viterbi(F.transform(words, lambda w: emissions(w, g)), g)
-        return F.zip_with(words, tags, lambda w, t: F.struct(w.alias("word"), t.alias("tag")))
-
-    pairs = df.withColumn("_p", F.flatten(F.transform(sentences(F.col(text_col)), tag)))
-    names = F.array(*[F.lit(t) for t in TAGS])
-    pairs = pairs.withColumn("tagged", F.transform("_p", lambda p: F.struct(
-        p["word"].alias("word"), F.get(names, p["tag"]).alias("tag"), lemma_of(p["word"], p["tag"], g).alias("lemma"))))
-    kept = F.filter("tagged", lambda p: ~F.array_contains(stop, p["word"]))
-    return pairs.withColumn(out, F.array_join(F.transform(kept, lambda p: p["lemma"]), " ")).drop("_p")
+    stop = set(NLTK_ENGLISH if stopwords is None else stopwords)
+    names = [c for c in df.columns if c not in (out, "tagged")]
+    rows = df.select(*names, F.lower(F.coalesce(text_col, F.lit(""))).alias("_s"))
+    cut, runs, tag, rewrite, kinds = slices, letter_runs, tag_words, lemmas_of, TAGS
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            for part in cut(batch, len(names)):
+                words, row, data, start = runs(part.column(len(names)))
+                # A sentence begins with a row or after one of its ends.
+                ends = np.cumsum((data == 33) | (data == 46) | (data == 63))[start] if len(start) else start
+                new = np.ones(len(start), bool)
+                new[1:] = (row[1:] != row[:-1]) | (ends[1:] != ends[:-1])
+                first = np.flatnonzero(new)
+                tags = tag(words, first, np.diff(np.append(first, len(start))), g) if len(start) else start
+                # Every pair of a word and a tag is rewritten once.
+                coded = words.dictionary_encode()
+                pair, of = np.unique(coded.indices.to_numpy(zero_copy_only=False) * np.int64(len(kinds)) + tags, return_inverse=True)
+                own = coded.dictionary.take(pa.array(pair // len(kinds))).to_pylist()
+                lemma = pa.array(rewrite(own, (pair % len(kinds)).tolist(), g), pa.string()).take(pa.array(of))
+                kept = np.array([w not in stop for w in own], bool)[of]
+                at = np.searchsorted(row, np.arange(part.num_rows + 1))
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.StructArray.from_arrays(
+                    [words, pa.array(kinds).take(pa.array(tags)), lemma], names=["word", "tag", "lemma"]))
+                cuts = np.concatenate([[0], np.cumsum(kept)])[at]
+                text = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), lemma.filter(pa.array(kept))), " ")
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(names))], lists, text],
+                                                 names=[*names, "tagged", out])
+
+    schema = df.select(*names, F.lit(None).cast("array<struct<word:string,tag:string,lemma:string>>").alias("tagged"),
+                       F.lit(None).cast("string").alias(out)).schema
+    return rows.mapInArrow(work, schema)
