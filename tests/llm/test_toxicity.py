@@ -155,3 +155,27 @@ def test_counts_are_flushed_and_summed(spark, monkeypatch):
     monkeypatch.setattr(T, "COUNTED", 1)
     got = {r.w: (r.toxic, r.clean) for r in T._counts(rows, set).collect()}
     assert got == {"a": (2, 1), "b": (2, 0), "c": (0, 1), "d": (1, 0)}
+
+
+def test_forms_are_words_and_pairs_about_one_symbol():
+    low = "id1ot a.b  c - d wor-thless x__y e_f2g é'ü 3rd"
+    assert T.forms(low) == {"id", "ot", "id1ot", "a", "b", "a.b", "c", "d", "wor", "thless", "wor-thless", "x", "y",
+                            "e", "f", "g", "e_f", "f2g", "é", "ü", "é'ü", "rd"}
+
+
+def test_automaton_takes_few_steps():
+    import sys
+
+    trie = T.Trie({w: (1.0, False) for w in T.SEEDS})
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "c_call"
+
+    sys.setprofile(count)
+    try:
+        assert trie.fuzzy("wrothless") == (1.0, 1)
+    finally:
+        sys.setprofile(None)
+    assert calls < 400, calls

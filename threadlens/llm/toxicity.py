@@ -24,6 +24,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,13 +59,23 @@ ADDRESS = frozenset("you your youre are is du dein bist ihr tu eres usted tú vo
 QUOTES = "\"“”„«»‹›"
 
 WORD = re.compile(r"[^\W\d_]+")
-# Two words about one digit or symbol: all that one edit can have cut in two.
-PAIR = re.compile(r"(?<![^\W\d_])([^\W\d_]++(?:[^\w\s]|[\d_]))(?=([^\W\d_]++))")
+SPLIT = re.compile(r"([^\W\d_]+)")
+
+
+def words_and_pairs(low: str) -> tuple[list[str], list[str], dict[int, str]]:
+    """The text cut into gaps and words in turn, the words, and by place of the first the pairs of
+    words about one digit or symbol, as in ``id1ot``: all that one edit can have cut in two."""
+    parts = SPLIT.split(low)
+    words = parts[1::2]
+    pairs = {i: words[i] + gap + words[i + 1] for i, gap in enumerate(parts[2:-1:2])
+             if gap != " " and len(gap) == 1 and not gap.isspace()}
+    return parts, words, pairs
 
 
 def forms(low: str) -> set[str]:
-    """The words of a text and the pairs about one inner digit or symbol, as in ``id1ot``."""
-    return {*WORD.findall(low), *map("".join, PAIR.findall(low))}
+    """The words of a text and the pairs about one inner digit or symbol."""
+    _, words, pairs = words_and_pairs(low)
+    return {*words, *pairs.values()}
 
 
 class Trie:
@@ -122,34 +133,34 @@ class Trie:
         near one of its beginnings: the trie and the word's automaton in step. Two neighbouring
         letters swapped are one edit. A word shorter than a stem is none of its family, as a stem
         has at least one more letter."""
-        k, best = self.max_edits, None
+        k = self.max_edits
         size = len(word)
         word = word[:self.longest + k + 1]  # what follows is past every term and stem
         n = len(word)
-        # Entries over k off the diagonal are over k, so only those about it are computed.
-        stack = [(self.root, list(range(n + 1)), None, "", 1)]
+        # States of the automaton: letters of the word read, edits made. Without edits left it only reads on.
+        least: dict = {}
+        stack = [(self.root, 0, 0)]
         while stack:
-            node, row, before, last, deep = stack.pop()
-            entry = node.get("")
-            if entry and len(entry[2]) >= (FUZZY_STEM if entry[1] else FUZZY_CHARS):
-                edits = (min(row) if len(entry[2]) <= size else k + 1) if entry[1] else row[-1]
-                if edits <= k:
-                    best = max(best or (0.0, 0), (entry[0], edits))
-            for c, child in node.items():
-                if c == "":
-                    continue
-                new = [k + 1] * (n + 1)
-                if deep <= k:
-                    new[0] = deep
-                for i in range(max(deep - k, 1), min(deep + k, n) + 1):
-                    w = word[i - 1]
-                    x = min(new[i - 1] + 1, row[i] + 1, row[i - 1] + (w != c))
-                    if before and i > 1 and w == last and word[i - 2] == c:
-                        x = min(x, before[i - 2] + 1)
-                    new[i] = x
-                if min(new) <= k:
-                    stack.append((child, new, row, c, deep + 1))
-        return best
+            node, i, edits = stack.pop()
+            while node is not None:
+                entry = node.get("")
+                if entry and len(entry[2]) >= (FUZZY_STEM if entry[1] else FUZZY_CHARS) and \
+                        (len(entry[2]) <= size if entry[1] else i == n):
+                    least[entry] = min(edits, least.get(entry, k))
+                c = word[i] if i < n else ""
+                if edits < k:
+                    for x, child in node.items():
+                        if x:
+                            stack.append((child, i, edits + 1))  # a letter left out
+                            if c and x != c:
+                                stack.append((child, i + 1, edits + 1))  # another letter
+                    if c:
+                        stack.append((node, i + 1, edits + 1))  # a letter too many
+                        if i + 1 < n and word[i + 1] != c and word[i + 1] in node and c in node[word[i + 1]]:
+                            stack.append((node[word[i + 1]][c], i + 2, edits + 1))
+                node = node.get(c) if c else None
+                i += 1
+        return max(((weight, edits) for (weight, *_), edits in least.items()), default=None)
 
     def match(self, word: str) -> tuple[float, int] | None:
         """Of a word or a form with an inner symbol."""
@@ -181,25 +192,25 @@ def features(text: str | None, trie: Trie, common: frozenset, cache: dict) -> tu
     """Of a document: log sums of exact and misspelled hits, strongest hit, share of hits among
     the words, hits with a word of address in their window."""
     low = (text or "").lower()
-    found = WORD.findall(low)
-    own = forms(low)
-    for w in [w for w in own if w not in cache]:
+    parts, found, pairs = words_and_pairs(low)
+    own = {*found, *pairs.values()}
+    for w in own.difference(cache):
         got = trie.match(w)
         cache[w] = None if got is None or (got[1] and w in common) else got
-    hits = {w: cache[w] for w in own if cache[w] is not None}
+    hits = {w: got for w in own if (got := cache[w]) is not None}
     if len(cache) > CACHE_WORDS:
         cache.clear()
     if not hits:
         return (0.0,) * 5
     exact = fuzzy = top = addressed = 0.0
-    spans = [m.span() for m in WORD.finditer(low)]
+    ends = [*accumulate(map(len, parts))]
     for i, w in enumerate(found):
-        if w not in hits and i + 1 < len(found) and spans[i + 1][0] == spans[i][1] + 1 and found[i + 1] not in hits:
-            w = low[spans[i][0]:spans[i + 1][1]]  # a space between the words makes no form
+        if w not in hits and i in pairs and found[i + 1] not in hits:
+            w = pairs[i]
         if w in hits:
             weight, edits = hits[w]
             around = found[max(0, i - WINDOW):i]
-            factor = MENTION if is_mention(low, *spans[i], around) else 1.0
+            factor = MENTION if is_mention(low, ends[2 * i], ends[2 * i + 1], around) else 1.0
             if any(x in ADDRESS for x in around[-2:]):
                 addressed += factor
             weight *= factor
