@@ -140,3 +140,40 @@ def test_one_pass_stays_on_disk(spark, monkeypatch):
     exists = [spark._jvm.java.io.File(p.removeprefix("file:")).exists() for p in made]
     # The last pass's weights and the mixtures inferred after it.
     assert exists == [False] * 3 + [True] * 2
+
+
+def test_parts_and_buckets_do_not_change_the_models(spark, monkeypatch):
+    """Small chunks, parts and buckets give the models of large ones; a NULL list and NULL tokens count nothing."""
+    docs = planted(spark, {0: [A, B], 3: [B, C]})
+    odd = spark.createDataFrame([(0, 900, None), (3, 901, [None, "zeta", "zeta"])], docs.schema)
+    docs = docs.unionByName(odd)
+    whole = TB.fit_documents(docs, [2, 3], passes=3)
+    monkeypatch.setattr(TB, "CHUNK_TOKENS", 200)
+    monkeypatch.setattr(TB, "PART_CELLS", 60)
+    monkeypatch.setattr(TB, "BUCKET_BYTES", 400)
+    small = TB.fit_documents(docs, [2, 3], passes=3)
+    a, b = ({(r.g, r.term, r.k, r.topic): r.phi for r in f.phi().collect()} for f in (whole, small))
+    assert a.keys() == b.keys() and all(abs(a[x] - b[x]) < 1e-3 for x in a)
+    a, b = ({(r.g, r.doc): r.theta for r in f.theta(3).collect()} for f in (whole, small))
+    assert a.keys() == b.keys() and (0, 900) not in a and (3, 901) in a
+    assert all(np.allclose(a[x], b[x], atol=1e-2) for x in a)
+    tops = [{(r.g, r.k, r.topic, r.term) for r in f.top_words(4).collect()} for f in (whole, small)]
+    assert tops[0] == tops[1]
+
+
+def test_a_pass_has_few_rows_and_leaves_no_shuffle_setting(spark, monkeypatch):
+    """A pass writes a row for each part and bucket, not for each term and document."""
+    made = []
+    plain = TB.scratch_path
+    monkeypatch.setattr(TB, "scratch_path", lambda *a: made.append(plain(*a)) or made[-1])
+    from threadlens.operators import common
+    before = spark.conf.get(common._CLEANUP, None)
+    docs = planted(spark, {0: [A, B, C]})
+    TB.fit_batch(TB.grouped_counts(docs, 2, 0.9), [2], passes=1, infer=False)
+    assert spark.read.parquet(made[-1]).count() <= 16  # 18 terms, 60 documents
+    assert spark.conf.get(common._CLEANUP, None) == before
+
+
+def test_packed_numbers_come_back():
+    for a in ([], [0], [3, 255, 0], [3, 256, 70_000, 2**31 - 1]):
+        assert TB.unpacked(TB.packed(np.array(a, np.int64)), len(a)).tolist() == a
