@@ -102,3 +102,40 @@ def test_merging_in_rows_equals_the_window_form(spark):
     want = PH._merged_by_window(df, keys, "doc_id", "tokens", "m")
     order = lambda d: sorted(map(str, d.collect()))
     assert order(got) == order(want)
+
+
+def test_group_numbers_go_on_and_off_in_the_row():
+    import pyarrow as pa
+    tokens = pa.array([["x"], ["a", None, "b_c"], None, [], ["a"]], pa.list_(pa.string())).slice(1)
+    of = pa.array([{"g": 9, "doc": 0}, {"g": -5, "doc": 1}, {"g": 2, "doc": 2}, {"g": 3, "doc": 3}, {"g": 12, "doc": 4}]).slice(1)
+    marked = PH.with_groups(tokens, of)
+    assert marked.to_pylist() == [["-5\x1fa", None, "-5\x1fb_c"], None, [], ["12\x1fa"]]
+    assert PH.without_groups(marked).to_pylist() == tokens.to_pylist()
+    assert PH.without_groups(pa.array([["-5\x1fa_-5\x1fb"]])).to_pylist() == [["a_b"]]
+
+
+def test_grouped_phrases_are_merged_and_unmarked_in_one_pass(spark):
+    rows = [(g, d, ["new", "york", "is", words[d % 3]]) for g, words in ((1, "abc"), (-2, "def")) for d in range(40)]
+    docs = spark.createDataFrame(rows + [(1, 99, None)], "g long, doc long, tokens array<string>")
+    got = {(r.g, r.doc): r.tokens for r in PH.phrases_in_groups(docs, 3, 0.2).collect()}
+    assert got[1, 0][0] == "new_york" and got[-2, 1][0] == "new_york" and got[1, 99] == [] and len(got) == 81
+    marked = docs.selectExpr("struct(g, doc) _of", "transform(tokens, t -> concat(g, '\x1f', t)) tokens")
+    merged, _, _ = PH.learn_and_merge(marked, "_of", "tokens", 3, 0.2, grouped=True)
+    assert all("\x1f" not in t for r in merged.collect() for t in r.phrased)
+
+
+def test_counted_keys_with_nulls_against_plain_counts():
+    import collections
+    import pyarrow as pa
+    rows = [["a", "b", None], [None, None, "a"], None, [], ["a", "b", "a_b"], ["a"]]
+    keys, counts = PH.counted_keys(pa.array(rows, pa.list_(pa.string())))
+    want = collections.Counter()
+    for r in rows:
+        for i, t in enumerate(r or []):
+            want[t] += 1
+            if i:
+                want["_".join(x for x in r[i - 1:i + 1] if x is not None)] += 1
+    got = collections.Counter()
+    for key, n in zip(keys.to_pylist(), counts.to_pylist()):
+        got[key] += n
+    assert got == want
