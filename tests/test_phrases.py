@@ -139,3 +139,19 @@ def test_counted_keys_with_nulls_against_plain_counts():
     for key, n in zip(keys.to_pylist(), counts.to_pylist()):
         got[key] += n
     assert got == want
+
+
+def test_counted_tables_are_deleted_once_phrases_are_learned(spark, monkeypatch):
+    import os
+    from threadlens.operators.common import materialize, release
+    from threadlens.sources import io
+    made = []
+    plain = io.scratch_path
+    monkeypatch.setattr(io, "scratch_path", lambda *a: made.append(plain(*a)) or made[-1])
+    docs = _frame(spark, [["new", "york", "is", w] for w in "abc" * 20])
+    res, _, _ = PH.learn_and_merge(docs, "doc_id", "tokens", 5, 0.1)
+    left = [p for p in made if os.path.exists(p.removeprefix("file:"))]
+    assert len(made) == 8 and len(left) == 3  # the tokens and two phrase tables
+    merged = materialize(res)
+    release(res)
+    assert not os.path.exists(made[0].removeprefix("file:")) and merged.first()["phrased"][0] == "new_york"
