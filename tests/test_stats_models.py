@@ -93,3 +93,27 @@ def test_lda_planted_topics_and_invariants(spark):
     w1 = [r["term"] for r in TP.topic_top_words(m, vocab_df, 3).orderBy("topic", "rank").collect()]
     w2 = [r["term"] for r in TP.topic_top_words(m2, vocab_df, 3).orderBy("topic", "rank").collect()]
     assert w1 == w2
+
+
+def test_mixtures_of_documents_of_all_lengths_equal_the_plain_fixed_point(monkeypatch):
+    import numpy as np
+
+    from threadlens.operators import lda
+
+    monkeypatch.setattr(lda, "TOLERANCE", 1e-9)
+    monkeypatch.setattr(lda, "STEP_CELLS", 40)
+    rng = np.random.default_rng(2)
+    k, size = 3, np.array([1, 30, 2, 90, 1, 31, 7])
+    starts = np.cumsum(size) - size
+    terms = np.concatenate([np.sort(rng.choice(100, s, replace=False)) for s in size])
+    n, beta = rng.integers(1, 4, len(terms)), rng.dirichlet(np.ones(100), k).astype(np.float32)
+    gamma, share = lda.variational(n, terms, starts, beta, 1 / k, None, 400)
+    for d, lo in enumerate(starts):
+        at, g = slice(lo, lo + size[d]), np.ones(k)
+        b = beta[:, terms[at]]
+        for _ in range(400):
+            t = np.exp(lda.digamma(g) - lda.digamma(g.sum()))
+            g = 1 / k + t * (b * (n[at] / (t @ b))).sum(axis=1)
+        assert np.allclose(gamma[d], g, rtol=1e-3, atol=1e-4)
+        t = np.exp(lda.digamma(gamma[d]) - lda.digamma(gamma[d].sum()))
+        assert np.allclose(share[:, at], t[:, None] * (n[at] / (t @ b)), rtol=1e-3)
